@@ -1,0 +1,88 @@
+"""The queries of the operators for training data, and the SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import leakage, mojibake, rank_fusion, splitting
+from tessella.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The source of each query that stands best when all stages weigh the same."""
+    return rank_fusion.best_of_groups(table(spark, d, "compression_sources", "query_id", "stage", "chunk_id", "score"))
+
+
+SQL["p1_found"] = """
+with s as (select query_id q, stage s, chunk_id c, max(case when stage = 'distance' then -score else score end) v from compression_sources
+           where score is not null and not isnan(score) and query_id is not null and stage is not null and chunk_id is not null group by all),
+r as (select q, s, c, rank() over (partition by q, s order by v desc) + (count(*) over (partition by q, s, v) - 1) / 2 as r, count(*) over (partition by q, s) as n from s),
+st as (select distinct q, s, n from r), it as (select distinct q, c from r),
+f as (select it.q, it.c, coalesce(r.r, st.n + 1) as r from it join st using (q) left join r on r.q = it.q and r.s = st.s and r.c = it.c),
+m as (select q, c, median(r) as med, avg(r) as mean from f group by all)
+select query_id, chunk_id from (select q as query_id, c as chunk_id, row_number() over (partition by q order by med, mean, c) as k from m) where k = 1
+"""
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks and blocks that the splitter had to cut."""
+    settings = table(spark, d, "rag_settings")
+    profiles = table(spark, d, "documents", "doc_id", "chunking_profile").dropDuplicates(["doc_id"])
+    chunks = table(spark, d, "chunks", "id", "text", "chunking_profile")
+    blocks = table(spark, d, "document_blocks", "block_id", "doc_id", "text")
+    # only a text longer than the smallest limit can exceed one: what need not be joined stays out of the shuffle
+    least = settings.agg(F.min("child_max_tokens")).first()[0] or 0
+    blocks = blocks.where(splitting.token_count(F.col("text")) > least).join(profiles, "doc_id", "left")
+    parts = [(chunks, "id", "chunks"), (blocks, "block_id", "document_blocks")]
+    cut = [splitting.split_oversized(t, settings, k, oversized_only=True).where(F.size("pieces") > 1).select(F.lit(n).alias("source_table"), F.col(k).alias("record_id")) for t, k, n in parts]
+    return cut[0].union(cut[1]).distinct()
+
+
+SQL["p6_found"] = r"""
+with lim as (select profile, child_max_tokens m from rag_settings),
+c as (select distinct 'chunks' as source_table, id as record_id, text, coalesce(chunking_profile, 'default') as p from chunks),
+b as (select distinct 'document_blocks' as source_table, block_id as record_id, b.text, coalesce(d.chunking_profile, 'default') as p
+      from document_blocks b left join documents d using (doc_id))
+select distinct source_table, record_id from (from c union all from b) t join lim on lim.profile = t.p
+where len(regexp_extract_all(text, '[^ \t\n\r]+')) > m
+"""
+
+
+@query
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every chunk, with its place, its size and what it shares with the piece before."""
+    cut = splitting.split_oversized(table(spark, d, "chunks", "id", "text", "chunking_profile").dropDuplicates(["id"]), table(spark, d, "rag_settings"), "id")
+    return cut.select("id", "limit", F.explode("pieces").alias("p")).select("id", "limit", "p.*")
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least 12 successive words of a held-out passage."""
+    found = leakage.leaked_passages(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_cases", "item_id", "passage"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which a part was decoded in another encoding than it was written in."""
+    return mojibake.repair_encoding(table(spark, d, "documents", "doc_id", "text"), garbled_only=True).select("doc_id").distinct()
+
+
+@query
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Those documents, with their text restored and what was undone."""
+    return mojibake.repair_encoding(table(spark, d, "documents", "doc_id", "text"), garbled_only=True).select("doc_id", "restored", "steps", "lost")
