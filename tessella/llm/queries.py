@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import leakage, mojibake, rank_fusion, splitting
+from tessella.llm import leakage, lookalikes, mojibake, rank_fusion, splitting
 from tessella.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     """Those documents, with their text restored and what was undone."""
     return mojibake.repair_encoding(table(spark, d, "documents", "doc_id", "text"), garbled_only=True).select("doc_id", "restored", "steps", "lost")
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks and blocks whose texts look the same but differ in characters."""
+    chunks = table(spark, d, "chunks", "id", "text").withColumnRenamed("id", "chunk_id")
+    return lookalikes.same_looking_pairs(chunks, table(spark, d, "document_blocks", "block_id", "text"), "chunk_id", "block_id")
