@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import leakage, lookalikes, mojibake, rank_fusion, splitting
+from tessella.llm import leakage, lookalikes, mojibake, near_duplicates, rank_fusion, splitting
 from tessella.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and blocks whose texts look the same but differ in characters."""
     chunks = table(spark, d, "chunks", "id", "text").withColumnRenamed("id", "chunk_id")
     return lookalikes.same_looking_pairs(chunks, table(spark, d, "document_blocks", "block_id", "text"), "chunk_id", "block_id")
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks, and documents, of 20 words or more that share at least 0.6 of their distinct runs of three words."""
+    chunks = table(spark, d, "chunks", "id", "text").select(F.lit("chunk").alias("of"), F.col("id").alias("key"), "text")
+    documents = table(spark, d, "documents", "doc_id", "text").select(F.lit("document").alias("of"), F.col("doc_id").cast("string").alias("key"), "text")
+    return near_duplicates.near_duplicate_pairs(chunks.union(documents), "key", kind=F.col("of"), width=3, threshold=0.6, least_words=20)
+
+
+@query
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its class of copies and its group of near-duplicates, at five words and 0.8."""
+    return near_duplicates.near_duplicate_groups(table(spark, d, "documents", "doc_id", "text"), "doc_id")
