@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import leakage, lookalikes, mojibake, near_duplicates, rank_fusion, splitting
+from tessella.llm import leakage, lookalikes, mojibake, near_duplicates, neighbours, rank_fusion, splitting
 from tessella.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its class of copies and its group of near-duplicates, at five words and 0.8."""
     return near_duplicates.near_duplicate_groups(table(spark, d, "documents", "doc_id", "text"), "doc_id")
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of vectors of which one is among the other's five most similar."""
+    return neighbours.neighbour_pairs(table(spark, d, "chunk_vectors", "id", "vector"))
