@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import leakage, lookalikes, mojibake, near_duplicates, neighbours, rank_fusion, splitting
+from tessella.llm import leakage, lookalikes, mojibake, near_duplicates, neighbours, rank_fusion, scan_repair, splitting
 from tessella.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,21 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of vectors of which one is among the other's five most similar."""
     return neighbours.neighbour_pairs(table(spark, d, "chunk_vectors", "id", "vector"))
+
+
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    blocks = table(spark, d, "document_blocks", "block_id", "doc_id", "block_index", "page_number", "text")
+    return scan_repair.repair_scans(table(spark, d, "parsed_pdfs", "doc_id", "text"), blocks, table(spark, d, "documents", "text"))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of scanned pages that are furniture, end in a cut word, or hold a misread one."""
+    found = _scans(spark, d).select("source_table", F.explode("defects").alias("x"))
+    return found.select("source_table", "x.record_id", "x.line_no", "x.defect").distinct()
+
+
+@query
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired text of every file, a row per paragraph."""
+    return _scans(spark, d).select("source_table", "unit", F.posexplode("paragraphs").alias("paragraph_no", "text"))
