@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import leakage, lookalikes, mojibake, near_duplicates, neighbours, rank_fusion, scan_repair, splitting
+from tessella.llm import leakage, lookalikes, mojibake, near_duplicates, neighbours, packing, rank_fusion, scan_repair, splitting
 from tessella.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """The repaired text of every file, a row per paragraph."""
     return _scans(spark, d).select("source_table", "unit", F.posexplode("paragraphs").alias("paragraph_no", "text"))
+
+
+@query
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or piece of one, in a container of the context size of the profile "overlap"."""
+    capacity = table(spark, d, "rag_settings", "profile", "context_tokens").where("profile = 'overlap'").first()["context_tokens"]
+    return packing.pack(table(spark, d, "documents", "doc_id", "text"), capacity)
