@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,6 +33,7 @@ MERGED = (("h", "li"),)
 HYPHENS = "-‐¬\xad"
 #: other dirt that must not look like this one: wide forms, kinds of blanks, signs without width; hyphens stay
 PLAIN = {c: x for c, x in lookalikes.PLAIN.items() if chr(c) not in HYPHENS}
+OTHER_DIRT = re.compile("[" + "".join(map(re.escape, map(chr, PLAIN))) + "]")
 WORD = re.compile(r"[^\W_]+")
 #: words for the vocabulary, compounds too
 TERM = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
@@ -51,6 +53,8 @@ FORMS = {
     "bar_text": re.compile(rf"^({NUMBER})\s*[|·•]\s*(\S.*)$"),
     "text_bar": re.compile(rf"^(\S.*?\S)\s*[|·•]\s*({NUMBER})$"),
 }
+#: a number at either end, or behind a word of four letters or fewer, which all forms but the Roman one have
+EDGE_NUMBER = re.compile(rf"^\W*(?:\w{{1,4}}\W{{1,3}})?{NUMBER}\b|{NUMBER}\W*$")
 STRONG = ("of", "dashed", "boxed", "slash")
 LONGEST_HEAD = 90
 #: lines that lie between two page edges at least
@@ -87,10 +91,11 @@ def roman(text: str) -> int | None:
     return sum(-v if v < w else v for v, w in zip(values, [*values[1:], 0], strict=True))
 
 
+@lru_cache(maxsize=4096)
 def page_form(line: str) -> tuple[str, int, str] | None:
     """Form, number, and the text beside it."""
     line = line.strip()
-    if not line or len(line) > LONGEST_HEAD:
+    if not line or len(line) > LONGEST_HEAD or (len(line) > 7 and not EDGE_NUMBER.search(line)):
         return None
     if (m := FORMS["of"].match(line)) and skeleton(m[1]) == PAGE and skeleton(m[3]) == OF and (n := as_number(m[2])) is not None:
         return "of", n, ""
@@ -247,11 +252,11 @@ class Unit:
     def asks(self, common: dict[str, int]) -> set[str]:
         """Words, and joined words, that the vocabulary must be asked for."""
         out: set[str] = set()
-        body = self.body()
+        body, usual = self.body(), common.__contains__
         for k, i in enumerate(body):
             line = self.texts[i].strip()
-            terms = [w.lower() for w in WORD.findall(line)]
-            odd = [w for w in terms if w not in common and not w.isdigit()]
+            terms = WORD.findall(line.lower())
+            odd = [] if all(map(usual, terms)) else [w for w in terms if w not in common and not w.isdigit()]
             out.update(odd)
             out.update(x for w in odd for x in parted(w))
             if odd:
@@ -278,6 +283,10 @@ class Unit:
             return known.get(w, (0, None))[1] or next((x for x in parted(w) if count(x)), None)
 
         body, skip = self.body(), {}
+
+        def usual(w: str) -> bool:
+            return w in common or w.isdigit() or (w in known and known[w][0] > 0)
+
         texts = {i: self.texts[i].strip() for i in body}
         glued: dict[int, str] = {}
         for k, i in enumerate(body[:-1]):
@@ -313,6 +322,9 @@ class Unit:
         repaired: dict[int, str] = {}
         for i in body:
             line = texts[i]
+            if all(map(usual, WORD.findall(line.lower()))):  # no word is in doubt
+                repaired[i] = line
+                continue
             spans = list(WORD.finditer(line))
             terms = [m[0].lower() for m in spans]
             fixes: list[tuple[int, int, str]] = []
@@ -380,7 +392,7 @@ def _unit(row) -> tuple[Unit, list[str], list[int]]:
     texts, pages, records, lines = [], [], [], []
     for part in row.parts:
         for n, line in enumerate(part["text"].split("\n")):
-            texts.append(line if line.isascii() else line.translate(PLAIN))
+            texts.append(line.translate(PLAIN) if not line.isascii() and OTHER_DIRT.search(line) else line)
             pages.append(None if row.source_table == "parsed_pdfs" else part["page"] if part["page"] is not None else 0)
             records.append(part["record_id"] if part["own"] else "")
             lines.append(n)
@@ -462,10 +474,12 @@ def repair_scans(pdfs: DataFrame | None, blocks: DataFrame | None, corpus: DataF
             for row in batch.itertuples():
                 unit, _, _ = _unit(row)
                 unit.find_furniture(headings.value)
-                rows += [(row.source_table, row.unit, w) for w in unit.asks(common.value)]
-            yield pd.DataFrame(rows, columns=["source_table", "unit", "word"])
+                rows.append((row.source_table, row.unit, None, sorted(unit.furniture)))
+                rows += [(row.source_table, row.unit, w, None) for w in unit.asks(common.value)]
+            yield pd.DataFrame(rows, columns=["source_table", "unit", "word", "furniture"])
 
-    asked = materialise(units.mapInPandas(ask, "source_table string, unit string, word string"), "asked")
+    seen = materialise(units.mapInPandas(ask, "source_table string, unit string, word string, furniture array<int>"), "asked")
+    asked = seen.where("word is not null").drop("furniture")
 
     def with_skeleton(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -484,11 +498,12 @@ def repair_scans(pdfs: DataFrame | None, blocks: DataFrame | None, corpus: DataF
             rows = []
             for row in batch.itertuples():
                 unit, records, numbers = _unit(row)
-                unit.find_furniture(headings.value)
+                unit.furniture = set(row.furniture)
                 known = {a["word"]: (a["n"], a["meant"]) for a in row.answers} if row.answers is not None else {}
                 found, paragraphs = unit.defects(known, common.value)
                 rows.append((row.source_table, row.unit, [{"record_id": records[i], "line_no": numbers[i], "defect": x} for i, x in found if records[i]], paragraphs))
             yield pd.DataFrame(rows, columns=["source_table", "unit", "defects", "paragraphs"])
 
     schema = "source_table string, unit string, defects array<struct<record_id:string,line_no:bigint,defect:string>>, paragraphs array<string>"
-    return units.join(told, ["source_table", "unit"], "left").mapInPandas(decide, schema)
+    lines = seen.where("word is null").select("source_table", "unit", "furniture")
+    return units.join(lines, ["source_table", "unit"]).join(told, ["source_table", "unit"], "left").mapInPandas(decide, schema)
