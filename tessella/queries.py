@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessella.operators import units
+from tessella.functions import numbers as N
+from tessella.functions import text as T
+from tessella.operators import evaluation, evidence, history, retrieval, selection, typed, units
+from tessella.plans.table_plan import Predicate, TablePlan, execute
 from tessella.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +24,13 @@ def query(f: Query) -> Query:
     return f
 
 
+def sql(name: str, text: str) -> None:
+    SQL[name] = text
+
+
+# --- quantities ------------------------------------------------------------------------------------------------------
+
+
 def _amounts(spark: SparkSession, d: str) -> DataFrame:
     cells = table(spark, d, "table_cells", "id", "table_id", "row_index", "column_index", "raw_value", "unit")
     columns = table(spark, d, "table_columns", "table_id", "column_index", "raw_header", "inferred_unit")
@@ -35,3 +47,919 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_amounts(spark: SparkSession, d: str) -> DataFrame:
     """Every reading in the common unit of its quantity."""
     return _amounts(spark, d)
+
+
+# --- text ------------------------------------------------------------------------------------------------------------
+
+
+def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Chunks by id; a repeated row counts once."""
+    return table(spark, d, "chunks", "id", *columns).dropDuplicates(["id"])
+
+
+CHUNKS = "(select distinct on (id) * from chunks order by id)"
+
+
+@query
+def token_estimates(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents", "doc_id", "text").where("text is not null")
+    return rows.select("doc_id", T.word_tokens(F.col("text")).alias("word_tokens"), T.char_tokens(F.col("text")).alias("char_tokens"))
+
+
+sql("token_estimates", r"select doc_id, greatest(len(regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')), 1)::int as word_tokens, greatest((length(text) + 3) // 4, 1)::int as char_tokens from documents where text is not null")
+
+
+@query
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents", "doc_id", "text")
+    return rows.select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("sentence_no", "sentence"))
+
+
+sql(
+    "sentence_split",
+    r"""
+with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as l from documents where text is not null)
+select doc_id, (i - 1)::int as sentence_no, l[i] as sentence from s, unnest(range(1, len(l) + 1)) t(i)
+""",
+)
+
+
+@query
+def term_sets(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d, "text").where("text is not null").select("id", F.array_join(F.array_sort(T.term_set(F.col("text"))), " ").alias("terms"))
+
+
+STOP = "(" + ", ".join(f"'{w}'" for w in T.QUERY_STOPWORDS) + ")"
+sql("term_sets", rf"select id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 3 and x not in {STOP}))), ' ') as terms from {CHUNKS} where text is not null")
+
+
+@query
+def search_terms(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "eval_cases", "item_id", "question").where("question is not null")
+    return rows.select("item_id", F.array_join(F.array_sort(T.search_terms(F.col("question"))), " ").alias("terms"))
+
+
+sql(
+    "search_terms",
+    rf"""
+with w as (select item_id, list_filter(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 3 and x not in {STOP}) as l from eval_cases where question is not null)
+select item_id, array_to_string(list_sort(list_distinct(list_concat(l, list_transform(list_filter(l, lambda x: x like '%s' and length(x) > 4), lambda x: x[:-2])))), ' ') as terms from w
+""",
+)
+
+
+@query
+def subquery_plan(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "eval_cases", "item_id", "question").where("question is not null")
+    return rows.select("item_id", F.explode(T.subqueries(F.col("question"))).alias("s")).select("item_id", "s.id", "s.text")
+
+
+@query
+def parent_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents", "doc_id", "text")
+    return rows.select("doc_id", F.posexplode(T.parent_chunks(F.col("text"))).alias("parent_no", "text")).withColumn("tokens", T.word_tokens(F.col("text")))
+
+
+@query
+def child_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Children of every document's parents, under the profile's sizes and overlap."""
+    settings = table(spark, d, "rag_settings")
+    rows = table(spark, d, "documents", "doc_id", "text", "chunking_profile").withColumn("profile", F.coalesce("chunking_profile", F.lit("default"))).join(F.broadcast(settings.limit(10_000)), "profile")
+    parents = rows.select("*", F.posexplode(T.parent_chunks(F.col("text"), F.col("parent_target_tokens"), F.col("parent_max_tokens"))).alias("parent_no", "parent"))
+    return parents.select("doc_id", "parent_no", F.posexplode(T.child_chunks(F.col("parent"), F.col("child_target_tokens"), F.col("child_max_tokens"), F.col("child_overlap_tokens"))).alias("child_no", "text"))
+
+
+@query
+def context_blocks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents", "doc_id", "text")
+    return rows.select("doc_id", F.posexplode(T.context_blocks(F.col("text"))).alias("block_no", "b")).select("doc_id", "block_no", "b.kind", "b.text")
+
+
+@query
+def contextual_text(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "documents", "doc_id", "display_name")
+    rows = _chunks(spark, d, "doc_id", "text", "section_heading", "page_number", "block_type").join(names, "doc_id")
+    made = T.contextual_text(F.col("text"), F.col("display_name"), F.col("section_heading"), F.col("page_number"), F.lit(None).cast("bigint"), F.coalesce("block_type", F.lit("paragraph")))
+    return rows.where("text is not null").select("id", F.md5(made).alias("digest"))
+
+
+sql(
+    "contextual_text",
+    f"""
+select c.id, md5(concat_ws(chr(10), 'Document: ' || d.display_name, 'Section: ' || nullif(section_heading, ''), 'Page: ' || page_number, 'Block type: ' || coalesce(block_type, 'paragraph')) || chr(10) || chr(10) || trim(c.text, ' ')) as digest
+from {CHUNKS} c join documents d using (doc_id) where c.text is not null
+""",
+)
+
+
+@query
+def stable_ids(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "table_cells", "id", "table_id", "row_index", "column_index").dropDuplicates(["id"])
+    return rows.select("id", T.stable_id("cell", F.col("table_id"), F.col("row_index"), F.col("column_index")).alias("stable_id"))
+
+
+sql("stable_ids", """select distinct id, 'cell-' || substr(sha256('["' || table_id || '","' || row_index || '","' || column_index || '"]'), 1, 24) as stable_id from table_cells""")
+
+
+@query
+def normalised_headers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "table_columns", "id", "raw_header", "column_index").select("id", T.normalised_header(F.col("raw_header"), F.col("column_index")).alias("header"))
+
+
+sql("normalised_headers", "select id, coalesce(nullif(regexp_replace(regexp_replace(lower(raw_header), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'column_' || (column_index + 1)) as header from table_columns")
+
+
+@query
+def preservation_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = _chunks(spark, d, "text").where("text is not null")
+    return rows.select("id", F.round(selection.preservation(F.lit("prose"), F.col("text")), 6).alias("bonus"))
+
+
+sql(
+    "preservation_scores",
+    rf"""
+select id, round(case when regexp_matches(text, '(^|[^0-9A-Za-z_-])-?\d') then 0.08 else 0 end
+  + case when regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])(?:no|not|never|without|failed to|did not|does not)([^\p{{L}}\p{{N}}_]|$)') then 0.08 else 0 end
+  + case when regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])(?:is defined as|refers to|means|we define)([^\p{{L}}\p{{N}}_]|$)') then 0.06 else 0 end, 6)::double as bonus from {CHUNKS} where text is not null
+""",
+)
+
+# --- typed tables ----------------------------------------------------------------------------------------------------
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    names = ("id", "table_id", "row_index", "column_index", "cell_ref", "raw_value", "normalized_value", "value_type", "unit")
+    return table(spark, d, "table_cells", *names).dropDuplicates(["id"])
+
+
+CELLS = "(select distinct on (id) * from table_cells order by id)"
+NUMBER = typed.NUMBER
+CANON = r"case when regexp_matches({0}, '^-?0(\.0*)?$') then '0' else regexp_replace(regexp_replace({0}, '(\.[0-9]*?)0+$', '\1'), '\.$', '') end"
+VALUE = CANON.format("cast({0} as varchar)")
+
+
+@query
+def type_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Type, unit and canonical value of every cell, from its text."""
+    rows = table(spark, d, "table_cells", "id", "raw_value").dropDuplicates(["id"])
+    return rows.withColumn("t", typed.typed_cell(F.col("raw_value"))).select("id", "t.normalized", "t.value_type", "t.unit")
+
+
+sql(
+    "type_cells",
+    rf"""
+with c as (select id, raw_value as raw, trim(raw_value, ' ') as t from {CELLS}),
+n as (select *, case when regexp_full_match(t, '{NUMBER}') then t when regexp_full_match(t, '{NUMBER}\s*%') then regexp_extract(t, '^({NUMBER})\s*%$', 1)
+  when regexp_matches(t, '{typed.WITH_UNIT}') then regexp_extract(t, '{typed.WITH_UNIT}', 1) end as num from c),
+v as (select *, {VALUE.format("try_cast(replace(num, ',', '') as decimal(38,18))")} as val from n),
+k as (select *, case when raw is null or t = '' then 'missing' when lower(t) in ('true', 'false') then 'boolean' when val is null then 'text'
+  when regexp_full_match(t, '{NUMBER}\s*%') then 'percentage' when regexp_full_match(t, '[-+]?[0-9]+(?:,[0-9]{{3}})*') then 'integer' else 'decimal' end as value_type from v)
+select id, value_type, case when value_type = 'boolean' then lower(t) when value_type in ('integer', 'decimal', 'percentage') then val when value_type = 'text' then t end as normalized,
+  case when value_type = 'percentage' then '%' when value_type = 'decimal' then nullif(regexp_extract(t, '{typed.WITH_UNIT}', 2), '') end as unit from k
+""",
+)
+
+
+@query
+def column_inference(spark: SparkSession, d: str) -> DataFrame:
+    return typed.infer_columns(_cells(spark, d))
+
+
+sql(
+    "column_inference",
+    f"""
+with c as (select * from {CELLS}),
+a as (select table_id, column_index, max(case when row_index = 0 then raw_value end) as raw_header,
+  min(case when row_index > 0 and value_type <> 'missing' then value_type end) as lo, max(case when row_index > 0 and value_type <> 'missing' then value_type end) as hi,
+  min(case when row_index > 0 and value_type <> 'missing' then nullif(unit, '') end) as u, max(case when row_index > 0 and value_type <> 'missing' then nullif(unit, '') end) as v from c group by all)
+select table_id, column_index, raw_header, coalesce(nullif(regexp_replace(regexp_replace(lower(raw_header), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'column_' || (column_index + 1)) as normalized_header,
+  case when lo is null then 'unknown' when lo = hi then lo else 'mixed' end as inferred_type, case when u = v then u end as inferred_unit from a
+""",
+)
+
+
+@query
+def cited_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with their column's header and their header cell: two left joins."""
+    cols = table(spark, d, "table_columns", "table_id", "column_index", "raw_header", "inferred_unit")
+    return typed.cited_cells(_cells(spark, d), cols).select("id", "raw_header", "column_unit", "header_ref", "header_value")
+
+
+sql("cited_cells", f"select c.id, k.raw_header, k.inferred_unit as column_unit, h.cell_ref as header_ref, h.raw_value as header_value from {CELLS} c left join table_columns k using (table_id, column_index) left join {CELLS} h on h.table_id = c.table_id and h.column_index = c.column_index and h.row_index = 0")
+
+
+@query
+def row_labels(spark: SparkSession, d: str) -> DataFrame:
+    return typed.row_labels(_cells(spark, d))
+
+
+sql("row_labels", f"select table_id, row_index, raw_value as row_label from {CELLS} where column_index = 0")
+
+
+@query
+def numeric_columns(spark: SparkSession, d: str) -> DataFrame:
+    return typed.numeric_columns(_cells(spark, d))
+
+
+sql("numeric_columns", f"with n as (select table_id, column_index, count(distinct row_index) as n_rows from {CELLS} where row_index > 0 and value_type in ('integer', 'decimal', 'percentage') group by all) select table_id, column_index, n_rows from (select *, row_number() over (partition by table_id order by n_rows desc, column_index) as k from n) where k = 1")
+
+
+@query
+def table_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Each table's headers in one string, for the tables of known documents."""
+    cols = table(spark, d, "table_columns", "table_id", "column_index", "raw_header")
+    heads = cols.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column_index", "raw_header"))), lambda x: x["raw_header"]), " | ").alias("headers"))
+    tabs = table(spark, d, "typed_tables", "id", "doc_id").withColumnRenamed("id", "table_id").join(table(spark, d, "documents", "doc_id"), "doc_id", "left_semi")
+    return tabs.join(heads, "table_id", "left").select("table_id", "headers")
+
+
+sql("table_texts", "select t.id as table_id, string_agg(raw_header, ' | ' order by column_index) as headers from typed_tables t left join table_columns k on k.table_id = t.id where exists (select 1 from documents d where d.doc_id = t.doc_id) group by all")
+
+# --- table plans, each over every table ------------------------------------------------------------------------------
+
+
+def _plan(name: str, plan: TablePlan, shape: Callable[[DataFrame], DataFrame], text: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return shape(execute(plan, _cells(spark, d)))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    SQL[name] = text
+
+
+def _joined(*keep: str, refs: str | None = None, digits: bool = False) -> Callable[[DataFrame], DataFrame]:
+    def shape(df: DataFrame) -> DataFrame:
+        value = F.round(F.col("value").try_cast("double"), 6).alias("value") if digits else F.col("value")
+        return df.select(*[value if k == "value" else F.col(k) for k in keep], *([F.array_join(refs, ",").alias("refs")] if refs else []))
+
+    return shape
+
+
+NUM = f"(select *, try_cast(normalized_value as decimal(38,18)) as v from {CELLS} where row_index > 0 and column_index = 2 and value_type in ('integer', 'decimal', 'percentage') and try_cast(normalized_value as decimal(38,18)) is not null)"
+TABS = "(select distinct table_id from table_cells)"
+_plan("plan_count", TablePlan("count", filters=(Predicate(1, "gt", "100"),)), _joined("table_id", "value", refs="verification_refs"), f"""
+with c as (select * from {CELLS} where row_index > 0),
+r as (select table_id, row_index from c where column_index = 1 and case when try_cast(coalesce(normalized_value, raw_value) as decimal(38,18)) is not null then try_cast(coalesce(normalized_value, raw_value) as decimal(38,18)) > 100 else lower(coalesce(normalized_value, raw_value)) > '100' end),
+l as (select c.table_id, c.row_index, arg_min(cell_ref, column_index) as ref from c join r using (table_id, row_index) group by all)
+select t.table_id, count(l.ref)::varchar as value, coalesce(string_agg(l.ref, ',' order by l.row_index), '') as refs from {TABS} t left join l using (table_id) group by t.table_id
+""")
+_plan("plan_filter", TablePlan("filter", filters=(Predicate(1, "lte", "50"), Predicate(0, "contains", "T")), limit=24), _joined("table_id", "place", "row_index", refs="row_values"), f"""
+with c as (select *, coalesce(normalized_value, raw_value) as x from {CELLS} where row_index > 0),
+r as (select table_id, row_index from c where column_index = 1 and case when try_cast(x as decimal(38,18)) is not null then try_cast(x as decimal(38,18)) <= 50 else lower(x) <= '50' end
+  intersect select table_id, row_index from c where column_index = 0 and contains(lower(x), 't')),
+k as (select *, row_number() over (partition by table_id order by row_index)::int as place from r)
+select table_id, place, row_index, string_agg(raw_value, ',' order by column_index) as refs from c join k using (table_id, row_index) where place <= 24 group by all
+""")
+_plan("plan_lookup", TablePlan("lookup", search="kpa"), _joined("table_id", "place", "row_index", "column_index", "value", "cell_ref"), f"""
+with k as (select table_id, row_number() over (partition by table_id order by row_index, column_index)::int as place, row_index, column_index, coalesce(normalized_value, raw_value) as value, cell_ref from {CELLS} where contains(lower(raw_value), 'kpa'))
+select * from k where place <= 24
+""")
+_plan("plan_sort", TablePlan("sort", value_column=2, direction="desc", limit=5), _joined("table_id", "place", "row_index", refs="cell_refs"), f"""
+with k as (select table_id, row_index, row_number() over (partition by table_id order by v desc, row_index desc)::int as place from {NUM})
+select table_id, place, row_index, string_agg(c.cell_ref, ',' order by c.column_index) as refs from {CELLS} c join k using (table_id, row_index) where place <= 5 group by all
+""")
+for _how, _agg in (("sum", "sum(v)"), ("min", "min(v)"), ("max", "max(v)")):
+    _refs = {"sum": "string_agg(cell_ref, ',' order by row_index)", "min": "arg_min(cell_ref, (v, row_index))", "max": "arg_max(cell_ref, (v, -row_index))"}[_how]
+    _plan(f"plan_{_how}", TablePlan(_how, value_column=2), _joined("table_id", "value", "unit", "status", refs="cell_refs"), f"""
+with a as (select table_id, {VALUE.format(_agg)} as value, count(distinct coalesce(unit, '∅')) as u, max(unit) as unit, {_refs} as refs from {NUM} group by table_id)
+select t.table_id, case when u = 1 then value end as value, case when u = 1 then unit end as unit, case when u is null then 'no_numeric_values' when u > 1 then 'mixed_incompatible_units' else 'ok' end as status, case when u = 1 then refs end as refs from {TABS} t left join a using (table_id)
+""")
+_plan("plan_mean", TablePlan("mean", value_column=2), _joined("table_id", "value", "status", digits=True), f"""
+with a as (select table_id, round(cast(sum(cast(v as decimal(38,12))) as double) / count(*), 6) as value, count(distinct coalesce(unit, '∅')) as u from {NUM} group by table_id)
+select t.table_id, case when u = 1 then value end as value, case when u is null then 'no_numeric_values' when u > 1 then 'mixed_incompatible_units' else 'ok' end as status from {TABS} t left join a using (table_id)
+""")
+GROUPS = f"(select n.*, g.raw_value as grp, g.cell_ref as gref from {NUM} n join {CELLS} g on g.table_id = n.table_id and g.row_index = n.row_index and g.column_index = 0)"
+_plan("plan_group_count", TablePlan("group", group_column=0, aggregate="count", limit=24), _joined("table_id", "place", "group", "value"), f"""
+with g as (select table_id, raw_value as "group", count(*)::varchar as value from {CELLS} where row_index > 0 and column_index = 0 group by all)
+select * from (select table_id, row_number() over (partition by table_id order by lower("group"), "group")::int as place, "group", value from g) where place <= 24
+""")
+for _how in ("sum", "mean", "min", "max"):
+    _agg = {"sum": VALUE.format("sum(v)"), "mean": "round(cast(sum(cast(v as decimal(38,12))) as double) / count(*), 6)", "min": VALUE.format("min(v)"), "max": VALUE.format("max(v)")}[_how]
+    _plan(f"plan_group_{_how}", TablePlan("group", group_column=0, value_column=2, aggregate=_how, limit=24), _joined("table_id", "place", "group", "value", "status", digits=_how == "mean"), f"""
+with a as (select table_id, grp as "group", {_agg} as value, count(distinct coalesce(unit, '∅')) as u from {GROUPS} group by all),
+k as (select table_id, row_number() over (partition by table_id order by lower("group"), "group")::int as place, "group", case when u = 1 then value end as value, case when u > 1 then 'mixed_incompatible_units' else 'ok' end as status from a)
+select * from k where place <= 24
+""")
+for _op in ("compare", "difference", "percentage"):
+    _value = {"compare": "case when l = r then 'equal' when l > r then 'greater' else 'less' end", "difference": VALUE.format("(l - r)"), "percentage": "round((cast(l as double) - cast(r as double)) / cast(r as double) * 100, 4)"}[_op]
+
+    def _shape(df: DataFrame, op: str = _op) -> DataFrame:
+        return df.select("table_id", (F.round(F.col("value").try_cast("double"), 4) if op == "percentage" else F.col("value")).alias("value"), "status")
+
+    _plan(f"plan_{_op}", TablePlan(_op, operands=("r2c3", "r3c3")), _shape, f"""
+with o as (select table_id, count(*) filter (cell_ref = 'r2c3') as nl, count(*) filter (cell_ref = 'r3c3') as nr,
+  max(case when cell_ref = 'r2c3' and value_type in ('integer', 'decimal', 'percentage') then try_cast(normalized_value as decimal(38,18)) end) as l,
+  max(case when cell_ref = 'r3c3' and value_type in ('integer', 'decimal', 'percentage') then try_cast(normalized_value as decimal(38,18)) end) as r,
+  count(distinct coalesce(unit, '∅')) as u from {CELLS} where cell_ref in ('r2c3', 'r3c3') group by table_id),
+s as (select t.table_id, l, r, case when nl is null or nl <> 1 or nr <> 1 then 'missing_or_ambiguous_operand' when l is null or r is null then 'non_numeric_operand' when u > 1 then 'mixed_incompatible_units' when {str(_op == "percentage").lower()} and r = 0 then 'division_by_zero' else 'ok' end as status from {TABS} t left join o using (table_id))
+select table_id, case when status = 'ok' then {_value} end as value, status from s
+""")
+
+# --- retrieval -------------------------------------------------------------------------------------------------------
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_cases", "item_id", "question").select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
+
+
+@query
+def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten chunks of best BM25 for each held-out question."""
+    return retrieval.bm25(_questions(spark, d), _chunks(spark, d, "text").where("text is not null"), most=10)
+
+
+LEXICAL = rf"""
+with w as (select item_id, list_filter(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 3 and x not in {STOP}) as l from eval_cases where question is not null),
+qt as (select distinct item_id as query_id, unnest(list_concat(l, list_transform(list_filter(l, lambda x: x like '%s' and length(x) > 4), lambda x: x[:-2]))) as term from w),
+docs as (select id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') as ws from {CHUNKS} where text is not null),
+st as (select count(*) as n, avg(len(ws)) as av from docs),
+wd as (select id, len(ws) as dl, unnest(ws) as word from docs), wc as (select id, dl, word, count(*) as c from wd group by all),
+dw as (select distinct word from wc), mt as (select t.term, w.word from (select distinct term from qt) t join dw w on substr(w.word, 1, length(t.term)) = t.term),
+tf as (select term, id, sum(c) as tf, max(dl) as dl from wc join mt using (word) group by all),
+df as (select term, count(*) as df from tf group by all),
+sc as (select query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 6) as lexical_score from qt join tf using (term) join df using (term), st group by all),
+lx as (select query_id, id, lexical_score, row_number() over (partition by query_id order by lexical_score desc, id)::int as lexical_rank from sc)
+"""
+sql("lexical_topk", LEXICAL + "select * from lx where lexical_rank <= 10")
+
+
+def _embeddings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "embeddings", "vec_id", "embedding").withColumnRenamed("embedding", "vector")
+    return rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), rows
+
+
+@query
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest vectors, by squared distance, of every vector whose id is divisible by 20."""
+    asked, rows = _embeddings(spark, d)
+    return retrieval.dense(asked, rows, most=10).select("query_id", "vec_id", "distance", "dense_rank")
+
+
+sql(
+    "dense_topk",
+    """
+with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings where embedding is not null),
+p as (select q.vec_id as query_id, e.vec_id, round(greatest(list_sum(list_transform(list_zip(q.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0), 6) as d from e q, e where q.vec_id % 20 = 0)
+select query_id, vec_id, d as distance, k::int as dense_rank from (select *, row_number() over (partition by query_id order by d, vec_id) as k from p) where k <= 10
+""",
+)
+
+
+@query
+def vector_norms(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings", "vec_id", "embedding")
+    return rows.select("vec_id", F.round(N.norm(F.col("embedding")), 5).alias("length"), F.round(N.norm(N.unit_vector(F.col("embedding"))), 4).alias("unit_length"))
+
+
+sql("vector_norms", "with n as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), m as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as l from n) select vec_id, round(l, 5) as length, round(case when l > 0 then sqrt(list_sum(list_transform(v, lambda x: (x / l) * (x / l)))) end, 4) as unit_length from m")
+
+
+@query
+def label_cosines(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector's cosine with the mean vector of its label."""
+    rows = table(spark, d, "embeddings", "vec_id", "embedding", "label")
+    means = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
+    return rows.join(centres, "label").select("vec_id", "label", F.round(N.cosine(F.col("embedding"), F.col("centre")), 5).alias("similarity"))
+
+
+sql(
+    "label_cosines",
+    """
+with x as (select vec_id, label, list_transform(embedding, lambda e: e::double) as v from embeddings), u as (select label, i, avg(v[i]) as m from x, unnest(range(1, 65)) t(i) group by all),
+c as (select label, list(m order by i) as c from u group by all)
+select vec_id, label, round(list_sum(list_transform(list_zip(v, c), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(v, lambda e: e * e))) * sqrt(list_sum(list_transform(c, lambda e: e * e)))), 5) as similarity from x join c using (label)
+""",
+)
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "compression_sources", "query_id", "stage", "chunk_id", "doc_id", "score").dropDuplicates(["query_id", "stage", "chunk_id"])
+
+
+SOURCES = "(select distinct on (query_id, stage, chunk_id) query_id, stage, chunk_id, doc_id, score from compression_sources order by query_id, stage, chunk_id)"
+
+
+def _stage(rows: DataFrame, stage: str, rank: str) -> DataFrame:
+    score = F.col("score") if stage != "distance" else -F.col("score")
+    at = Window.partitionBy("query_id").orderBy(score.desc(), "chunk_id")
+    return rows.where(F.col("stage") == stage).select("query_id", "chunk_id", "doc_id", "score", F.row_number().over(at).alias(rank))
+
+
+DENSE = f"d as (select query_id, chunk_id, doc_id, score, row_number() over (partition by query_id order by score, chunk_id)::int as dense_rank from {SOURCES} where stage = 'distance')"
+BM = f"b as (select query_id, chunk_id, doc_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as lexical_rank from {SOURCES} where stage = 'bm25')"
+RERANK = f"k as (select query_id, chunk_id, doc_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as place from {SOURCES} where stage = 'rerank')"
+FUSION = f"fu as (select query_id, chunk_id, doc_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as place from {SOURCES} where stage = 'fusion')"
+
+
+@query
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Reciprocal rank fusion of the distance and BM25 stages of every query."""
+    rows = _sources(spark, d)
+    return retrieval.fuse(_stage(rows, "distance", "dense_rank"), _stage(rows, "bm25", "lexical_rank"), "chunk_id").select("query_id", "chunk_id", "fusion_score", "fusion_rank")
+
+
+RRF = f"{DENSE}, {BM}, f as (select query_id, chunk_id, dense_rank, lexical_rank, round(coalesce(1.0::double / (60 + dense_rank), 0) + coalesce(1.0::double / (60 + lexical_rank), 0), 9) as fusion_score from d full join b using (query_id, chunk_id))"
+sql("rrf_fusion", f"with {RRF} select query_id, chunk_id, fusion_score, row_number() over (partition by query_id order by fusion_score desc, dense_rank asc nulls first, lexical_rank asc nulls first, chunk_id)::int as fusion_rank from f")
+
+
+@query
+def candidate_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of all stages as if each were a subquery: best score, best ranks, who found them."""
+    rows = _sources(spark, d)
+    dense, lexical = _stage(rows, "distance", "dense_rank"), _stage(rows, "bm25", "lexical_rank")
+    a = dense.select("query_id", F.col("chunk_id").alias("id"), (1 / (1 + F.col("score"))).alias("score"), "dense_rank", F.lit(None).cast("int").alias("lexical_rank"), F.lit("q1").alias("subquery_id"))
+    b = lexical.select("query_id", F.col("chunk_id").alias("id"), "score", F.lit(None).cast("int").alias("dense_rank"), "lexical_rank", F.lit("q2").alias("subquery_id"))
+    merged = retrieval.merge_candidates(a.union(b))
+    return merged.select("query_id", "id", F.round("score", 6).alias("score"), F.coalesce("dense_rank", F.lit(0)).alias("dense_rank"), F.coalesce("lexical_rank", F.lit(0)).alias("lexical_rank"), F.array_join("subquery_ids", ",").alias("found_by"))
+
+
+sql("candidate_merge", f"with {DENSE}, {BM} select query_id, chunk_id as id, round(max(s), 6) as score, coalesce(max(dr), 0)::int as dense_rank, coalesce(max(lr), 0)::int as lexical_rank, string_agg(distinct q, ',' order by q) as found_by from (select query_id, chunk_id, 1 / (1 + score) as s, dense_rank as dr, null as lr, 'q1' as q from d union all select query_id, chunk_id, score, null, lexical_rank, 'q2' from b) group by all")
+
+
+@query
+def prior_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The prior of each question's ten lexical hits."""
+    questions = _questions(spark, d)
+    texts = _chunks(spark, d, "text").where("text is not null")
+    hits = retrieval.bm25(questions, texts, most=10).join(questions.withColumnRenamed("text", "prompt"), "query_id").join(texts, "id")
+    return hits.select("query_id", "id", retrieval.prior_score(F.col("prompt"), F.col("text"), F.col("lexical_rank"), F.lit(None).cast("int")).alias("prior"))
+
+
+sql(
+    "prior_scores",
+    LEXICAL
+    + rf"""select lx.query_id, lx.id, round(greatest(0.5, 3.0::double - 0.12::double * (lexical_rank - 1)) + least(1.0::double, 0.25::double * len(list_filter(list_distinct(w.l), lambda t: contains(lower(c.text), t)))), 6) as prior
+from lx join w on w.item_id = lx.query_id join {CHUNKS} c on c.id = lx.id where lexical_rank <= 10""",
+)
+
+
+@query
+def rerank_blend(spark: SparkSession, d: str) -> DataFrame:
+    """The rerank stage's score blended with the prior of its ranks."""
+    rows = _sources(spark, d)
+    both = _stage(rows, "distance", "dense_rank").select("query_id", "chunk_id", "dense_rank").join(_stage(rows, "bm25", "lexical_rank").select("query_id", "chunk_id", "lexical_rank"), ["query_id", "chunk_id"], "full")
+    both = both.join(rows.where("stage = 'rerank'").select("query_id", "chunk_id", F.col("score").alias("raw")), ["query_id", "chunk_id"], "left")
+    prior = retrieval.prior_score(F.lit(""), F.lit(""), F.col("lexical_rank"), F.col("dense_rank"))
+    return both.select("query_id", "chunk_id", retrieval.blended(F.col("raw"), prior).alias("score"))
+
+
+sql("rerank_blend", f"with {DENSE}, {BM}, r as (select query_id, chunk_id, score as raw from {SOURCES} where stage = 'rerank'), p as (select query_id, chunk_id, raw, round(case when lexical_rank is not null then greatest(0.5, 3.0::double - 0.12::double * (lexical_rank - 1)) else 0 end + case when dense_rank is not null then greatest(0.05, 0.8::double - 0.03::double * (dense_rank - 1)) else 0 end, 6) as prior from d full join b using (query_id, chunk_id) left join r using (query_id, chunk_id)) select query_id, chunk_id, round(case when raw is null then prior else 0.75::double * raw + 0.25::double * prior end, 6) as score from p")
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    rows = _sources(spark, d)
+    lexical = _stage(rows, "bm25", "lexical_rank").select("query_id", "chunk_id", "lexical_rank")
+    dense = _stage(rows, "distance", "dense_rank").select("query_id", "chunk_id", "dense_rank")
+    out = _stage(rows, "rerank", "place").join(lexical, ["query_id", "chunk_id"], "left").join(dense, ["query_id", "chunk_id"], "left")
+    return out.withColumnRenamed("chunk_id", "id")
+
+
+@query
+def relevance_window(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.relevance_window(_results(spark, d), 8).select("query_id", "id", "place")
+
+
+sql(
+    "relevance_window",
+    f"""
+with {RERANK}, {BM}, r as (select k.*, b.lexical_rank from k left join b using (query_id, chunk_id)),
+m as (select *, bool_or(place <= 8 and lexical_rank is not null) over (partition by query_id) as hit, max(case when place = 1 then score end) over (partition by query_id) as top, bool_or(place <= 8 and lexical_rank is not null) over (partition by query_id, doc_id) as trusted from r),
+s as (select *, row_number() over (partition by query_id order by place) as n from m where case when hit then lexical_rank is not null or trusted or score >= greatest(0.75, 0.2 * top) else place <= 8 end)
+select query_id, chunk_id as id, place from s where n <= 8
+""",
+)
+
+
+@query
+def anchored_window(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.anchored_window(_results(spark, d), 6).select("query_id", "id", "window_rank")
+
+
+sql("anchored_window", f"with {RERANK}, {DENSE}, r as (select k.*, d.dense_rank from k left join d using (query_id, chunk_id)) select query_id, chunk_id as id, n::int as window_rank from (select *, row_number() over (partition by query_id order by coalesce((dense_rank = 1)::int, 0) desc, score desc, chunk_id) as n from r) where n <= 6")
+
+
+@query
+def unused_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Reranked candidates that the window leaves out."""
+    rows = _results(spark, d)
+    return retrieval.unused(rows, retrieval.anchored_window(rows, 6)).select("query_id", "id")
+
+
+sql("unused_candidates", f"with {RERANK}, {DENSE}, r as (select k.*, d.dense_rank from k left join d using (query_id, chunk_id)) select query_id, chunk_id as id from (select *, row_number() over (partition by query_id order by coalesce((dense_rank = 1)::int, 0) desc, score desc, chunk_id) as n from r) where n > 6")
+
+
+@query
+def hydrated_results(spark: SparkSession, d: str) -> DataFrame:
+    """Fusion results with their document's name and their chunk's place: left joins, nothing is lost."""
+    rows = _stage(_sources(spark, d), "fusion", "place")
+    return rows.join(table(spark, d, "documents", "doc_id", "display_name"), "doc_id", "left").join(_chunks(spark, d, "chunk_index", "section_heading").withColumnRenamed("id", "chunk_id"), "chunk_id", "left").select("query_id", "chunk_id", "place", "display_name", "chunk_index", "section_heading")
+
+
+sql("hydrated_results", f"with {FUSION} select query_id, chunk_id, place, display_name, chunk_index, section_heading from fu left join documents d on d.doc_id = fu.doc_id left join {CHUNKS} c on c.id = fu.chunk_id")
+
+
+@query
+def trace_by_stage(spark: SparkSession, d: str) -> DataFrame:
+    """A trace: a row per query and candidate, its score in each stage beside one another."""
+    return _sources(spark, d).groupBy("query_id", "chunk_id").pivot("stage", ["distance", "bm25", "fusion", "rerank"]).agg(F.round(F.max("score"), 6))
+
+
+sql("trace_by_stage", f"select query_id, chunk_id, " + ", ".join(f"round(max(case when stage = '{s}' then score end), 6) as {s}" for s in ("distance", "bm25", "fusion", "rerank")) + f" from {SOURCES} group by all")
+
+# --- selection -------------------------------------------------------------------------------------------------------
+
+
+@query
+def parent_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Parents of every query's reranked chunks: how much of each was matched, and whether it is promoted."""
+    matched = _stage(_sources(spark, d), "rerank", "place").select("query_id", F.col("chunk_id").alias("id"))
+    return selection.parent_coverage(matched, _chunks(spark, d, "parent_id", "token_count"))
+
+
+sql(
+    "parent_coverage",
+    f"""
+with c as (select id, parent_id, greatest(coalesce(token_count, 0), 1) as t from {CHUNKS} where parent_id is not null), p as (select parent_id, sum(t)::bigint as parent_tokens from c group by all), {RERANK},
+h as (select query_id, parent_id, count(*) as n_matches, sum(t)::bigint as matched_tokens from k join c on c.id = k.chunk_id group by all)
+select parent_id, query_id, n_matches, matched_tokens, parent_tokens, round(least(1.0, matched_tokens / parent_tokens), 6) as coverage, n_matches >= 2 and round(least(1.0, matched_tokens / parent_tokens), 6) >= 0.4 as promoted from h join p using (parent_id)
+""",
+)
+
+
+@query
+def layout_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The typed neighbours of every chunk: a band join within documents."""
+    rows = _chunks(spark, d, "doc_id", "chunk_index", "block_type", "section_heading", "parent_id", "page_number")
+    return selection.layout_edges(rows.select("id"), rows)
+
+
+sql(
+    "layout_edges",
+    f"""
+with c as (select * from {CHUNKS}),
+p as (select a.id as id, n.id as neighbour_id, a.*, n.block_type as nb, n.section_heading as ns, n.parent_id as np, n.page_number as npg, n.chunk_index as ni, n.chunk_index - a.chunk_index as step,
+  row_number() over (partition by a.id order by abs(n.chunk_index - a.chunk_index), n.chunk_index) as k from c a join c n on n.doc_id = a.doc_id and n.chunk_index between a.chunk_index - 3 and a.chunk_index + 3 and n.id <> a.id),
+e as (select id, neighbour_id, step, ni, coalesce(ns = section_heading and ns <> '', false) as same, coalesce(np = parent_id, false) as kin, coalesce(abs(npg - page_number) = 1, false) as nextpage, coalesce(nb = 'table' and block_type = 'table', false) as tb, coalesce((nb = 'caption' or block_type = 'caption') and npg = page_number, false) as cap from p where k <= 12),
+t as (select *, case when nextpage and (same or kin) then 'continues_on_next_page' when tb and same and step < 0 then 'table_header_for' when tb and same then 'table_continuation' when cap then 'caption_of' when abs(step) = 1 and (same or kin) then case when step > 0 then 'next_block' else 'previous_block' end when same then 'same_section' end as edge,
+  case when nextpage and (same or kin) then 1 when tb and same and step < 0 then 1 when tb and same then 2 when cap then 2 when abs(step) = 1 and (same or kin) then 3 when same then 4 end as priority from e)
+select id, neighbour_id, edge, priority, n::int as place from (select *, row_number() over (partition by id order by priority, abs(step), ni) as n from t where edge is not null) where n <= 4
+""",
+)
+
+
+@query
+def layout_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Two hops around every query's reranked chunks."""
+    rows = _chunks(spark, d, "doc_id", "chunk_index", "block_type", "section_heading", "parent_id", "page_number")
+    anchors = _stage(_sources(spark, d), "rerank", "place").select(F.col("chunk_id").alias("id")).distinct()
+    return selection.expand_layout(anchors, rows)
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = _results(spark, d).withColumn("anchor", F.coalesce(F.col("dense_rank") == 1, F.lit(False)))
+    return rows.join(_chunks(spark, d, "text", "parent_id"), "id")
+
+
+def _needs(spark: SparkSession, d: str) -> DataFrame:
+    """What a query needs, stood in for by the section that its best candidate stands under."""
+    best = _stage(_sources(spark, d), "rerank", "place").where("place <= 2").join(_chunks(spark, d, "section_heading").withColumnRenamed("id", "chunk_id"), "chunk_id")
+    return best.where("section_heading is not null").select("query_id", F.concat(F.lit("r"), F.col("place").cast("string")).alias("requirement_id"), F.col("section_heading").alias("text"))
+
+
+@query
+def coverage_selection(spark: SparkSession, d: str) -> DataFrame:
+    return selection.select_coverage(_candidates(spark, d).select("query_id", "id", "doc_id", "parent_id", "text", "score", "lexical_rank", "anchor"), _needs(spark, d), 8)
+
+
+@query
+def context_assembly(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _chunks(spark, d, "parent_id", "chunk_index", "text", "token_count")
+    parents = chunks.where("parent_id is not null").groupBy("parent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("text"), F.sum("token_count").alias("token_count"))
+    picks = _stage(_sources(spark, d), "rerank", "place").where("place <= 8").select("query_id", F.col("chunk_id").alias("id"), "place")
+    return selection.assemble(picks, chunks, parents)
+
+
+@query
+def context_compression(spark: SparkSession, d: str) -> DataFrame:
+    rows = _stage(_sources(spark, d), "rerank", "place").where("place <= 8").join(_chunks(spark, d, "text").withColumnRenamed("id", "chunk_id"), "chunk_id").where("text is not null")
+    blocks = rows.select("query_id", F.col("chunk_id").alias("source_id"), "place", F.posexplode(T.context_blocks(F.col("text"))).alias("block_no", "b"))
+    score = 0.04 / F.col("place") + selection.preservation(F.col("b.kind"), F.col("b.text"))
+    return selection.compress(blocks.select("query_id", "source_id", "block_no", F.col("b.text").alias("text"), score.alias("score")), _needs(spark, d))
+
+
+# --- evidence --------------------------------------------------------------------------------------------------------
+
+
+def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents that cite stand for answers; the chunks of their document, as S0, S1 and so on, for the sources."""
+    answers = table(spark, d, "documents", "doc_id", "text").where(F.col("text").contains("[[src:")).withColumnRenamed("doc_id", "answer_id")
+    chunks = _chunks(spark, d, "doc_id", "chunk_index", "text").join(answers.select(F.col("answer_id").alias("doc_id")), "doc_id", "left_semi")
+    return answers, chunks.select(F.col("doc_id").alias("answer_id"), F.concat(F.lit("S"), F.col("chunk_index").cast("string")).alias("source_id"), "text", "doc_id")
+
+
+@query
+def citation_accounting(spark: SparkSession, d: str) -> DataFrame:
+    answers, sources = _answers(spark, d)
+    return evidence.citation_accounting(answers, sources)
+
+
+sql(
+    "citation_accounting",
+    rf"""
+with a as (select doc_id as answer_id, list_transform(regexp_extract_all(text, '(?i)\[\[\s*src\s*:\s*([A-Za-z0-9_-]+)\s*\]\]', 1), lambda x: upper(x)) as tags, len(regexp_extract_all(text, '(?i)\[\[?\s*src\s*:[^\]]*\]?\]')) as lk from documents where contains(text, '[[src:')),
+s as (select doc_id as answer_id, list(distinct 'S' || chunk_index) as have from {CHUNKS} group by all),
+b as (select answer_id, tags, lk, list_distinct(tags) as ids, coalesce(have, []) as have from a left join s using (answer_id)),
+v as (select *, len(list_filter(ids, lambda x: list_contains(have, x))) as ok from b)
+select answer_id, len(tags)::int as citation_count, len(ids)::int as unique_count, ok::int as valid_count, (len(ids) - ok)::int as invalid_count,
+  array_to_string(list_sort(list_filter(ids, lambda x: len(list_filter(tags, lambda t: t = x)) > 1)), ',') as repeated_ids, (lk - len(tags))::int as malformed_count, (len(have) - ok)::int as uncited_count, case when len(ids) = 0 then 0.0 else round(ok / len(ids), 6) end as precision from v
+""",
+)
+
+
+@query
+def claim_verification(spark: SparkSession, d: str) -> DataFrame:
+    answers, sources = _answers(spark, d)
+    claims = evidence.verify_claims(answers, sources)
+    return claims.select("answer_id", "claim_id", "text", F.array_join("source_ids", ",").alias("source_ids"), "coverage", "numeric_status", "status")
+
+
+@query
+def claim_summary(spark: SparkSession, d: str) -> DataFrame:
+    answers, sources = _answers(spark, d)
+    return evidence.claim_summary(evidence.verify_claims(answers, sources))
+
+
+@query
+def evidence_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """What each requirement of a question finds among the question's lexical hits."""
+    questions, texts = _questions(spark, d), _chunks(spark, d, "text").where("text is not null")
+    hits = retrieval.bm25(questions, texts, most=8).join(texts, "id").select("query_id", F.col("id").alias("source_id"), "text")
+    return evidence.ledger(evidence.requirements(questions), hits)
+
+
+@query
+def evidence_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    rows = _stage(_sources(spark, d), "rerank", "place").where("place <= 20").join(_chunks(spark, d, "text").withColumnRenamed("id", "chunk_id"), "chunk_id")
+    return evidence.conflicts(rows.select("query_id", F.col("chunk_id").alias("source_id"), "doc_id", "text"))
+
+
+@query
+def citation_support(spark: SparkSession, d: str) -> DataFrame:
+    rows = _sources(spark, d)
+    fusion = rows.where("stage = 'fusion'").select("query_id", "chunk_id", F.col("score").alias("f"))
+    both = fusion.join(rows.where("stage = 'rerank'").select("query_id", "chunk_id", F.col("score").alias("r")), ["query_id", "chunk_id"], "left")
+    return both.select("query_id", "chunk_id", evidence.citation_support(F.col("r"), F.col("f")).alias("support"))
+
+
+sql("citation_support", f"with f as (select query_id, chunk_id, score as f from {SOURCES} where stage = 'fusion'), r as (select query_id, chunk_id, score as r from {SOURCES} where stage = 'rerank') select query_id, chunk_id, case when coalesce(r, f) >= 0.45 or f >= 0.55 then 'supported' when coalesce(r, f) >= 0.1 then 'weak' else 'unsupported' end as support from f left join r using (query_id, chunk_id)")
+
+
+@query
+def numeric_record_argmax(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest record, by its total, of every document that holds records."""
+    return history.largest_record(table(spark, d, "documents", "doc_id", "text"), "text", "total", "doc_id")
+
+
+sql(
+    "numeric_record_argmax",
+    r"""
+with r as (select doc_id, unnest(regexp_extract_all(text, '\d{4}[/-]\d{2}[/-]\d{2}[ \t]+\d+(?:/\d+)?')) as x from documents),
+v as (select doc_id, replace(regexp_extract(x, '^(\S+)', 1), '/', '-') as date, regexp_extract(x, '\s(\d+)', 1)::bigint + coalesce(nullif(regexp_extract(x, '/(\d+)$', 1), '')::bigint, 0) as value from r)
+select doc_id, date, value from (select *, row_number() over (partition by doc_id order by value desc, date) as k from v) where k = 1
+""",
+)
+
+
+@query
+def unit_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Values in kilograms that each document states."""
+    rows = table(spark, d, "documents", "doc_id", "text")
+    return rows.select("doc_id", F.explode(history.unit_values(F.col("text"), "kg")).alias("value"))
+
+
+sql("unit_mentions", r"with v as (select doc_id, list_distinct(regexp_extract_all(regexp_replace(text, '(\d)\. (\d)', '\1.\2', 'g'), '(?i)(-?\d+(?:\.\d+)?(?:\s*(?:±|\+/-)\s*\d+(?:\.\d+)?)?)\s*kg(?:[^\p{L}\p{N}]|$)', 1)) as l from documents where text is not null) select doc_id, unnest(l) as value from v")
+
+# --- evaluation and observability ------------------------------------------------------------------------------------
+
+
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = _sources(spark, d)
+    gold = _stage(rows, "rerank", "place").where("place <= 5").select("query_id", F.col("chunk_id").alias("id"))
+    return _stage(rows, "fusion", "place").select("query_id", F.col("chunk_id").alias("id"), "place"), gold
+
+
+@query
+def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The fusion order against the five best of the rerank stage."""
+    return evaluation.ranking_metrics(*_judged(spark, d), k=10)
+
+
+METRICS = f"""
+{RERANK}, {FUSION}, g as (select query_id, chunk_id from k where place <= 5), t as (select query_id, count(*) as n from g group by all), w as (select * from fu where place <= 10), wn as (select query_id, count(*) as n from w group by all),
+h as (select query_id, count(*) as hits, min(place) as p, sum(1 / log2(place + 1)) as dcg from w join g using (query_id, chunk_id) group by all),
+m as (select query_id, coalesce(hits, 0) as hits, round(coalesce(hits, 0) / t.n, 6) as recall_at_k, case when wn.n is null then 0 else round(coalesce(hits, 0) / wn.n, 6) end as precision_at_k, round(coalesce(1 / p, 0), 6) as mrr,
+  round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(t.n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) as ndcg_at_k from t left join wn using (query_id) left join h using (query_id))
+"""
+sql("retrieval_metrics", f"with {METRICS} select * from m")
+
+
+@query
+def grouped_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Means of the metrics by size of the query's candidate list and by whether the best was first, in one pass."""
+    results, gold = _judged(spark, d)
+    sizes = results.groupBy("query_id").agg(F.when(F.count("*") > 15, "long").otherwise("short").alias("length"))
+    rows = evaluation.ranking_metrics(results, gold, k=10).join(sizes, "query_id").withColumn("first", F.when(F.col("mrr") == 1, "yes").otherwise("no"))
+    rows = rows.withColumn("metrics", F.create_map(F.lit("recall"), F.col("recall_at_k"), F.lit("ndcg"), F.col("ndcg_at_k")))
+    return evaluation.metric_means(rows, "length", "first")
+
+
+sql(
+    "grouped_metrics",
+    f"""
+with {METRICS}, z as (select query_id, case when count(*) > 15 then 'long' else 'short' end as length from fu group by query_id),
+x as (select m.*, length, case when mrr = 1 then 'yes' else 'no' end as first from m join z using (query_id)),
+y as (select length, first, 'recall' as metric, recall_at_k as v from x union all select length, first, 'ndcg', ndcg_at_k from x)
+select 'length' as field, length as "group", metric, round(avg(v), 6) as mean, count(*) as n from y group by length, metric union all select 'first', first, metric, round(avg(v), 6), count(*) from y group by first, metric
+""",
+)
+
+
+@query
+def answer_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each query's sources can carry an answer."""
+    rows = _sources(spark, d)
+    wide = rows.groupBy("query_id", "chunk_id").agg(F.max("doc_id").alias("doc_id"), *[F.max(F.when(F.col("stage") == s, F.col("score"))).alias(n) for s, n in (("fusion", "score"), ("rerank", "rerank_score"), ("distance", "_d"), ("bm25", "lexical_score"))])
+    wide = wide.where("score is not null").withColumn("vector_score", N.distance_score(F.col("_d")))
+    out = evaluation.confidence(wide)
+    return out.select("query_id", "confidence", "uncertainty", "no_answer", F.array_join("reasons", ",").alias("reasons"))
+
+
+sql(
+    "answer_confidence",
+    f"""
+with w as (select query_id, chunk_id, max(doc_id) as doc_id, max(case when stage = 'fusion' then score end) as score, max(case when stage = 'rerank' then score end) as rr, 1 / (1 + max(case when stage = 'distance' then score end)) as vs, max(case when stage = 'bm25' then score end) as ls from {SOURCES} group by all having max(case when stage = 'fusion' then score end) is not null),
+k as (select *, row_number() over (partition by query_id order by score desc) as n from w),
+a as (select query_id, count(*) as c, coalesce(max(rr), max(score)) as rr, max(vs) as vs, max(case when n = 1 then score end) - coalesce(max(case when n = 2 then score end), 0) as gap, count(distinct doc_id) as docs, bool_or(vs is not null and ls is not null) as both_ from k group by all),
+f as (select *, round(greatest(0.0::double, least(1.0::double, 0.25::double + least(greatest(rr, 0), 1.5) * 0.22 + case when vs is not null then greatest(0, least(1, vs)) * 0.18 when rr >= 0.1 then 0.08 else 0 end + greatest(0, least(1, gap)) * 0.12 + least(docs, 3) * 0.06 + case when both_ then 0.12 else 0 end)), 4) as confidence from a)
+select query_id, confidence, case when confidence < 0.45 then 'high' when confidence < 0.7 then 'medium' else 'low' end as uncertainty, c < 1 or confidence < 0.35 as no_answer,
+  concat_ws(',', case when c < 1 then 'too_few_sources' end, case when rr < 0.1 then 'low_rerank_score' end, case when vs < 0.2 and rr < 0.1 then 'low_vector_score' end, case when not both_ and c > 1 and confidence < 0.55 and rr < 0.1 then 'low_vector_bm25_agreement' end, case when confidence < 0.35 then 'low_confidence' end) as reasons from f
+""",
+)
+
+
+@query
+def staleness(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose embedding model or profile is no longer their document's."""
+    docs = table(spark, d, "documents", "doc_id", "embedding_model_id", "chunking_profile").alias("current")
+    rows = _chunks(spark, d, "doc_id", "embedding_model_id", "chunking_profile").alias("stored").join(docs, "doc_id")
+    reasons = evaluation.stale_reasons("stored", "current", (("chunking_profile", "chunking_config_changed"), ("embedding_model_id", "embedding_model_changed")))
+    return rows.select(F.col("stored.id").alias("id"), F.array_join(reasons, ",").alias("reasons")).where("reasons <> ''")
+
+
+sql("staleness", f"select * from (select c.id, concat_ws(',', case when c.chunking_profile is distinct from d.chunking_profile then 'chunking_config_changed' end, case when c.embedding_model_id is distinct from d.embedding_model_id then 'embedding_model_changed' end) as reasons from {CHUNKS} c join documents d using (doc_id)) where reasons <> ''")
+
+
+@query
+def index_health(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.index_health(table(spark, d, "documents", "status"), _chunks(spark, d, "text", "char_count", "embedding_model_id"))
+
+
+sql(
+    "index_health",
+    f"""
+with d as (select count(*) as document_count, count(*) filter (status like 'failed%') as failed_count, count(*) filter (status = 'ready') as ready_count from documents),
+c as (select count(*) as chunk_count, count(embedding_model_id) as embedded_count, round(avg(coalesce(char_count, length(text))), 2) as average_length, median(coalesce(char_count, length(text))) as median_length, min(coalesce(char_count, length(text))) as min_length, max(coalesce(char_count, length(text))) as max_length from {CHUNKS}),
+u as (select sum(n)::bigint as n, sum(n - 1)::bigint as duplicate_count from (select count(*) as n from {CHUNKS} where text is not null group by text))
+select d.*, c.*, duplicate_count, round(duplicate_count / u.n, 6) as duplicate_rate from d, c, u
+""",
+)
+
+
+@query
+def duplicate_rate(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.duplicate_rate(table(spark, d, "documents", "text").where("text is not null"))
+
+
+sql("duplicate_rate", "select sum(c)::bigint as n, sum(c - 1)::bigint as duplicates, round(sum(c - 1) / sum(c), 6) as duplicate_rate from (select count(*) as c from documents where text is not null group by text)")
+
+
+@query
+def corpus_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.corpus_snapshot(table(spark, d, "documents", "path"))
+
+
+sql("corpus_snapshot", r"with e as (select lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)) as e from documents) select case when e in ('pdf', 'docx', 'xlsx', 'csv') then e when e = 'md' then 'markdown' when e = 'txt' then 'text' when e in ('py', 'js', 'ts', 'html', 'json') then 'code' else 'other' end as kind, count(*) as documents from e group by 1")
+
+
+@query
+def source_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by source and kind with their subtotals: a roll-up, pre-aggregated before the shuffle."""
+    rows = table(spark, d, "documents", "source", "doc_type", "n_chars").withColumns({"source": F.coalesce("source", F.lit("-")), "doc_type": F.coalesce("doc_type", F.lit("-"))})
+    of = rows.rollup("source", "doc_type").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.grouping_id().alias("level"))
+    return of.select(F.coalesce("source", F.lit("*")).alias("source"), F.coalesce("doc_type", F.lit("*")).alias("doc_type"), "documents", "chars", F.col("level").cast("int").alias("level"))
+
+
+sql("source_rollup", "select coalesce(s, '*') as source, coalesce(t, '*') as doc_type, count(*) as documents, sum(n_chars)::bigint as chars, grouping(s, t)::int as level from (select coalesce(source, '-') as s, coalesce(doc_type, '-') as t, n_chars from documents) group by rollup (s, t)")
+
+
+@query
+def job_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Events as jobs of a user's run: counts of each state and the run's status."""
+    state = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "view", "queued").otherwise("cancelled")
+    return evaluation.run_rollup(table(spark, d, "events", "user_id", "event_type").select(F.col("user_id").alias("run_id"), state.alias("status")))
+
+
+sql(
+    "job_rollup",
+    """
+with a as (select user_id as run_id, count(*) as total, count(*) filter (event_type = 'view') as queued, count(*) filter (event_type = 'click') as running, count(*) filter (event_type = 'purchase') as succeeded, count(*) filter (event_type = 'error') as failed, count(*) filter (event_type not in ('view', 'click', 'purchase', 'error')) as cancelled from events group by all)
+select *, case when queued + running > 0 then 'running' when cancelled = total then 'cancelled' when failed > 0 then 'completed_with_errors' else 'completed' end as status from a
+""",
+)
+
+
+@query
+def newest_page(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty newest events before event 500 as a page of messages."""
+    return history.page_before(table(spark, d, "events", "event_id", "user_id", "event_type"), 500, 20, "event_id")
+
+
+sql("newest_page", "with p as (select event_id, user_id, event_type from events where event_id < 500 order by event_id desc limit 21) select *, (select count(*) > 20 from p) as has_more from (select * from p order by event_id desc limit 20)")
+
+
+@query
+def history_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of a document as turns of a conversation: what fits in a share of the context."""
+    turns = _chunks(spark, d, "doc_id", "chunk_index", "text").where("text is not null").select(F.col("doc_id").alias("conversation_id"), F.col("chunk_index").alias("turn"), F.when(F.col("chunk_index") % 2 == 0, "user").otherwise("assistant").alias("role"), "text")
+    return history.history_budget(turns, 800).select("conversation_id", "turn", "tokens", "pinned")
+
+
+sql(
+    "history_budget",
+    f"""
+with t as (select doc_id as conversation_id, chunk_index as turn, greatest((length(text) + 3) // 4, 1)::int as tokens, chunk_index % 2 = 0 as u from {CHUNKS} where text is not null),
+f as (select *, turn = min(case when u then turn end) over (partition by conversation_id) as pinned from t),
+s as (select *, sum(case when pinned then tokens else 0 end) over (partition by conversation_id) as held, sum(case when pinned then 0 else tokens end) over (partition by conversation_id order by turn desc rows between unbounded preceding and current row) as newer from f)
+select conversation_id, turn, tokens, pinned from s where coalesce(pinned, false) or held + newer <= 280
+""",
+)
+
+# --- joins and aggregates of the relational part ---------------------------------------------------------------------
+
+
+@query
+def semi_or_exists(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with an open order or a dear one: a disjunction of two semi joins, as one over the union of keys."""
+    orders = table(spark, d, "orders", "o_custkey", "o_orderstatus", "o_totalprice")
+    keys = orders.where("o_orderstatus = 'O' or o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer", "c_custkey", "c_name").join(keys, "c_custkey", "left_semi")
+
+
+sql("semi_or_exists", "select c_custkey, c_name from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o_orderstatus = 'O') or exists (select 1 from orders o where o.o_custkey = c.c_custkey and o_totalprice > 400000)")
+
+
+@query
+def anti_unused(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that no line item orders in quantities above 49."""
+    used = table(spark, d, "lineitem", "l_partkey", "l_quantity").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, d, "part", "p_partkey", "p_name").join(used, "p_partkey", "left_anti")
+
+
+sql("anti_unused", "select p_partkey, p_name from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 49)")
+
+
+@query
+def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
+    """A star join: line items to orders, customers and nations, aggregated by nation and year."""
+    items = table(spark, d, "lineitem", "l_orderkey", "l_extendedprice", "l_discount")
+    orders = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    rows = items.join(orders, items.l_orderkey == orders.o_orderkey).join(table(spark, d, "customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation", "n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("n_name", F.year("o_orderdate").alias("year")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+sql("revenue_by_nation", "select n_name, year(o_orderdate)::int as year, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all")
+
+
+@query
+def latest_order(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's latest order: max_by over a struct, no window."""
+    rows = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    top = rows.groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_totalprice")).alias("t"))
+    return top.select("o_custkey", F.col("t.o_orderkey").alias("o_orderkey"), F.col("t.o_totalprice").alias("o_totalprice"))
+
+
+sql("latest_order", "select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as k from orders) where k = 1")
+
+
+@query
+def set_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by where their text turns up: among chunks' and blocks' documents."""
+    a = table(spark, d, "chunks", "doc_id").distinct()
+    b = table(spark, d, "document_blocks", "doc_id").distinct()
+    return a.intersect(b).withColumn("part", F.lit("both")).union(a.subtract(b).withColumn("part", F.lit("chunks"))).union(b.subtract(a).withColumn("part", F.lit("blocks")))
+
+
+sql("set_operations", "with a as (select distinct doc_id from chunks), b as (select distinct doc_id from document_blocks) select doc_id, 'both' as part from (from a intersect from b) union all select doc_id, 'chunks' from (from a except from b) union all select doc_id, 'blocks' from (from b except from a)")
+
+
