@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.numbers import distance_score, squared_distance
+from tessella.functions.numbers import distance_score
 from tessella.functions.text import QUERY_STOPWORDS, WORDS, search_terms, words_of
 
 RRF_K = 60
@@ -209,10 +209,7 @@ def hashed_embedding(text: Column, dimension: int = 64) -> Column:
     """A deterministic embedding: each word adds one to the dimension that its SHA-256 names; length 1, or null."""
     words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORDS})"), F.lit(1))
     places = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.sha2(w, 256), 1, 8), 16, 10).cast("bigint"), F.lit(dimension)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(length > 0, F.transform(counts, lambda x: x / length))
-
-
-def nearest_pairs(a: Column, b: Column) -> Column:
-    return squared_distance(a, b)
+    # one fold over the words: a lambda that named the places would hash all words again for each dimension
+    counts = F.aggregate(places, F.array_repeat(F.lit(0.0), dimension), lambda a, p: F.transform(a, lambda x, i: x + (i == p).cast("double")), lambda a: F.struct(a.alias("c"), F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)).alias("n")))
+    # the fold's result is handed on once, as the only element of an array
+    return F.transform(F.array(counts), lambda r: F.when(r["n"] > 0, F.transform(r["c"], lambda x: x / r["n"])))[0]

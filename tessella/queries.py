@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella import pipeline
 from tessella.functions import numbers as N
 from tessella.functions import text as T
 from tessella.operators import evaluation, evidence, history, retrieval, selection, typed, units
 from tessella.plans.table_plan import Predicate, TablePlan, execute
+from tessella.streaming import events
 from tessella.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -963,3 +965,71 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
 sql("set_operations", "with a as (select distinct doc_id from chunks), b as (select distinct doc_id from document_blocks) select doc_id, 'both' as part from (from a intersect from b) union all select doc_id, 'chunks' from (from a except from b) union all select doc_id, 'blocks' from (from b except from a)")
 
 
+
+# --- pipeline and streams --------------------------------------------------------------------------------------------
+
+
+@query
+def retrieval_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Every held-out question to its context: lexical and dense search, fusion, prior, rerank, window."""
+    return pipeline.retrieve(_questions(spark, d), _chunks(spark, d, "doc_id", "text"))
+
+
+@query
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = events.timed(table(spark, d, "events", "ts", "event_type", "value"))
+    return events.window_counts(rows).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+WINDOWS = "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all"
+sql("event_windows", WINDOWS)
+
+
+@query
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The same windows from a stream with a watermark, run over what is there."""
+    rows = events.timed(events.event_stream(spark, d), late="1 hour")
+    out = events.run_available(events.window_counts(rows), "windows", "complete")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+sql("stream_windows", WINDOWS)
+
+
+@query
+def stream_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Runs rolled up from a stream of their jobs' states."""
+    state = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "view", "queued").otherwise("cancelled")
+    jobs = events.event_stream(spark, d).select(F.col("user_id").alias("run_id"), state.alias("status"))
+    return events.run_available(evaluation.run_rollup(jobs), "rollup", "complete")
+
+
+sql("stream_rollup", SQL["job_rollup"])
+
+
+@query
+def user_sessions(spark: SparkSession, d: str) -> DataFrame:
+    rows = events.timed(table(spark, d, "events", "ts", "user_id"))
+    return events.sessions(rows, "6 hours").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+sql(
+    "user_sessions",
+    """
+with g as (select user_id, ts, case when ts - lag(ts) over w >= interval 6 hours or lag(ts) over w is null then 1 else 0 end as b from events window w as (partition by user_id order by ts)),
+s as (select user_id, ts, sum(b) over (partition by user_id order by ts rows between unbounded preceding and current row) as k from g)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from s group by user_id, k
+""",
+)
+
+
+@query
+def new_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each content, without those whose content a smaller id has: the incremental ingest's rule, as counts by source."""
+    rows = table(spark, d, "documents", "doc_id", "text", "source").where("text is not null").withColumn("h", F.sha2("text", 256))
+    first = rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    kept = rows.join(first, ["h", "doc_id"])
+    return kept.groupBy(F.coalesce("source", F.lit("-")).alias("source")).agg(F.count("*").alias("documents"))
+
+
+sql("new_documents", "with k as (select source, row_number() over (partition by text order by doc_id) as n from documents where text is not null) select coalesce(source, '-') as source, count(*) as documents from k where n = 1 group by 1")
