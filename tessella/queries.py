@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tessella import pipeline
 from tessella.functions import numbers as N
 from tessella.functions import text as T
-from tessella.operators import evaluation, evidence, history, retrieval, selection, typed, units
+from tessella.operators import chunking, evaluation, evidence, history, layout, retrieval, selection, typed, units
 from tessella.plans.table_plan import Predicate, TablePlan, execute
 from tessella.streaming import events
 from tessella.tables import table
@@ -1033,3 +1033,59 @@ def new_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 sql("new_documents", "with k as (select source, row_number() over (partition by text order by doc_id) as n from documents where text is not null) select coalesce(source, '-') as source, count(*) as documents from k where n = 1 group by 1")
+
+# --- laid-out documents ----------------------------------------------------------------------------------------------
+
+
+@query
+def structured_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Parents and children of every document's blocks."""
+    rows = table(spark, d, "document_blocks", "block_id", "doc_id", "block_index", "block_type", "text", "heading_path", "page_number", "bounding_box").dropDuplicates(["block_id"])
+    return chunking.structured_chunks(rows.drop("block_id")).select("doc_id", "parent_no", "child_no", "text", "block_type", F.array_join("heading_path", " > ").alias("section"), "page", "first_block")
+
+
+@query
+def parent_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """An extractive summary of every document's parents."""
+    rows = table(spark, d, "documents", "doc_id", "text")
+    parents = rows.select("doc_id", F.posexplode(T.parent_chunks(F.col("text"))).alias("parent_no", "text"))
+    return parents.select("doc_id", "parent_no", chunking.summary("text").alias("summary"))
+
+
+@query
+def heading_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The open headings above every block, by running windows."""
+    rows = table(spark, d, "document_blocks", "block_id", "doc_id", "block_index", "block_type", "text", "heading_level").dropDuplicates(["block_id"]).withColumnRenamed("heading_level", "level")
+    return layout.heading_paths(rows).select("block_id", F.array_join("heading_path", " > ").alias("section"))
+
+
+sql(
+    "heading_paths",
+    """
+with b as (select distinct on (block_id) * from document_blocks order by block_id), h as (select *, case when block_type = 'title' then 0 when block_type = 'heading' then least(coalesce(heading_level, 1), 4) end as l from b),
+w as (select block_id, """
+    + ", ".join(f"max(case when l = {n} then {{'i': block_index, 't': text}} end) over (partition by doc_id order by block_index rows between unbounded preceding and current row) as h{n}" for n in range(5))
+    + " from h) select block_id, concat_ws(' > ', "
+    + ", ".join(f"case when h{n}.i > greatest(-1, {', '.join([f'coalesce(h{m}.i, -1)' for m in range(n)] or ['-1'])}) then h{n}.t end" for n in range(5))
+    + ") as section from w",
+)
+
+
+@query
+def page_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The union of the boxes of each page's blocks."""
+    rows = table(spark, d, "document_blocks", "block_id", "doc_id", "page_number", "bounding_box").dropDuplicates(["block_id"]).where("bounding_box is not null and page_number is not null")
+    b = [F.col("bounding_box")[i] for i in range(4)]
+    return rows.groupBy("doc_id", "page_number").agg(F.min(b[0]).alias("x0"), F.min(b[1]).alias("top"), F.max(b[2]).alias("x1"), F.max(b[3]).alias("bottom"))
+
+
+sql("page_boxes", "select doc_id, page_number, min(bounding_box[1]) as x0, min(bounding_box[2]) as top, max(bounding_box[3]) as x1, max(bounding_box[4]) as bottom from (select distinct on (block_id) * from document_blocks order by block_id) where bounding_box is not null and page_number is not null group by all")
+
+
+@query
+def body_sizes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "document_blocks", "block_id", "doc_id", "font_size", "text").dropDuplicates(["block_id"]).where("font_size is not null and text is not null")
+    return layout.body_size(rows.withColumnRenamed("font_size", "size"))
+
+
+sql("body_sizes", "with s as (select doc_id, round(font_size, 1) as s, sum(length(text)) as n from (select distinct on (block_id) * from document_blocks order by block_id) where font_size is not null and text is not null group by all) select doc_id, s as body_size from (select *, row_number() over (partition by doc_id order by n desc, s) as k from s) where k = 1")
