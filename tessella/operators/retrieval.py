@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions.numbers import distance_score
 from tessella.functions.text import QUERY_STOPWORDS, WORDS, search_terms, words_of
+from tessella.session import materialise
 
 RRF_K = 60
 #: Term lists of queries up to this many rows are broadcast; beyond it they are joined by shuffle.
@@ -45,11 +46,12 @@ def bm25(queries: DataFrame, chunks: DataFrame, key: str = "id", text: str = "te
     docs = chunks.select(F.col(key).alias("_k"), words_of(F.col(text)).alias("_w"))
     stats = docs.agg(F.count("*").alias("_n"), F.avg(F.size("_w")).alias("_avg"))
     words = docs.select("_k", F.size("_w").alias("_dl"), F.explode("_w").alias("_word"))
-    # a prefix of a word has its length between 3 and its own: an equi-join on prefixes, not a scan of pairs
+    # a term matches prefixes of its own length: an equi-join of words' prefixes with the terms, not a scan of pairs
     lengths = [r[0] for r in asked.select(F.char_length("term").alias("n")).distinct().orderBy("n").collect()]
-    prefixes = F.array_distinct(F.array(*[F.when(F.char_length("_word") >= n, F.substring("_word", 1, n)) for n in lengths] or [F.lit(None).cast("string")]))
+    prefixes = F.array(*[F.when(F.char_length("_word") >= n, F.substring("_word", 1, n)) for n in lengths] or [F.lit(None).cast("string")])
     hits = words.select("_k", "_dl", F.explode(F.array_compact(prefixes)).alias("term")).join(_small(asked), "term")
-    tf = hits.groupBy("term", "_k").agg(F.count("*").alias("_tf"), F.first("_dl").alias("_dl"))
+    # the postings of the asked terms are used twice, for their counts and for the scores
+    tf = materialise(hits.groupBy("term", "_k").agg(F.count("*").alias("_tf"), F.first("_dl").alias("_dl")), "postings")
     df = tf.groupBy("term").agg(F.count("*").alias("_df"))
     scored = tf.join(_small(df), "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
