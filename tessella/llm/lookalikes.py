@@ -184,11 +184,13 @@ def _scan(batches: Iterator[pd.DataFrame], keep_text: bool) -> Iterator[pd.DataF
             pending = [{"token": t, "place": i, "form": f} for t, fs in doubts.items() for i, f in enumerate(fs)]
             rows.append((key, digest(text), None if doubts else digest(base), base if doubts or keep_text else None, pending or None))
             held.update(t.lower() for t in TOKEN.findall(base) if t not in doubts)
-        yield pd.DataFrame(rows, columns=["k", "raw", "form", "text", "doubts"])
+        if rows:  # an empty frame has no type for its nested column
+            yield pd.DataFrame(rows, columns=["k", "raw", "form", "text", "doubts"])
         if len(held) > HELD:
             yield words()
             held.clear()
-    yield words()
+    if held:
+        yield words()
 
 
 def _forms(rows: DataFrame, keep_text: bool) -> DataFrame:

@@ -81,7 +81,7 @@ def pair_model(texts: DataFrame, most_pairs: int = 200_000) -> dict[int, float]:
 class Repair:
     """Search with a model of pairs. margin: by how much a pair must get cheaper on average where a step doesn't prove itself."""
 
-    def __init__(self, model: dict[int, float], margin: float = 1.5, suspect: float = 11.5, mean: float = 8.5, expansions: int = 48):
+    def __init__(self, model: dict[int, float], margin: float = 1.5, suspect: float = 11.5, mean: float = 7.5, expansions: int = 48):
         self.model, self.margin, self.suspect, self.mean, self.expansions = model, margin, suspect, mean, expansions
 
     def cost(self, text: str) -> tuple[float, int, float]:
@@ -96,6 +96,8 @@ class Repair:
                     worst = x
             before = c
         fixed = 40.0 * (len(CONTROL.findall(text)) + len(FRAMES.findall(text))) + 60.0 * text.count(LOST)
+        if "&" in text:
+            fixed += 25.0 * len(REFERENCE.findall(text))
         return total + fixed, n, worst
 
     def steps(self, text: str, single: bool) -> Iterator[tuple[str, str, bool]]:
@@ -188,7 +190,9 @@ def repair_encoding(documents: DataFrame, key: str = "doc_id", text: str = "text
             done = [repair.document(t) for t in batch["text"]]
             out = pd.DataFrame({"k": batch["k"], "restored": [d[0] for d in done], "steps": [d[1] for d in done], "lost": [d[2] for d in done]})
             out["garbled"] = (out["steps"].str.len() > 0) | out["lost"]
-            yield out[out["garbled"]] if garbled_only else out
+            out = out[out["garbled"]] if garbled_only else out
+            if len(out):  # an empty frame has no type for its nested column
+                yield out
 
     found = rows.mapInPandas(run, f"k {kind}, restored string, steps array<string>, lost boolean, garbled boolean")
     return found.withColumnRenamed("k", key)

@@ -112,7 +112,7 @@ def _sets(batches: Iterator[pd.DataFrame], width: int, least_words: int) -> Iter
 
 
 def _banded(batches: Iterator[pd.DataFrame], bands: int, width: int, seed: int, cap: int) -> Iterator[pd.DataFrame]:
-    """Rows (bucket, salt, hot, c). Input: c, s, and the bucket above, 0 at first."""
+    """Rows (bucket, salt, hot, c). Input: c, s, and the bucket above, at first a hash of the kind, so that kinds don't meet."""
     from pyspark import TaskContext
 
     task, turn = TaskContext.get().partitionId(), 0
@@ -123,8 +123,7 @@ def _banded(batches: Iterator[pd.DataFrame], bands: int, width: int, seed: int,
         turn += 1
         keys = band_keys([np.frombuffer(s, dtype=np.uint32) for s in batch["s"]], bands, width, seed)
         above = batch["up"].to_numpy(dtype=np.int64).astype(np.uint64)
-        if seed:
-            keys = mix(keys + mix(above)[:, None]) & KEY
+        keys = mix(keys + mix(above)[:, None]) & KEY
         flat, c = keys.ravel().astype(np.int64), np.repeat(batch["c"].to_numpy(dtype=np.int64), bands)
         order = np.lexsort((c, flat))
         flat, c = flat[order], c[order]
@@ -195,7 +194,7 @@ def _edges(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
 
 def _candidates(sets: DataFrame, bands: int, width: int, cap: int, levels: int) -> DataFrame:
     """Distinct pairs a < b of classes that may be similar, and the star edges of large buckets."""
-    rows, found = sets.select("c", "s", F.lit(0).cast("bigint").alias("up")), None
+    rows, found = sets.select("c", "s", F.xxhash64("kind").alias("up")), None
     for level in range(levels):
         n, w = (bands, width) if level == 0 else (bands // 2, max(2, width // 2))
         banded = rows.mapInPandas(lambda b, n=n, w=w, level=level: _banded(b, n, w, level, cap), "bucket bigint, salt bigint, hot boolean, c bigint")
@@ -243,7 +242,7 @@ def similar_classes(records: DataFrame, key: str, text: str, kind: Column, width
     return materialise(sets.select("kind", "k", "c").distinct(), "members"), links
 
 
-def near_duplicate_pairs(records: DataFrame, key: str, text: str = "text", kind: Column | None = None, width: int = 5, threshold: float = 0.8, least_words: int = 1, bands: int = 36, band_width: int = 4, cap: int = 16, expand_copies: int = 256) -> DataFrame:
+def near_duplicate_pairs(records: DataFrame, key: str, text: str = "text", kind: Column | None = None, width: int = 5, threshold: float = 0.8, least_words: int = 1, bands: int = 44, band_width: int = 4, cap: int = 16, expand_copies: int = 256) -> DataFrame:
     """kind, key_a, key_b: records of one kind, key_a < key_b as text, that share at least threshold of their runs of width words.
 
     The share is of all distinct runs in either text; both need least_words words (and width). Texts of one set of
@@ -251,8 +250,8 @@ def near_duplicate_pairs(records: DataFrame, key: str, text: str = "text", kind:
     which the pairs would be its square, as pairs of each copy with the smallest key, which then stands for the class
     in its other pairs: membership and representatives say the same, and no link between different texts is lost.
 
-    A pair at the threshold shares a bucket with probability 1 - (1 - threshold ** band_width) ** bands: 0.993 at 0.6,
-    and 0.9999 from 0.7 on. Null texts and keys are left out, repeated rows count once, other columns are ignored.
+    A pair at the threshold shares a bucket with probability 1 - (1 - threshold ** band_width) ** bands: 0.998 at 0.6,
+    and 0.99999 from 0.7 on. Null texts and keys are left out, repeated rows count once, other columns are ignored.
     """
     members, links = similar_classes(records, key, text, kind if kind is not None else F.lit(""), width, threshold, least_words, bands, band_width, cap)
     classes = members.groupBy("kind", "c").agg(F.count("*").alias("n"), F.min("k").alias("least"))
@@ -290,7 +289,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicate_groups(records: DataFrame, key: str, text: str = "text", width: int = 5, threshold: float = 0.8, least_words: int = 1, bands: int = 36, band_width: int = 4, cap: int = 16) -> DataFrame:
+def near_duplicate_groups(records: DataFrame, key: str, text: str = "text", width: int = 5, threshold: float = 0.8, least_words: int = 1, bands: int = 44, band_width: int = 4, cap: int = 16) -> DataFrame:
     """key, class_id, group_id, n_copies, n_links: one row per record with at least width words.
 
     class_id stands for the texts of one set of runs, group_id for all classes joined by links, directly or through

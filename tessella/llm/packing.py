@@ -140,8 +140,10 @@ def _packed(batches: Iterator[pd.DataFrame], capacity: int, most_open: int) -> I
             done = packer.put(size, (size, place, list(members)))
             if done is not None:
                 out.append(row(done, True))
-        yield pd.DataFrame(out, columns=columns)
-    yield pd.DataFrame([row(items, False) for _, items in packer.rest()], columns=columns)
+        if out:  # an empty frame has no type for its nested column
+            yield pd.DataFrame(out, columns=columns)
+    if left := [row(items, False) for _, items in packer.rest()]:
+        yield pd.DataFrame(left, columns=columns)
 
 
 MEMBERS = "array<struct<k:{0},piece:int,start:int,size:int>>"

@@ -476,7 +476,8 @@ def repair_scans(pdfs: DataFrame | None, blocks: DataFrame | None, corpus: DataF
                 unit.find_furniture(headings.value)
                 rows.append((row.source_table, row.unit, None, sorted(unit.furniture)))
                 rows += [(row.source_table, row.unit, w, None) for w in unit.asks(common.value)]
-            yield pd.DataFrame(rows, columns=["source_table", "unit", "word", "furniture"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["source_table", "unit", "word", "furniture"])
 
     seen = materialise(units.mapInPandas(ask, "source_table string, unit string, word string, furniture array<int>"), "asked")
     asked = seen.where("word is not null").drop("furniture")
@@ -502,7 +503,8 @@ def repair_scans(pdfs: DataFrame | None, blocks: DataFrame | None, corpus: DataF
                 known = {a["word"]: (a["n"], a["meant"]) for a in row.answers} if row.answers is not None else {}
                 found, paragraphs = unit.defects(known, common.value)
                 rows.append((row.source_table, row.unit, [{"record_id": records[i], "line_no": numbers[i], "defect": x} for i, x in found if records[i]], paragraphs))
-            yield pd.DataFrame(rows, columns=["source_table", "unit", "defects", "paragraphs"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["source_table", "unit", "defects", "paragraphs"])
 
     schema = "source_table string, unit string, defects array<struct<record_id:string,line_no:bigint,defect:string>>, paragraphs array<string>"
     lines = seen.where("word is null").select("source_table", "unit", "furniture")
