@@ -91,7 +91,7 @@ def dense(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: s
                 keys = np.array([[v for v in row] for row in best_k], dtype=object)
                 order = np.array([sorted(range(best_d.shape[1]), key=lambda j, i=i: (best_d[i, j], keys[i, j]))[:most] for i in range(len(names))]) if best_d.shape[1] <= 4 * most else _best(best_d, keys, most)
                 best_d, best_k = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_k, order, 1)
-            for i, name in enumerate(names):
+            for i, name in enumerate(names if best_d.shape[1] else []):
                 yield pd.DataFrame({"query_id": [name] * best_d.shape[1], "k": list(best_k[i]), "distance": best_d[i]})
 
         return rows.mapInPandas(run, f"query_id {of}, k {kind}, distance double")

@@ -45,7 +45,7 @@ def typed_cell(raw: Column) -> Column:
         .otherwise("decimal")
     )
     normalized = F.when(kind == "boolean", F.lower(text)).when(kind.isin(*NUMERIC), value).when((kind == "text") & (F.char_length(raw) <= LONGEST_CELL), text)
-    unit = F.when(kind == "percentage", F.lit("%")).when((kind == "decimal") & (unit != ""), unit)
+    unit = F.when(kind == "percentage", F.lit("%")).when((kind == "decimal") & (unit != "") & ~text.rlike(f"^{NUMBER}$"), unit)
     warnings = F.when(F.char_length(raw) > LONGEST_CELL, F.array(F.lit("cell_length_limit_exceeded"))).otherwise(F.array().cast("array<string>"))
     return F.struct(normalized.alias("normalized"), kind.alias("value_type"), unit.alias("unit"), warnings.alias("warnings"))
 

@@ -217,7 +217,7 @@ v as (select *, {VALUE.format("try_cast(replace(num, ',', '') as decimal(38,18))
 k as (select *, case when raw is null or t = '' then 'missing' when lower(t) in ('true', 'false') then 'boolean' when val is null then 'text'
   when regexp_full_match(t, '{NUMBER}\s*%') then 'percentage' when regexp_full_match(t, '[-+]?[0-9]+(?:,[0-9]{{3}})*') then 'integer' else 'decimal' end as value_type from v)
 select id, value_type, case when value_type = 'boolean' then lower(t) when value_type in ('integer', 'decimal', 'percentage') then val when value_type = 'text' then t end as normalized,
-  case when value_type = 'percentage' then '%' when value_type = 'decimal' then nullif(regexp_extract(t, '{typed.WITH_UNIT}', 2), '') end as unit from k
+  case when value_type = 'percentage' then '%' when value_type = 'decimal' and not regexp_full_match(t, '{NUMBER}') then nullif(regexp_extract(t, '{typed.WITH_UNIT}', 2), '') end as unit from k
 """,
 )
 
