@@ -385,7 +385,8 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 counts.update({p: n for p in parts})
                 counts[parts[0] + "-"] += n
         kept = [(t, n) for t, n in counts.items() if not t.isdigit()]
-        yield pd.DataFrame({"word": [t for t, _ in kept], "n": [n for _, n in kept]})
+        if kept:
+            yield pd.DataFrame({"word": [t for t, _ in kept], "n": [n for _, n in kept]})
 
 
 def _unit(row) -> tuple[Unit, list[str], list[int]]:
@@ -439,7 +440,8 @@ def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             unit, _, _ = _unit(row)
             keys = {head_key(unit.texts[i]) for i in unit.full if headlike(unit.texts[i]) and len(unit.texts[i].split()) <= 6}
             rows += [(row.source_table, row.unit, k) for k in keys]
-        yield pd.DataFrame(rows, columns=["source_table", "unit", "key"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["source_table", "unit", "key"])
 
 
 def repair_scans(pdfs: DataFrame | None, blocks: DataFrame | None, corpus: DataFrame, common_words: int = 20_000, head_share: float = 0.02) -> DataFrame:
