@@ -108,7 +108,8 @@ def _sets(batches: Iterator[pd.DataFrame], width: int, least_words: int) -> Iter
             if len(terms) >= max(least_words, width):
                 data = shingle_set(hashes(terms), width).tobytes()
                 out.append((kind, key, xxhash.xxh64_intdigest(data, seed=xxhash.xxh32_intdigest(kind)) - (1 << 63), data))
-        yield pd.DataFrame(out, columns=["kind", "k", "c", "s"])
+        if out:
+            yield pd.DataFrame(out, columns=["kind", "k", "c", "s"])
 
 
 def _banded(batches: Iterator[pd.DataFrame], bands: int, width: int, seed: int, cap: int) -> Iterator[pd.DataFrame]:
@@ -192,6 +193,14 @@ def _edges(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
         yield from work(carry, True)
 
 
+def sets_of(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """c, s of the classes asked for. If they are few, by count, they go to the sets, so that only those are shuffled."""
+    classes = materialise(classes, "classes")
+    if classes.count() <= BROADCAST_ROWS:
+        classes = F.broadcast(classes)
+    return sets.select("c", "s").join(classes, "c", "left_semi").dropDuplicates(["c"])
+
+
 def _candidates(sets: DataFrame, bands: int, width: int, cap: int, levels: int) -> DataFrame:
     """Distinct pairs a < b of classes that may be similar, and the star edges of large buckets."""
     rows, found = sets.select("c", "s", F.xxhash64("kind").alias("up")), None
@@ -205,7 +214,7 @@ def _candidates(sets: DataFrame, bands: int, width: int, cap: int, levels: int)
         over = edges.where("bucket >= 0").select(F.col("a").alias("c"), F.col("bucket").alias("up")).distinct()
         if over.isEmpty():
             return found.distinct()
-        rows = materialise(over.join(sets.select("c", "s").dropDuplicates(["c"]), "c").select("c", "s", "up"), "large")
+        rows = materialise(over.join(sets_of(sets, over.select("c").distinct()), "c").select("c", "s", "up"), "large")
     # so many bins agree that these are results: all pairs of a bucket, block by block
     sizes = rows.groupBy("up").agg((F.count("*") / 64 + 1).cast("int").alias("m"))
     blocked = rows.select("c", "up").join(sizes, "up").withColumn("i", F.pmod(F.hash("c"), "m"))
@@ -225,7 +234,8 @@ def _verified(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.
             common = len(np.intersect1d(x, y, assume_unique=True))
             if common >= threshold * (len(x) + len(y) - common) - 1e-9:
                 out.append((a, b, common / (len(x) + len(y) - common)))
-        yield pd.DataFrame(out, columns=["a", "b", "similarity"])
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b", "similarity"])
 
 
 def similar_classes(records: DataFrame, key: str, text: str, kind: Column, width: int, threshold: float, least_words: int, bands: int, band_width: int, cap: int, levels: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -233,10 +243,7 @@ def similar_classes(records: DataFrame, key: str, text: str, kind: Column, width
     rows = records.select(kind.cast("string").alias("kind"), F.col(key).cast("string").alias("k"), F.col(text).alias("text")).where("text is not null and k is not null")
     sets = materialise(rows.mapInPandas(lambda b: _sets(b, width, least_words), "kind string, k string, c bigint, s binary"), "sets")
     pairs = materialise(_candidates(sets, bands, band_width, cap, levels), "pairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    if need.count() <= BROADCAST_ROWS:
-        need = F.broadcast(need)
-    wanted = materialise(sets.select("c", "s").join(need, "c", "left_semi").dropDuplicates(["c"]), "wanted")
+    wanted = materialise(sets_of(sets, pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()), "wanted")
     both = pairs.join(wanted.select(F.col("c").alias("a"), "s"), "a").join(wanted.select(F.col("c").alias("b"), F.col("s").alias("t")), "b")
     links = materialise(both.mapInPandas(lambda b: _verified(b, threshold), "a bigint, b bigint, similarity double"), "links")
     return materialise(sets.select("kind", "k", "c").distinct(), "members"), links
