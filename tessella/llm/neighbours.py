@@ -159,7 +159,7 @@ def _searched(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]
         yield from leaf_neighbours(carry, k)
 
 
-def nearest(vectors: DataFrame, key: str = "id", vector: str = "vector", k: int = 5, dimension: int = 64, queries: str | None = None, trees: int = 10, leaf: int = 1024, probes: int = 24, sample: int = 20_000, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, key: str = "id", vector: str = "vector", k: int = 5, dimension: int = 64, queries: str | None = None, trees: int = 10, leaf: int = 1024, probes: int = 40, sample: int = 20_000, seed: int = 7) -> DataFrame:
     """key, neighbours array<struct<similarity, id>>: for every vector the ids of its k most similar others.
 
     Similarity is the cosine in double precision, rounded to 6 decimals; of equals the smaller id (as text) goes
