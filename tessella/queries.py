@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tessella import pipeline
 from tessella.functions import numbers as N
 from tessella.functions import text as T
-from tessella.operators import chunking, evaluation, evidence, history, layout, retrieval, selection, typed, units
+from tessella.operators import catalogue, chunking, evaluation, evidence, history, layout, retrieval, selection, typed, units
 from tessella.plans.table_plan import Predicate, TablePlan, execute
 from tessella.streaming import events
 from tessella.tables import table
@@ -1089,3 +1089,78 @@ def body_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 sql("body_sizes", "with s as (select doc_id, round(font_size, 1) as s, sum(length(text)) as n from (select distinct on (block_id) * from document_blocks order by block_id) where font_size is not null and text is not null group by all) select doc_id, s as body_size from (select *, row_number() over (partition by doc_id order by n desc, s) as k from s) where k = 1")
+
+# --- around retrieval ------------------------------------------------------------------------------------------------
+
+
+@query
+def retrieval_routes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "eval_cases", "item_id", "question").where("question is not null")
+    return rows.select("item_id", catalogue.retrieval_route(F.col("question"), F.lit("auto")).alias("route"))
+
+
+sql(
+    "retrieval_routes",
+    "with c as (select item_id, lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) as p from eval_cases where question is not null) select item_id, case when "
+    + " or ".join(f"contains(p, '{x}')" for x in catalogue.DOCUMENT_CUES)
+    + f" then 'medium' when regexp_matches(p, '{catalogue.GREETING}') or "
+    + " or ".join(f"contains(p, '{x}')" for x in catalogue.OTHER_CUES)
+    + " or (len(string_split(p, ' ')) <= 4 and not p like '%?') then 'off' else 'medium' end as route from c",
+)
+
+
+@query
+def document_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's name, its number of chunks and the ids of its preview."""
+    made = catalogue.document_payloads(table(spark, d, "documents", "doc_id", "display_name", "path"), _chunks(spark, d, "doc_id", "chunk_index", "text"))
+    return made.select("doc_id", "name", "n_chunks", F.coalesce(F.array_join(F.transform("preview", lambda p: p["id"]), ","), F.lit("")).alias("preview_ids"))
+
+
+sql(
+    "document_payloads",
+    f"""
+with p as (select doc_id, count(*) as n, string_agg(id, ',' order by chunk_index, id) filter (k <= 20) as ids from (select *, row_number() over (partition by doc_id order by chunk_index, id) as k from {CHUNKS}) group by doc_id)
+select doc_id, coalesce(nullif(trim(display_name), ''), list_last(string_split(path, '/'))) as name, coalesce(n, 0) as n_chunks, coalesce(ids, '') as preview_ids from documents left join p using (doc_id)
+""",
+)
+
+
+@query
+def retrieval_counts(spark: SparkSession, d: str) -> DataFrame:
+    return catalogue.retrieval_counts(table(spark, d, "documents", "doc_id"), table(spark, d, "compression_sources", "query_id", "doc_id"))
+
+
+sql("retrieval_counts", "select doc_id, count(distinct query_id) as retrieval_count from documents left join compression_sources using (doc_id) group by doc_id")
+
+
+@query
+def unit_answers(spark: SparkSession, d: str) -> DataFrame:
+    """What each query's fusion results say in kilograms, rendered with citations."""
+    rows = _stage(_sources(spark, d), "fusion", "place").join(_chunks(spark, d, "text").withColumnRenamed("id", "chunk_id"), "chunk_id")
+    found = rows.select("query_id", "place", F.concat(F.lit("S"), F.col("place").cast("string")).alias("source_id"), F.explode(history.unit_values(F.col("text"), "kg")).alias("value"))
+    return catalogue.unit_answers(found)
+
+
+@query
+def quality_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Each held-out passage judged as an answer to its question, with itself as the context."""
+    rows = table(spark, d, "eval_cases", "item_id", "question", "passage").where("question is not null and passage is not null")
+    made = evaluation.quality_estimates(F.col("question"), F.col("passage"), F.col("passage"))
+    return rows.select("item_id", made.alias("q")).select("item_id", "q.*")
+
+
+@query
+def chunk_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Which chunks would be expanded by layout, and which can be evidence."""
+    rows = _chunks(spark, d, "text", "block_type").where("text is not null")
+    return rows.select("id", selection.wants_layout(F.lit(""), F.col("text"), F.coalesce("block_type", F.lit("paragraph"))).alias("expands"), evidence.qualifying(F.col("text")).alias("qualifies"))
+
+
+sql(
+    "chunk_classes",
+    rf"""
+select id, coalesce(block_type, 'paragraph') in ('table', 'caption', 'footnote') or regexp_matches(ltrim(text, ' '), '(?i)^(?:this|that|these|those|it|they|such|the (?:above|following|latter|former))(?:[^\p{{L}}\p{{N}}_]|$)') as expands,
+  len(regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')) >= 18 and not regexp_matches(text, '(?i)^\s*(?:references|bibliography|acknowledg(?:e)?ments?|table of contents)\b') and not regexp_matches(text, '(?i)\b(?:doi:|arxiv:|https?://\S+)\s*$') as qualifies
+from {CHUNKS} where text is not null
+""",
+)
