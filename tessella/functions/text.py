@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,12 @@ WORDS = r"[\p{L}\p{N}_]+"
 SENTENCE_END = r"(?<=[.!?])\s+|\n+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once. Inside a fold or a lambda Spark evaluates a repeated expression each time
+    it stands; as the only element of an array it is evaluated when the array is made."""
+    return F.transform(F.array(value), body)[0]
+
+
 def word_tokens(text: Column) -> Column:
     """Runs of non-blanks, at least 1: the estimate that chunking uses."""
     return F.greatest(F.regexp_count(text, F.lit(r"\S+")), F.lit(1))
@@ -80,15 +86,21 @@ def _pack(units: Column, target: Column, most: Column, glue: str, overlap: Colum
         return F.regexp_count(text, F.lit(r"\S+"))
 
     def step(a: Column, unit: Column) -> Column:
-        size = word_tokens(unit)
-        full = (a["text"] != "") & (a["n"] + size > most)
-        opened = F.when(full, tail(a["text"])).otherwise(a["text"])
-        before = F.when(full, count(opened)).otherwise(a["n"])
-        done = F.when(full, F.array_append(a["done"], a["text"])).otherwise(a["done"])
-        text = F.when(opened == "", unit).otherwise(F.concat(opened, F.lit(glue), unit))
-        closes = before + size >= target
-        left = F.when(closes, tail(text)).otherwise(text)
-        return F.struct(F.when(closes, F.array_append(done, text)).otherwise(done).alias("done"), left.alias("text"), F.when(closes, count(left)).otherwise(before + size).cast("int").alias("n"))
+        def with_size(s: Column) -> Column:
+            full = (a["text"] != "") & (a["n"] + s > most)
+            return let(F.struct(full.alias("full"), F.when(full, tail(a["text"])).otherwise(a["text"]).alias("text")), lambda o: opened(s, o))
+
+        def opened(s: Column, o: Column) -> Column:
+            text = F.when(o["text"] == "", unit).otherwise(F.concat(o["text"], F.lit(glue), unit))
+            n = F.when(o["full"], count(o["text"])).otherwise(a["n"]) + s
+            done = F.when(o["full"], F.array_append(a["done"], a["text"])).otherwise(a["done"])
+            return let(F.struct(text.alias("text"), n.alias("n"), done.alias("done")), packed)
+
+        def packed(p: Column) -> Column:
+            closed = let(tail(p["text"]), lambda t: F.struct(F.array_append(p["done"], p["text"]).alias("done"), t.alias("text"), count(t).cast("int").alias("n")))
+            return F.when(p["n"] >= target, closed).otherwise(F.struct(p["done"].alias("done"), p["text"].alias("text"), p["n"].cast("int").alias("n")))
+
+        return let(word_tokens(unit), with_size)
 
     return F.aggregate(units, start, step, lambda a: F.when(a["text"] != "", F.array_append(a["done"], a["text"])).otherwise(a["done"]))
 
