@@ -122,6 +122,31 @@ def parent_chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode(T.parent_chunks(F.col("text"))).alias("parent_no", "text")).withColumn("tokens", T.word_tokens(F.col("text")))
 
 
+SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+BLOCKS = r"list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+UNITS = rf"""
+bl as (select doc_id, bi, l[bi] as block from (select doc_id, {BLOCKS} as l from documents where text is not null), unnest(range(1, len(l) + 1)) t(bi)),
+ln as (select *, list_filter(list_transform(string_split(block, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as ls from bl),
+un as (select doc_id, bi, case when len(ls) > 1 and len(list_filter(ls, lambda x: regexp_matches(x, '\d') and (regexp_matches(x, '[,\t/]') or regexp_matches(x, '\s\d')))) >= greatest(2, len(ls) // 2) then ls else {SENTENCES.format("block")} end as us from ln)"""
+
+
+def _parents_sql(sizes: str) -> str:
+    """The SQL of parents; sizes is a query of doc_id, pt and pm, their target and most words."""
+    return rf"""
+with recursive {UNITS}, sz as ({sizes}),
+fl as (select doc_id, bi, ui, us[ui] as u, pt, pm from un join sz using (doc_id), unnest(range(1, len(us) + 1)) t(ui)),
+ws as (select *, regexp_split_to_array(u, '\s+') as w from fl),
+pc as (select doc_id, bi, ui, st, pt, pm, case when len(w) > pm then array_to_string(w[st + 1:st + pm], ' ') else u end as u, case when len(w) > pm then least(pm, len(w) - st) else len(w) end as size from ws, unnest(range(0, len(w), pm)) t(st)),
+nu as (select doc_id, u, size, pt, pm, row_number() over (partition by doc_id order by bi, ui, st) as i from pc),
+pk as (select doc_id, i, size as n, 0 as p from nu where i = 1
+  union all select nu.doc_id, nu.i, case when pk.n >= pt or pk.n + nu.size > pm then nu.size else pk.n + nu.size end, case when pk.n >= pt or pk.n + nu.size > pm then pk.p + 1 else pk.p end from pk join nu on nu.doc_id = pk.doc_id and nu.i = pk.i + 1)
+select doc_id, p::int as parent_no, string_agg(u, chr(10) order by i) as text, greatest(len(regexp_extract_all(string_agg(u, chr(10) order by i), '[^ \t\n\x0b\f\r]+')), 1)::int as tokens from nu join pk using (doc_id, i) group by doc_id, p
+"""
+
+
+sql("parent_chunks", _parents_sql("select doc_id, 520 as pt, 650 as pm from documents"))
+
+
 @query
 def child_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Children of every document's parents, under the profile's sizes and overlap."""
@@ -137,6 +162,41 @@ def context_blocks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode(T.context_blocks(F.col("text"))).alias("block_no", "b")).select("doc_id", "block_no", "b.kind", "b.text")
 
 
+PARENTS = _parents_sql("select doc_id, least(parent_target_tokens, parent_max_tokens) as pt, parent_max_tokens as pm from documents join rag_settings on profile = coalesce(chunking_profile, 'default')")
+sql(
+    "child_chunks",
+    rf"""
+with recursive pr as ({PARENTS}),
+bl as (select doc_id, parent_no, bi, l[bi] as block from (select doc_id, parent_no, {BLOCKS} as l from pr), unnest(range(1, len(l) + 1)) t(bi)),
+ln as (select *, list_filter(list_transform(string_split(block, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as ls from bl),
+un as (select doc_id, parent_no, bi, case when len(ls) > 1 and len(list_filter(ls, lambda x: regexp_matches(x, '\d') and (regexp_matches(x, '[,\t/]') or regexp_matches(x, '\s\d')))) >= greatest(2, len(ls) // 2) then ls else {SENTENCES.format("block")} end as us from ln),
+st as (select doc_id, least(child_target_tokens, child_max_tokens) as target, child_max_tokens as most, child_overlap_tokens as lap from documents join rag_settings on profile = coalesce(chunking_profile, 'default')),
+fl as (select doc_id, parent_no, bi, ui, us[ui] as raw, regexp_split_to_array(us[ui], '\s+') as w, target, most, lap from un join st using (doc_id), unnest(range(1, len(us) + 1)) t(ui)),
+pc as (select doc_id, parent_no, case when len(w) > most then array_to_string(w[c + 1:c + most], ' ') else raw end as u, least(most, len(w) - c) as size, target, most, lap, row_number() over (partition by doc_id, parent_no order by bi, ui, c) as i from fl, unnest(range(0, len(w), most)) t(c)),
+pk as (select doc_id, parent_no, 0::bigint as i, ''::varchar as cur, 0::bigint as n, null::varchar as a, null::varchar as b from pc where i = 1
+  union all select doc_id, parent_no, i, case when n2 >= target then tl else txt end, case when n2 >= target then case when tl = '' then 0 else len(string_split(tl, ' ')) end else n2 end, case when f then cur end, case when n2 >= target then txt end
+    from (select *, case when lap > 0 then array_to_string(list_reverse(list_reverse(regexp_split_to_array(txt, '\s+'))[1:lap]), ' ') else '' end as tl
+      from (select *, case when op = '' then u else op || ' ' || u end as txt, case when f then case when op = '' then 0 else len(string_split(op, ' ')) end else n end + size as n2
+        from (select pc.doc_id, pc.parent_no, pc.i, pc.u, pc.size, pc.target, pc.lap, pk.cur, pk.n, pk.cur <> '' and pk.n + pc.size > pc.most as f,
+          case when pk.cur <> '' and pk.n + pc.size > pc.most then case when pc.lap > 0 then array_to_string(list_reverse(list_reverse(regexp_split_to_array(pk.cur, '\s+'))[1:pc.lap]), ' ') else '' end else pk.cur end as op
+          from pk join pc on pc.doc_id = pk.doc_id and pc.parent_no = pk.parent_no and pc.i = pk.i + 1)))),
+o as (select doc_id, parent_no, i, 0 as k, a as text from pk where a is not null union all select doc_id, parent_no, i, 1, b from pk where b is not null
+  union all select doc_id, parent_no, i, 2, cur from (select *, max(i) over (partition by doc_id, parent_no) as m from pk) where i = m and cur <> '')
+select doc_id, parent_no, (row_number() over (partition by doc_id, parent_no order by i, k) - 1)::int as child_no, text from o
+""",
+)
+sql(
+    "context_blocks",
+    rf"""
+with bl as (select doc_id, bi, l[bi] as block from (select doc_id, {BLOCKS} as l from documents where text is not null), unnest(range(1, len(l) + 1)) t(bi)),
+ls as (select *, list_filter(string_split(block, chr(10)), lambda x: trim(x, ' ') <> '') as ls from bl),
+k as (select doc_id, bi, case when starts_with(block, '```') or len(list_filter(ls, lambda x: contains(x, chr(9)) or contains(x, '|'))) > 0 or len(list_filter(ls, lambda x: not regexp_matches(x, '^\s*(?:[-*•]|\d+[.)])\s+'))) = 0 then [block] end as whole, {SENTENCES.format("block")} as parts from ls),
+e as (select doc_id, bi, ui, case when whole is not null then 'structured' else 'prose' end as kind, coalesce(whole, parts)[ui] as text from k, unnest(range(1, len(coalesce(whole, parts)) + 1)) t(ui))
+select doc_id, (row_number() over (partition by doc_id order by bi, ui) - 1)::int as block_no, kind, text from e
+""",
+)
+
+
 @query
 def contextual_text(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "documents", "doc_id", "display_name")
