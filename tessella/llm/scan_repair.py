@@ -211,8 +211,36 @@ class Unit:
             best = best[2]
         return out[::-1]
 
+    def at_edge(self, same: list[int], edges: dict[int, int], numbers: set[int]) -> bool:
+        """Whether lines of one key stand where a head or foot does, page after page of this file.
+
+        Where pages are known, that is in one place from their top or bottom, page numbers not counted, on most pages, or
+        on all left or all right ones. Else it is beside page numbers or at the file's ends, more often than not, and
+        beside half of the numbers; without numbers, at even distances from end to end.
+        """
+        if edges:
+            lines: dict[int, list[int]] = {}
+            for i in self.full:
+                if self.pages[i] is not None and i not in numbers:
+                    lines.setdefault(self.pages[i], []).append(i)
+            wanted, places = set(same), {}
+            for page, on in lines.items():
+                for k, i in enumerate(on):
+                    if i in wanted:
+                        places.setdefault(k, set()).add(page)
+                        places.setdefault(k - len(on), set()).add(page)
+            n = len(set(edges.values()))
+            return any(-3 <= k < 3 and len(p) >= 2 and (len(p) * 2 > n or (len(p) >= 3 and len(p) * 2 >= n - 1 and len({x % 2 for x in p}) == 1)) for k, p in places.items())
+        place = {i: k for k, i in enumerate(self.full)}
+        sides = max(sum(1 for i in same if 0 <= place[i] + d < len(self.full) and self.full[place[i] + d] in numbers) for d in (-1, 1))
+        if numbers:
+            sides += sides and sum(1 for i in same if place[i] in (0, len(self.full) - 1))
+            return len(same) >= 2 and sides * 2 > len(same) and sides * 2 >= len(numbers)
+        gaps = [b - a for a, b in zip(same, same[1:], strict=False)]
+        return len(same) >= 4 and min(gaps) >= APART and max(gaps) <= 1.5 * min(gaps) and same[0] <= max(gaps) and len(self.texts) - same[-1] <= 1.5 * max(gaps)
+
     def find_furniture(self, common: set[str]) -> None:
-        """common: keys of lines that many files have, which are headings of sections."""
+        """common: keys of lines that many files have: headings of sections, unless they stand at this file's page edges."""
         numbers = self.numbers()
         out = set(numbers)
         edges = self.edges()
@@ -231,7 +259,12 @@ class Unit:
                 if i in keys:
                     seeds.setdefault(keys[i], i)
         for seed in seeds:
-            if seed in common or len(seed) < 4:
+            if len(seed) < 4:
+                continue
+            if seed in common:
+                same = [i for i, k in keys.items() if k == seed or alike(k, seed)]
+                if self.at_edge(same, edges, numbers):
+                    out |= {i for i in same if not edges or i in edges}
                 continue
             same = [i for i, k in keys.items() if k == seed or (k not in common and alike(k, seed))]
             if edges:
@@ -451,7 +484,8 @@ def repair_scans(pdfs: DataFrame | None, blocks: DataFrame | None, corpus: DataF
     block_index, page_number and text; corpus has text, and supplies the vocabulary. Other columns are ignored.
 
     - furniture: the line holds only a running head or foot or a page number. A line that more than head_share of all
-      units (and more than two) have is a section's heading, however often it recurs in one.
+      units (and more than two) have is a section's heading, however often it recurs in one, unless it stands at the
+      same edge of a file's pages, or beside their numbers (Unit.at_edge).
     - broken_word: the line's last word goes on in the next line of body text, over page and block if need be; a
       compound parted at its own hyphen is none.
     - misread: a line of body text has a word with wrong characters, or one that was torn apart.

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from tessella.llm.scan_repair import Unit, page_form, repair_scans, roman, skeleton
+from tessella.llm.scan_repair import Unit, head_key, page_form, repair_scans, roman, skeleton
 
 CORPUS = ["the manifold kept its northern ticket while the salinity policy covered a well-sealed reading and a manual", "the observation was temporary and the well-sealed archive exceeded the agreed window", "Open points were listed and the committee revised the permanent catalogue before the deep-water survey"]
 
@@ -57,3 +57,30 @@ def test_words_cut_between_blocks_and_pages(frame):
 def test_empty_tables(frame):
     none = frame([], "doc_id bigint, text string")
     assert repair_scans(none, frame([], "block_id string, doc_id bigint, block_index bigint, page_number bigint, text string"), frame([], "text string")).count() == 0
+
+
+def test_heads_that_many_files_share():
+    """A company's name at every page edge is furniture however many files have it; a shared heading isn't."""
+    head, heading = "Confidential - Ulm Works", "Limits of use"
+    common = {head_key(head), head_key(heading)}
+    texts, known = [], []
+    for p in range(6):
+        page = [head, *[heading] * (p in (1, 2)), *[f"body line {p} {k} of the manual" for k in range(8)]]
+        texts, known = texts + page, known + [p] * len(page)
+    paged = Unit(texts, known)
+    paged.find_furniture(common)
+    assert [texts[i] for i in sorted(paged.furniture)] == [head] * 6
+    numbered = [x for p in range(4) for x in (head, *[f"body line {p} {k} of the manual" for k in range(4)], heading, "more of the body here", "and the last line", f"- {p + 1} -", "")]
+    bare = [x for p in range(5) for x in (head, *[f"body line {p} {k} of the manual" for k in range(9)])]
+    for lines, n in ((numbered, 8), (bare, 5)):
+        unit = Unit(lines, [None] * len(lines))
+        unit.find_furniture(common)
+        assert {lines[i] for i in unit.furniture} >= {head} and heading not in {lines[i] for i in unit.furniture} and len(unit.furniture) == n
+
+
+def test_a_shared_head_goes_from_every_file(frame):
+    head = "Annual Report of Ulm Works"
+    blocks = [(f"{d}-{p}-{k}", d, 10 * p + k, p, t) for d in range(3, 15) for p in range(1, 5) for k, t in enumerate((head, f"the log of file {d} opened on sheet {p}", "and the manual kept its reading"))]
+    found, paragraphs = run(frame, "", blocks)
+    assert {r for _, r, _, d in found if d == "furniture"} == {b for b, *_, t in blocks if t == head}
+    assert not any(head in p for p in paragraphs["document_blocks"])
