@@ -1,7 +1,7 @@
 """Garbled text from wrong character encodings: best-first search over encode, decode and unescape steps.
 
 A corpus model gives every pair of neighbouring characters that holds a non-ASCII one its frequency over all
-documents; a text's cost is the sum of their surprisals plus fixed penalties for characters that no text has. Texts
+documents, or over their distinct segments if that is less; a text's cost is the sum of their surprisals plus fixed penalties for characters that no text has. Texts
 are searched segment by segment (sentence or line), since often only a part is garbled: states are strings, a step
 encodes in one encoding and decodes in another, or unescapes character references; the cheapest state is expanded
 first, states seen before (by hash) are not, and the cheapest one reached wins if it is cheaper by a margin.
@@ -66,16 +66,26 @@ def pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"pair": keys, "n": counts.astype(np.int64)})
 
 
+def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The segments that hold a non-ASCII character, once a batch."""
+    for batch in batches:
+        found = {part for t in set(batch["text"]) if t is not None and not t.isascii() for part in SEGMENT.split(t) if part and not part.isascii()}
+        yield pd.DataFrame({"text": list(found)}, dtype=object)
+
+
 def pair_model(texts: DataFrame, most_pairs: int = 200_000) -> dict[int, float]:
-    """Surprisal of each pair of neighbours, counted over all texts.
+    """Surprisal of each pair of neighbours: by its share in all texts, or in their distinct segments, whichever is less.
 
-    The model keeps the most_pairs commonest ones; the rest cost as much as unseen ones. That bounds what is sent to
-    the driver and back (some 5 MB), and no text is left out by it.
+    So a garbled text doesn't become usual by being copied, nor one that few rows have by there being few others. The
+    model keeps the most_pairs commonest ones; the rest cost as much as unseen ones. That bounds what is sent to the
+    driver and back (some 5 MB), and no text is left out by it.
     """
-    counts = texts.mapInPandas(pair_counts, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    kept = counts.orderBy(F.desc("n"), "pair").limit(most_pairs).collect()
-    total = sum(r.n for r in kept)
-    return {r.pair: min(MOST, -math.log(r.n / total)) for r in kept}
+    distinct = texts.mapInPandas(segments, "text string").distinct()
+    schema = "pair bigint, n bigint"
+    both = texts.mapInPandas(pair_counts, schema).select("pair", "n", F.lit(0).cast("bigint").alias("d")).union(distinct.mapInPandas(pair_counts, schema).select("pair", F.lit(0).cast("bigint"), "n"))
+    kept = both.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).orderBy(F.desc("n"), "pair").limit(most_pairs).collect()
+    total, once = sum(r.n for r in kept), sum(r.d for r in kept)
+    return {r.pair: min(MOST, max(-math.log(r.n / total), -math.log(r.d / once))) for r in kept if r.n and r.d}
 
 
 class Repair:
@@ -178,7 +188,7 @@ def repair_encoding(documents: DataFrame, key: str = "doc_id", text: str = "text
     steps names what was undone ("cp1252>utf-8"), lost says that characters can't be brought back (U+FFFD, or control
     characters that remain); a document is garbled if it has steps or lost is true. What isn't garbled comes back
     unchanged, null as null, empty as empty. Repeated rows give repeated rows; other columns are ignored. Counts
-    cover all documents; each document is worked on alone, so neither skewed keys nor long texts meet in a task.
+    cover all documents, and copies carry no weight (pair_model); each document is worked on alone, so neither skewed keys nor long texts meet in a task.
     """
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("text"))
     model = documents.sparkSession.sparkContext.broadcast(pair_model(rows.select("text").where("text is not null")))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from tessella.llm.mojibake import repair_encoding
@@ -45,3 +47,17 @@ def test_lost_characters_nulls_and_empties(frame):
     assert repair_encoding(empty).count() == 0
     only = repair_encoding(frame([(1, garble(CLEAN[0], "utf-8", "latin-1")), (2, "fine")], "doc_id bigint, text string"), garbled_only=True)
     assert [r.doc_id for r in only.collect()] == [1]
+
+
+def test_copies_of_a_garbled_text_stay_garbled(frame):
+    """A garbled text in a third of the rows, alone or as a part of others, and another one garbled the same way."""
+    rng = random.Random(3)
+    words = "данным станции фильтр превысил предел новый насос держал давление отчёт журнал канал берег сухой вечер группа проверила каждый датчик около моста письмо".split()
+    clean = [f"По {' '.join(rng.choices(words, k=9))}." for _ in range(400)]
+    first, second = "Вечер группа проверила новый журнал около моста.", "Каждый датчик держал давление."
+    bad = [garble(t, "cp1251", "latin-1") for t in (first, second)]
+    rows = [*clean, *[bad[0]] * 150, *[f"note {i}\n{bad[0]}" for i in range(50)], bad[1]]
+    got = {r.doc_id: r for r in repair_encoding(frame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    assert all(got[i].restored == t and not got[i].garbled for i, t in enumerate(clean))
+    assert {got[i].restored for i in range(400, 550)} == {first} and got[600].restored == second
+    assert all(got[550 + i].restored == f"note {i}\n{first}" for i in range(50))
