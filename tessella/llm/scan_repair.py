@@ -18,7 +18,9 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from statistics import median
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +61,8 @@ STRONG = ("of", "dashed", "boxed", "slash")
 LONGEST_HEAD = 90
 #: lines that lie between two page edges at least
 APART = 4
+#: pages between two of one head or one way to count that are near to each other, left and right ones and one that is missed
+NEARBY = 4
 
 
 def skeleton(text: str) -> str:
@@ -138,6 +142,11 @@ def alike(a: str, b: str) -> bool:
     return m.quick_ratio() >= 0.86 and m.ratio() >= 0.86
 
 
+def _page_length(run: list[tuple[int, int]]) -> float | None:
+    """Lines a page in a run of page numbers; None of a single one."""
+    return median((b[0] - a[0]) / (b[1] - a[1]) for a, b in zip(run, run[1:], strict=False)) if len(run) > 1 else None
+
+
 @dataclass
 class Unit:
     """A file's lines in order, with the record and page of each; page is None where pages aren't known."""
@@ -167,49 +176,105 @@ class Unit:
         for form, items in forms.items():
             if edges:
                 on_edge = [(i, n) for i, n in items if i in edges]
-                offsets = Counter()
-                for off, _ in {(n - edges[i], edges[i]) for i, n in on_edge}:
-                    offsets[off] += 1
-                best = offsets.most_common(1)
-                if best and (best[0][1] >= (2 if form != "plain" else max(2, len(set(edges.values())) / 2)) or form in STRONG):
-                    out |= {i for i, n in on_edge if n - edges[i] == best[0][0] or form in STRONG}
+                offsets: dict[int, set[int]] = {}
+                for i, n in on_edge:
+                    offsets.setdefault(n - edges[i], set()).add(edges[i])
+                out |= {i for i, n in on_edge if form in STRONG or self._counts_up(offsets[n - edges[i]], edges[i], len(set(edges.values())), form == "plain")}
             listed = {i for i, _ in items if form == "plain" and i and (self.texts[i - 1].rstrip().endswith(":") or FORMS["plain"].match(self.texts[i - 1].strip()))}
-            chain = self._chain([x for x in items if x[0] not in listed])
+            chains = self._chains([x for x in items if x[0] not in listed])
             if form in STRONG:
-                if len(chain) >= 2 or len(items) == 1:
-                    out |= {i for i, n in items if form != "boxed" or (i, n) in chain or len(items) == 1}
-            elif chain and len(chain) >= (2 if form != "plain" or (self.full and chain[-1][0] == self.full[-1]) else 3):
-                out |= {i for i, _ in chain}
-            if chain and len(chain) >= 2 and form == "plain":
-                # a page may end right behind a list of numbers
-                gaps = [b[0] - a[0] for a, b in zip(chain, chain[1:], strict=False)]
-                for i, n in items:
-                    if i in listed and any(abs(n - m) == 1 and abs(i - j) >= 0.5 * min(gaps) for j, m in chain) and n not in {m for _, m in chain}:
-                        out.add(i)
+                whole = {x for chain in chains if len(chain) >= 2 for x in chain}
+                if whole or len(items) == 1:
+                    out |= {i for i, n in items if form != "boxed" or (i, n) in whole or len(items) == 1}
+                continue
+            for k, chain in enumerate(chains):
+                last = self.full and chain[-1][0] == self.full[-1]
+                # a second run of two could be chance, and so could one of three bare numbers: it must have the page length of the first
+                if len(chain) >= (2 if form != "plain" or last else 3) and (k == 0 or len(chain) >= 4 or self._paced(chain, chains[0])):
+                    out |= {i for i, _ in chain}
+                if len(chain) >= 2 and form == "plain" and (k == 0 or {i for i, _ in chain} <= out):
+                    # a page may end right behind a list of numbers
+                    gaps = [b[0] - a[0] for a, b in zip(chain, chain[1:], strict=False)]
+                    for i, n in items:
+                        if i in listed and any(abs(n - m) == 1 and abs(i - j) >= 0.5 * min(gaps) for j, m in chain) and n not in {m for _, m in chain}:
+                            out.add(i)
         return out
 
     @staticmethod
-    def _chain(items: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """The longest run of numbers that count up by one (by two over a page that lacks its number), far enough apart."""
-        ends: dict[int, tuple[int, int, tuple | None]] = {}  # number -> length, line, the one before
-        best: tuple | None = None
+    def _counts_up(with_offset: set[int], page: int, n_pages: int, plain: bool) -> bool:
+        """Whether the pages on which numbers have one offset from the page make it that of page numbers at a page.
+
+        Two pages do, for bare numbers half of all pages, or three pages near to this one that are half of those they span.
+        """
+        if len(with_offset) >= (2 if not plain else max(2, n_pages / 2)):
+            return True
+        part = [page]
+        for step in (-1, 1):
+            at = page
+            while x := next((at + step * k for k in range(1, NEARBY + 1) if at + step * k in with_offset), None):
+                part.append(at := x)
+        return len(part) >= 3 and len(part) * 2 > max(part) - min(part)
+
+    @staticmethod
+    def _paced(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> bool:
+        """Whether two runs have about the same number of lines a page."""
+        x, y = _page_length(a), _page_length(b)
+        return bool(x and y) and 0.5 <= x / y <= 2
+
+    @staticmethod
+    def _chains(items: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+        """Runs of numbers that count up by one (by two over a page that lacks its number), far enough apart; the longest first.
+
+        Runs, and single numbers, are joined over pages that lack theirs, where the difference of the numbers is the
+        distance in pages of the run's own length. Each number is in one run.
+        """
+        ends: dict[int, tuple[int, int, tuple | None, int]] = {}  # number -> length, line, the one before
+        entries = []
         for i, n in items:
             before = None
             for step in (1, 2):
                 x = ends.get(n - step)
                 if x and i - x[1] >= APART and (before is None or x[0] > before[0]):
                     before = x
-            length = 1 + (before[0] if before else 0)
-            entry = (length, i, before, n)
-            if n not in ends or length >= ends[n][0]:
+            entry = (1 + (before[0] if before else 0), i, before, n)
+            entries.append(entry)
+            if n not in ends or entry[0] >= ends[n][0]:
                 ends[n] = entry
-            if best is None or length > best[0]:
-                best = entry
-        out = []
-        while best:
-            out.append((best[1], best[3]))
-            best = best[2]
-        return out[::-1]
+        runs, taken = [], set()
+        for entry in sorted(entries, key=lambda e: -e[0]):  # of equals the first: sorting keeps the order
+            run = []
+            while entry and entry[1] not in taken:
+                taken.add(entry[1])
+                run.append((entry[1], entry[3]))
+                entry = entry[2]
+            if run:
+                runs.append(run[::-1])
+        runs.sort(key=lambda r: -len(r))
+        first, free = np.array([r[0] for r in runs], dtype=np.int64).reshape(-1, 2), np.ones(len(runs), dtype=bool)
+        last = np.array([r[-1] for r in runs], dtype=np.int64).reshape(-1, 2)
+        single = np.array([len(r) == 1 for r in runs])
+        lengths = np.array([_page_length(r) or 0.0 for r in runs])
+        joined = []
+        for k, run in enumerate(runs):
+            if not free[k]:
+                continue
+            free[k] = False
+            length = lengths[k]
+            while length:
+                # behind, then before: the nearest that fits
+                for at, sign, (line, number) in ((first, 1, run[-1]), (last, -1, run[0])):
+                    gap, step = sign * (at[:, 0] - line), sign * (at[:, 1] - number)
+                    off = np.abs(gap / length - step)
+                    fits = free & (step >= 1) & (gap >= APART) & np.where(single, off <= 0.4 + 0.1 * step, (off <= 1 + 0.25 * step) & (lengths >= 0.5 * length) & (lengths <= 2 * length))
+                    if fits.any():
+                        j = int(np.flatnonzero(fits)[np.argmin(gap[fits])])
+                        free[j] = False
+                        run = run + runs[j] if sign > 0 else runs[j] + run
+                        break
+                else:
+                    break
+            joined.append(run)
+        return sorted(joined, key=lambda r: -len(r))
 
     def at_edge(self, same: list[int], edges: dict[int, int], numbers: set[int]) -> bool:
         """Whether lines of one key stand where a head or foot does, page after page of this file.

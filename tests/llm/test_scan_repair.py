@@ -84,3 +84,31 @@ def test_a_shared_head_goes_from_every_file(frame):
     found, paragraphs = run(frame, "", blocks)
     assert {r for _, r, _, d in found if d == "furniture"} == {b for b, *_, t in blocks if t == head}
     assert not any(head in p for p in paragraphs["document_blocks"])
+
+
+def furniture(pages_of_lines, known=False):
+    lines = [(p, t) for p, page in enumerate(pages_of_lines, 1) for t in page]
+    unit = Unit([t for _, t in lines], [p if known else None for p, _ in lines])
+    unit.find_furniture(set())
+    return [unit.texts[i] for i in sorted(unit.furniture)]
+
+
+def page(p, *foot, n=12):
+    return [*[f"body line {p} {k} of the manual" for k in range(n)], *foot, ""]
+
+
+def test_numbers_on_both_sides_of_unread_ones():
+    for read in ((1, 2, 5, 6, 7), (1, 2, 3, 8, 9, 10, 14)):
+        got = furniture([page(p, *([str(p)] if p in read else []), n=12 + p % 3) for p in range(1, 15)])
+        assert got == [str(p) for p in read]
+    assert furniture([page(p, *([f"{p} | Deep log"] if p in (2, 4, 8, 10, 12) else []), n=12) for p in range(1, 13)]) == [f"{p} | Deep log" for p in (2, 4, 8, 10, 12)]
+    # far numbers out of proportion to their distance are none of pages
+    lone = [page(p, *([str(p)] if p < 4 else []), n=12) for p in range(1, 8)]
+    lone[5].insert(6, "940")
+    assert furniture(lone) == ["1", "2", "3"]
+
+
+def test_numbers_that_restart_in_a_part():
+    numbers = [*range(1, 8), *range(1, 5), *range(1, 4)]
+    for known in (False, True):
+        assert furniture([page(p, str(n)) for p, n in enumerate(numbers, 1)], known) == [str(n) for n in numbers]
