@@ -153,6 +153,8 @@ class Unit:
 
     texts: list[str]
     pages: list[int | None]
+    #: lines of pages that only show what recurs: they belong to another stretch of the file
+    aside: set[int] = field(default_factory=set)
     furniture: set[int] = field(default_factory=set)
 
     def __post_init__(self) -> None:
@@ -276,11 +278,28 @@ class Unit:
             joined.append(run)
         return sorted(joined, key=lambda r: -len(r))
 
+    @staticmethod
+    def _part(pages: set[int]) -> bool:
+        """Whether four successive pages, or four successive left or right ones, are among these."""
+        return any(all(p + step * k in pages for k in range(4)) for p in pages for step in (1, 2))
+
+    def _recurring(self, same: list[int], edges: dict[int, int]) -> set[int]:
+        """Lines of one key that a page near to theirs has too, at the same one of its edges."""
+        bounds: dict[int, tuple[int, int]] = {}
+        for i, p in edges.items():
+            low, high = bounds.get(p, (i, i))
+            bounds[p] = min(low, i), max(high, i)
+        sides: dict[bool, list[int]] = {}
+        for i in same:
+            low, high = bounds[edges[i]]
+            sides.setdefault(i - low <= high - i, []).append(i)
+        return {i for on in sides.values() for i in on if any(0 < abs(edges[i] - edges[j]) <= NEARBY for j in on)}
+
     def at_edge(self, same: list[int], edges: dict[int, int], numbers: set[int]) -> bool:
         """Whether lines of one key stand where a head or foot does, page after page of this file.
 
-        Where pages are known, that is in one place from their top or bottom, page numbers not counted, on most pages, or
-        on all left or all right ones. Else it is beside page numbers or at the file's ends, more often than not, and
+        Where pages are known, that is in one place from their top or bottom, page numbers not counted, on most pages, on
+        all left or all right ones, or on four that follow one another. Else it is beside page numbers or at the file's ends, more often than not, and
         beside half of the numbers; without numbers, at even distances from end to end.
         """
         if edges:
@@ -295,6 +314,8 @@ class Unit:
                         places.setdefault(k, set()).add(page)
                         places.setdefault(k - len(on), set()).add(page)
             n = len(set(edges.values()))
+            if any(-3 <= k < 3 and self._part(p) for k, p in places.items()):
+                return True
             return any(-3 <= k < 3 and len(p) >= 2 and (len(p) * 2 > n or (len(p) >= 3 and len(p) * 2 >= n - 1 and len({x % 2 for x in p}) == 1)) for k, p in places.items())
         place = {i: k for k, i in enumerate(self.full)}
         sides = max(sum(1 for i in same if 0 <= place[i] + d < len(self.full) and self.full[place[i] + d] in numbers) for d in (-1, 1))
@@ -336,6 +357,8 @@ class Unit:
                 pages = {edges[i] for i in same if i in edges}
                 if len(pages) >= 2 and len(pages) * 4 >= len(set(edges.values())):
                     out |= {i for i in same if i in edges}
+                else:  # a head of one part of the file recurs from page to page there
+                    out |= self._recurring([i for i in same if i in edges], edges)
             elif len(same) >= 2 and all(b - a >= APART for a, b in zip(same, same[1:], strict=False)):
                 out |= set(same)
         # text with a number beside it, right behind or before a page number
@@ -345,7 +368,7 @@ class Unit:
         self.furniture = out
 
     def body(self) -> list[int]:
-        return [i for i in self.full if i not in self.furniture]
+        return [i for i in self.full if i not in self.furniture and i not in self.aside]
 
     def asks(self, common: dict[str, int]) -> set[str]:
         """Words, and joined words, that the vocabulary must be asked for."""
@@ -488,8 +511,9 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _unit(row) -> tuple[Unit, list[str], list[int]]:
-    texts, pages, records, lines = [], [], [], []
+    texts, pages, records, lines, aside = [], [], [], [], set()
     for part in row.parts:
+        start = len(texts)
         for n, line in enumerate(part["text"].split("\n")):
             texts.append(line.translate(PLAIN) if not line.isascii() and OTHER_DIRT.search(line) else line)
             pages.append(None if row.source_table == "parsed_pdfs" else part["page"] if part["page"] is not None else 0)
@@ -500,30 +524,34 @@ def _unit(row) -> tuple[Unit, list[str], list[int]]:
             pages.append(pages[-1])
             records.append("")
             lines.append(-1)
-    return Unit(texts, pages), records, lines
+        if part["aside"]:
+            aside.update(range(start, len(texts)))
+    return Unit(texts, pages, aside), records, lines
 
 
-PARTS = "array<struct<seq:bigint,page:bigint,record_id:string,text:string,own:boolean>>"
+PARTS = "array<struct<seq:bigint,page:bigint,record_id:string,text:string,own:boolean,aside:boolean>>"
 
 
 def scanned_units(pdfs: DataFrame | None, blocks: DataFrame | None, pages: int = 256) -> DataFrame:
     """source_table, unit, parts: a file's text, or up to pages pages of blocks and, for context, the page behind them.
 
-    So no task holds more of a file's blocks than that. Repeated rows count once; null texts are left out.
+    So no task holds more of a file's blocks than that. The 2 * NEARBY pages on either side come along, set aside, for
+    the heads and numbers that go on over the cut. Repeated rows count once; null texts are left out.
     """
     out = None
     if pdfs is not None:
         rows = pdfs.where("text is not null and doc_id is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
-        part = F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("bigint").alias("page"), F.col("doc_id").cast("string").alias("record_id"), F.col("text"), F.lit(True).alias("own"))
+        part = F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("bigint").alias("page"), F.col("doc_id").cast("string").alias("record_id"), F.col("text"), F.lit(True).alias("own"), F.lit(False).alias("aside"))
         out = rows.select(F.lit("parsed_pdfs").alias("source_table"), F.col("doc_id").cast("string").alias("unit"), F.array(part).cast(PARTS).alias("parts"))
     if blocks is not None:
         rows = blocks.where("text is not null and block_id is not null").select("block_id", "doc_id", "block_index", "page_number", "text").dropDuplicates(["block_id"])
         page = F.coalesce("page_number", F.lit(0))
         stretch = F.floor(page / pages)
-        at = F.when((page % pages == 0) & (stretch > 0), F.array(F.struct(stretch.alias("s"), F.lit(True).alias("own")), F.struct((stretch - 1).alias("s"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(stretch.alias("s"), F.lit(True).alias("own"))))
+        around = F.sequence(F.greatest(F.floor((page - 2 * NEARBY) / pages), F.least(stretch, F.lit(0))), F.floor((page + 2 * NEARBY) / pages))
+        at = F.transform(around, lambda s: F.struct(s.alias("s"), (s == stretch).alias("own"), ((s != stretch) & (page != (s + 1) * pages)).alias("aside")))
         rows = rows.withColumn("at", F.explode(at))
-        part = F.struct(F.coalesce("block_index", F.lit(0)).alias("seq"), F.col("page_number").alias("page"), F.col("block_id").alias("record_id"), "text", F.col("at.own").alias("own"))
-        grouped = rows.groupBy("doc_id", F.col("at.s").alias("s")).agg(F.array_sort(F.collect_list(part)).cast(PARTS).alias("parts"))
+        part = F.struct(F.coalesce("block_index", F.lit(0)).alias("seq"), F.col("page_number").alias("page"), F.col("block_id").alias("record_id"), "text", F.col("at.own").alias("own"), F.col("at.aside").alias("aside"))
+        grouped = rows.groupBy("doc_id", F.col("at.s").alias("s")).agg(F.array_sort(F.collect_list(part)).cast(PARTS).alias("parts")).where(F.exists("parts", lambda x: x["own"]))
         grouped = grouped.select(F.lit("document_blocks").alias("source_table"), F.concat_ws(":", F.col("doc_id").cast("string"), "s").alias("unit"), "parts")
         out = grouped if out is None else out.union(grouped)
     if out is None:
@@ -536,7 +564,7 @@ def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for row in batch.itertuples():
             unit, _, _ = _unit(row)
-            keys = {head_key(unit.texts[i]) for i in unit.full if headlike(unit.texts[i]) and len(unit.texts[i].split()) <= 6}
+            keys = {head_key(unit.texts[i]) for i in unit.full if i not in unit.aside and headlike(unit.texts[i]) and len(unit.texts[i].split()) <= 6}
             rows += [(row.source_table, row.unit, k) for k in keys]
         if rows:
             yield pd.DataFrame(rows, columns=["source_table", "unit", "key"])

@@ -112,3 +112,28 @@ def test_numbers_that_restart_in_a_part():
     numbers = [*range(1, 8), *range(1, 5), *range(1, 4)]
     for known in (False, True):
         assert furniture([page(p, str(n)) for p, n in enumerate(numbers, 1)], known) == [str(n) for n in numbers]
+
+
+def test_heads_that_change_by_chapter():
+    heads = ["Deep salinity policy", "Northern ticket archive", "Committee of the survey", "Permanent catalogue", "Warm manifold reading"]
+    paged = [[heads[p // 8], *[f"body line {p} {k} of the manual" for k in range(8)]] for p in range(40)]
+    assert furniture(paged, True) == [heads[p // 8] for p in range(40)]
+    # headings far apart are none, nor is one that stands at another edge
+    for far in ({3: 0, 20: 0}, {3: 0, 4: 9}):
+        lines = [[f"body line {p} {k} of the manual" for k in range(9)] for p in range(40)]
+        for p, at in far.items():
+            lines[p].insert(at, "Open points")
+        assert furniture(lines, True) == []
+
+
+def test_heads_and_text_over_the_cut_into_stretches(frame):
+    """A file of 256 pages, of which the last is a stretch of its own, and a head that starts on the page before a cut."""
+    blocks = [(f"{p}-{k}", 7, 2 * p + k, p, t) for p in range(1, 257) for k, t in enumerate(("Deep salinity policy" if p < 255 or p == 256 else "Deep salinity p0licy", f"the log of sheet {p} opened"))]
+    found, _ = run(frame, "", blocks)
+    assert {r for _, r, _, d in found if d == "furniture"} == {f"{p}-0" for p in range(1, 257)}
+    other = [(f"{p}-{k}", 8, 2 * p + k, p, t) for p in range(200, 262) for k, t in enumerate(("Deep salinity policy" if p < 255 else "Northern ticket archive", f"the log of sheet {p} opened"))]
+    pdfs = frame([], "doc_id bigint, text string")
+    rows = repair_scans(pdfs, frame(other, "block_id string, doc_id bigint, block_index bigint, page_number bigint, text string"), frame([(t,) for t in CORPUS], "text string")).collect()
+    assert {x.record_id for r in rows for x in r.defects if x.defect == "furniture"} == {f"{p}-0" for p in range(200, 262)}
+    text = " ".join(x for r in rows for x in r.paragraphs)
+    assert [text.count(f"sheet {p} opened") for p in range(200, 262) if p != 256] == [1] * 61
