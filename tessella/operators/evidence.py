@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.text import cited_ids, jaccard, strip_hidden, subqueries, term_root, term_set
+from tessella.session import materialise
 
 # Stopwords of claims, spellings of units, thresholds.
 CLAIM_STOPWORDS = (
@@ -227,13 +228,24 @@ def ledger(requirements: DataFrame, evidence: DataFrame) -> DataFrame:
 def conflicts(evidence: DataFrame) -> DataFrame:
     """query_id, left_id, right_id: alike sources of different documents, one of which negates.
 
-    Sources meet within a query and a term they share, so only alike ones are compared: evidence has query_id,
-    source_id, doc_id, text.
+    Sources meet within a query and a term they share, of so many of their rarest ones that alike sources share one:
+    evidence has query_id, source_id, doc_id, text, with any number of sources a query. Repeated rows count once.
     """
-    rows = evidence.select("query_id", "source_id", "doc_id", claim_terms(F.col("text")).alias("t"), F.col("text").rlike(NEGATION).alias("n"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.source_id") < F.col("b.source_id")) & (F.col("a.doc_id") != F.col("b.doc_id")) & (F.col("a.n") != F.col("b.n")))
-    return pairs.where(jaccard(F.col("a.t"), F.col("b.t")) >= LIKE).select(F.col("a.query_id").alias("query_id"), F.col("a.source_id").alias("left_id"), F.col("b.source_id").alias("right_id"))
+    rows = evidence.select("query_id", "source_id", F.col("doc_id").alias("doc"), claim_terms(F.col("text")).alias("t"), F.col("text").rlike(NEGATION).alias("n"))
+    rows = materialise(rows.where("query_id is not null and source_id is not null and doc is not null and size(t) > 0").distinct(), "conflict-terms")
+    each = rows.select("query_id", "source_id", F.size("t").alias("size"), F.explode("t").alias("term"))
+    ranked = each.join(each.groupBy("query_id", "term").agg(F.count("*").alias("often")), ["query_id", "term"])
+    ranked = ranked.where("often > 1").groupBy("query_id", "source_id", "size").agg(F.array_sort(F.collect_set(F.struct("often", "term"))).alias("o"))
+    # of size terms ceil(LIKE * size) at least are shared: leaving out one less, and those that no other has count as left out too
+    least = F.ceil(F.col("size") * LIKE - NEAREST).cast("int")
+    keys = ranked.where(F.size("o") >= least).select("query_id", "source_id", F.explode(F.slice("o", 1, F.size("o") - least + 1)["term"]).alias("term"))
+    meeting = keys.join(rows.select("query_id", "source_id", "doc", "n"), ["query_id", "source_id"])
+    a, b = meeting.alias("a"), meeting.alias("b")
+    met = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.source_id") < F.col("b.source_id")) & (F.col("a.doc") != F.col("b.doc")) & (F.col("a.n") != F.col("b.n")))
+    met = met.select(F.col("a.query_id").alias("query_id"), F.col("a.source_id").alias("left_id"), F.col("b.source_id").alias("right_id")).distinct()
+    left, right = (rows.select("query_id", F.col("source_id").alias(f"{x}_id"), *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "t", "n")]) for x in ("left", "right"))
+    pairs = met.join(left, ["query_id", "left_id"]).join(right, ["query_id", "right_id"]).where((F.col("left_doc") != F.col("right_doc")) & (F.col("left_n") != F.col("right_n")))
+    return pairs.where(jaccard(F.col("left_t"), F.col("right_t")) >= LIKE).select("query_id", "left_id", "right_id").distinct()
 
 
 def qualifying(text: Column) -> Column:

@@ -762,7 +762,7 @@ def evidence_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def evidence_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    rows = _stage(_sources(spark, d), "rerank", "place").where("place <= 20").join(_chunks(spark, d, "text").withColumnRenamed("id", "chunk_id"), "chunk_id")
+    rows = _stage(_sources(spark, d), "rerank", "place").join(_chunks(spark, d, "text").withColumnRenamed("id", "chunk_id"), "chunk_id")
     return evidence.conflicts(rows.select("query_id", F.col("chunk_id").alias("source_id"), "doc_id", "text"))
 
 

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
+from tessella import queries
 from tessella.operators import evaluation, evidence, history
 
 
@@ -79,3 +82,28 @@ def test_history_and_records(frame, spark):
     assert [(r.id, r.has_more) for r in history.page_before(messages, 3, 2).collect()] == [(1, False), (2, False)]
     turns = frame([(1, 0, "user", "x" * 40), (1, 1, "assistant", "y" * 400), (1, 2, "user", "z" * 40)], "conversation_id bigint, turn bigint, role string, text string")
     assert [r.turn for r in history.history_budget(turns, 100).orderBy("turn").collect()] == [0, 2]
+
+
+def test_conflicts_against_all_pairs(spark, frame):
+    """Sources of one query in any number, held against every pair of them."""
+    rng = random.Random(1)
+    words = [f"term{chr(97 + i)}" for i in range(26)]
+    rows = []
+    for q in range(4):
+        for i in range(40):
+            text = " ".join(rng.sample(words[6 * q : 6 * q + 8], 5)) + (" never" if rng.random() < 0.4 else "")
+            rows.append((f"q{q}", f"s{i:02}", i % 7, text))
+    sets = {(q, s): (d, set(t.split()) - {"never"}, "never" in t) for q, s, d, t in rows}
+    want = {(q, a, b) for (q, a), x in sets.items() for (p, b), y in sets.items() if q == p and a < b and x[0] != y[0] and x[2] != y[2] and len(x[1] & y[1]) >= 0.45 * len(x[1] | y[1])}
+    found = evidence.conflicts(frame(rows + rows[:3], "query_id string, source_id string, doc_id bigint, text string"))
+    assert {(r.query_id, r.left_id, r.right_id) for r in found.collect()} == want and len(want) > 100 and found.count() == len(want)
+
+
+def test_registered_conflicts_look_at_every_reranked_source(spark, monkeypatch):
+    places = [("q", f"c{i:02}", i, i) for i in range(1, 31)]
+    stage = spark.createDataFrame(places, "query_id string, chunk_id string, doc_id bigint, place int")
+    texts = spark.createDataFrame([(f"c{i:02}", "the valve never opened during the storm" if i == 30 else "the valve opened during the storm" if i == 1 else f"rivers carry stone{i}") for i in range(1, 31)], "id string, text string")
+    monkeypatch.setattr(queries, "_sources", lambda *_: None)
+    monkeypatch.setattr(queries, "_stage", lambda *_: stage)
+    monkeypatch.setattr(queries, "_chunks", lambda *_: texts)
+    assert [(r.left_id, r.right_id) for r in queries.evidence_conflicts(spark, "").collect()] == [("c01", "c30")]
