@@ -52,9 +52,10 @@ def unit_name(unit: Column) -> Column:
     return F.when(raw.rlike(r"^\p{L}$"), raw).otherwise(F.coalesce(F.try_element_at(known, F.lower(raw)), F.lower(raw)))
 
 
-def numbers_in(text: Column) -> Column:
-    """array<struct<value, unit>> of the first 32 numbers."""
-    found = F.slice(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), 1, MOST_NUMBERS)
+def numbers_in(text: Column, most: int | None = MOST_NUMBERS) -> Column:
+    """array<struct<value, unit>> of the first 32 numbers, or of all."""
+    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+    found = found if most is None else F.slice(found, 1, most)
     return F.transform(found, lambda m: F.struct(F.regexp_extract(m, r"^(-?\d+(?:\.\d+)?)", 1).cast("double").alias("value"), unit_name(F.regexp_extract(m, r"^-?\d+(?:\.\d+)?\s*(.*)$", 1)).alias("unit")))
 
 
@@ -212,7 +213,8 @@ def ledger(requirements: DataFrame, evidence: DataFrame) -> DataFrame:
     """query_id, requirement_id, n_evidence, best, status: what each requirement finds among a query's sources.
 
     A source's score is its share of the requirement's terms; four sources at most are counted for one. 0.34 is
-    sufficient, anything above 0 partial, nothing missing. evidence has query_id, source_id, text.
+    sufficient, anything above 0 partial, nothing missing. evidence has query_id, source_id, text; where it has doc_id
+    too, a requirement of which two sources are in conflict is conflicting, whatever else it has.
     """
     need = requirements.select("query_id", "requirement_id", term_set(F.col("text")).alias("_need"))
     have = evidence.select("query_id", "source_id", term_set(F.col("text")).alias("_have"))
@@ -221,17 +223,32 @@ def ledger(requirements: DataFrame, evidence: DataFrame) -> DataFrame:
     kept = pairs.where("_s > 0").withColumn("_k", F.row_number().over(at)).where(F.col("_k") <= PER_REQUIREMENT)
     of = kept.groupBy("query_id", "requirement_id").agg(F.count("*").alias("n_evidence"), F.round(F.max("_s"), 6).alias("best"))
     out = need.select("query_id", "requirement_id").join(of, ["query_id", "requirement_id"], "left")
+    out = out.withColumn("_conflict", F.lit(False))
+    if "doc_id" in evidence.columns:
+        met = pairs.where("_s > 0").select("query_id", "requirement_id", "source_id").distinct()
+        against = conflicts(evidence).select("query_id", F.col("left_id").alias("source_id"), "right_id").join(met, ["query_id", "source_id"])
+        against = against.select("query_id", "requirement_id", F.col("right_id").alias("source_id")).join(met, ["query_id", "requirement_id", "source_id"]).select("query_id", "requirement_id", F.lit(True).alias("_c")).distinct()
+        out = out.join(against, ["query_id", "requirement_id"], "left").withColumn("_conflict", F.coalesce("_c", F.lit(False)))
     best = F.coalesce("best", F.lit(0.0))
-    return out.select("query_id", "requirement_id", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), best.alias("best"), F.when(best >= SUFFICIENT, "sufficient").when(best > 0, "partial").otherwise("missing").alias("status"))
+    return out.select("query_id", "requirement_id", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), best.alias("best"), F.when(F.col("_conflict"), "conflicting").when(best >= SUFFICIENT, "sufficient").when(best > 0, "partial").otherwise("missing").alias("status"))
+
+
+def values_conflict(left: Column, right: Column) -> Column:
+    """Whether either has a number in a unit that the other states only other values in, by more than a thousandth."""
+
+    def lacks(x: Column, y: Column) -> Column:
+        return F.exists(x, lambda v: F.exists(y, lambda w: w["unit"] == v["unit"]) & ~F.exists(y, lambda w: (w["unit"] == v["unit"]) & (F.abs(v["value"] - w["value"]) <= F.greatest(F.lit(1e-9), F.abs(v["value"]) * 0.001))))
+
+    return lacks(left, right) | lacks(right, left)
 
 
 def conflicts(evidence: DataFrame) -> DataFrame:
-    """query_id, left_id, right_id: alike sources of different documents, one of which negates.
+    """query_id, left_id, right_id, reason: alike sources of different documents, one of which negates or that state different values in one unit.
 
     Sources meet within a query and a term they share, of so many of their rarest ones that alike sources share one:
     evidence has query_id, source_id, doc_id, text, with any number of sources a query. Repeated rows count once.
     """
-    rows = evidence.select("query_id", "source_id", F.col("doc_id").alias("doc"), claim_terms(F.col("text")).alias("t"), F.col("text").rlike(NEGATION).alias("n"))
+    rows = evidence.select("query_id", "source_id", F.col("doc_id").alias("doc"), claim_terms(F.col("text")).alias("t"), F.col("text").rlike(NEGATION).alias("n"), F.array_distinct(F.filter(numbers_in(F.col("text"), None), lambda x: x["unit"] != "")).alias("v"))
     rows = materialise(rows.where("query_id is not null and source_id is not null and doc is not null and size(t) > 0").distinct(), "conflict-terms")
     each = rows.select("query_id", "source_id", F.size("t").alias("size"), F.explode("t").alias("term"))
     ranked = each.join(each.groupBy("query_id", "term").agg(F.count("*").alias("often")), ["query_id", "term"])
@@ -239,13 +256,14 @@ def conflicts(evidence: DataFrame) -> DataFrame:
     # of size terms ceil(LIKE * size) at least are shared: leaving out one less, and those that no other has count as left out too
     least = F.ceil(F.col("size") * LIKE - NEAREST).cast("int")
     keys = ranked.where(F.size("o") >= least).select("query_id", "source_id", F.explode(F.slice("o", 1, F.size("o") - least + 1)["term"]).alias("term"))
-    meeting = keys.join(rows.select("query_id", "source_id", "doc", "n"), ["query_id", "source_id"])
+    meeting = keys.join(rows.select("query_id", "source_id", "doc", "n", (F.size("v") > 0).alias("v")), ["query_id", "source_id"])
     a, b = meeting.alias("a"), meeting.alias("b")
-    met = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.source_id") < F.col("b.source_id")) & (F.col("a.doc") != F.col("b.doc")) & (F.col("a.n") != F.col("b.n")))
+    met = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.source_id") < F.col("b.source_id")) & (F.col("a.doc") != F.col("b.doc")) & ((F.col("a.n") != F.col("b.n")) | (F.col("a.v") & F.col("b.v"))))
     met = met.select(F.col("a.query_id").alias("query_id"), F.col("a.source_id").alias("left_id"), F.col("b.source_id").alias("right_id")).distinct()
-    left, right = (rows.select("query_id", F.col("source_id").alias(f"{x}_id"), *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "t", "n")]) for x in ("left", "right"))
-    pairs = met.join(left, ["query_id", "left_id"]).join(right, ["query_id", "right_id"]).where((F.col("left_doc") != F.col("right_doc")) & (F.col("left_n") != F.col("right_n")))
-    return pairs.where(jaccard(F.col("left_t"), F.col("right_t")) >= LIKE).select("query_id", "left_id", "right_id").distinct()
+    left, right = (rows.select("query_id", F.col("source_id").alias(f"{x}_id"), *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "t", "n", "v")]) for x in ("left", "right"))
+    pairs = met.join(left, ["query_id", "left_id"]).join(right, ["query_id", "right_id"]).where("left_doc <> right_doc").where(jaccard(F.col("left_t"), F.col("right_t")) >= LIKE)
+    reason = F.when(F.col("left_n") != F.col("right_n"), "negation").when(values_conflict(F.col("left_v"), F.col("right_v")), "values")
+    return pairs.withColumn("reason", reason).where("reason is not null").select("query_id", "left_id", "right_id", "reason").distinct()
 
 
 def qualifying(text: Column) -> Column:

@@ -755,8 +755,8 @@ def claim_summary(spark: SparkSession, d: str) -> DataFrame:
 @query
 def evidence_ledger(spark: SparkSession, d: str) -> DataFrame:
     """What each requirement of a question finds among the question's lexical hits."""
-    questions, texts = _questions(spark, d), _chunks(spark, d, "text").where("text is not null")
-    hits = retrieval.bm25(questions, texts, most=8).join(texts, "id").select("query_id", F.col("id").alias("source_id"), "text")
+    questions, texts = _questions(spark, d), _chunks(spark, d, "doc_id", "text").where("text is not null")
+    hits = retrieval.bm25(questions, texts.select("id", "text"), most=8).join(texts, "id").select("query_id", F.col("id").alias("source_id"), "doc_id", "text")
     return evidence.ledger(evidence.requirements(questions), hits)
 
 

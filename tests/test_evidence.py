@@ -107,3 +107,13 @@ def test_registered_conflicts_look_at_every_reranked_source(spark, monkeypatch):
     monkeypatch.setattr(queries, "_stage", lambda *_: stage)
     monkeypatch.setattr(queries, "_chunks", lambda *_: texts)
     assert [(r.left_id, r.right_id) for r in queries.evidence_conflicts(spark, "").collect()] == [("c01", "c30")]
+
+
+def test_conflicts_of_values_and_their_requirements(frame):
+    many = " ".join(f"{i} mm" for i in range(40))
+    rows = [("q", "S1", 1, "the pump valve held 12 kg during trials"), ("q", "S2", 2, "the pump valve held 15 kilograms during trials"), ("q", "S3", 3, "the pump valve held 12.005 kg during trials"), ("q", "S4", 1, "the pump valve held 99 kg during trials"), ("q", "S5", 4, "the pump valve held 15 ms during trials"), ("r", "S1", 1, f"length of steel {many} 7 kg"), ("r", "S2", 2, f"length of steel {many} 9 kg")]
+    evidence_rows = frame(rows, "query_id string, source_id string, doc_id bigint, text string")
+    got = {(r.query_id, r.left_id, r.right_id, r.reason) for r in evidence.conflicts(evidence_rows).collect()}
+    assert got == {("q", "S1", "S2", "values"), ("q", "S2", "S3", "values"), ("q", "S2", "S4", "values"), ("q", "S3", "S4", "values"), ("r", "S1", "S2", "values")}
+    needs = frame([("q", "r1", "pump valve"), ("q", "r2", "zebra herds")], "query_id string, requirement_id string, text string")
+    assert {(r.requirement_id, r.status) for r in evidence.ledger(needs, evidence_rows).collect()} == {("r1", "conflicting"), ("r2", "missing")}
