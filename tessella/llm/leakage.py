@@ -109,9 +109,9 @@ class Shard:
                     yield line + low, low, high - low
 
     def near(self, item: np.ndarray, min_words: int, slop: int, share: float) -> Iterator[tuple[int, int, int]]:
-        """The same for windows of min_words item words of which a share stands within slop places of its due place: words changed, dropped or put in."""
+        """The same for all windows of min_words item words of which a share stands within slop places of its due place: words changed, dropped or put in."""
         counts = self.count[item]
-        for b in range(0, len(item) - min_words + 1, max(1, min_words // 2)):
+        for b in range(len(item) - min_words + 1):
             span = np.arange(b, b + min_words)
             need = int(np.ceil(share * min_words))
             # of any need words in the window one is among these: the rarest ones, as many as may be absent and one more
@@ -143,7 +143,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, key: str = "doc_id",
     """key, item, kind, doc_word, item_word, n_words: where documents hold at least min_words successive words of a passage.
 
     kind is "phrase" for an unbroken run, with its first word in document and passage (from 0) and its full length.
-    With slop above 0 there are also rows "proximity", for windows of min_words passage words of which a share stands
+    With slop above 0 there are also rows "proximity", for all windows of min_words passage words of which a share stands
     within slop places of where it should; n_words says how many do.
 
     Passages are worked through in blocks of block_words words, which bounds what is sent to the executors (some 100

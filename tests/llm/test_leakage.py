@@ -52,3 +52,12 @@ def test_nulls_empties_repeats(frame):
     assert [(r.doc_id, r.item_id) for r in got] == [(3, "i"), (3, "i")]
     assert leaked_passages(frame([], DOCS), frame(items, ITEMS), min_words=4).count() == 0
     assert leaked_passages(frame(docs, DOCS), frame([], ITEMS), min_words=4).count() == 0
+
+
+def test_proximity_tries_every_window(frame):
+    """A changed run of 12 words anywhere in 17."""
+    words = [f"w{i}" for i in range(17)]
+    docs = [(b, " ".join(["x", *words[b : b + 6], "other", *words[b + 7 : b + 12], "y"])) for b in range(6)]
+    hits = leaked_passages(frame(docs, DOCS), frame([("i", " ".join(words))], ITEMS), slop=1, share=0.9).collect()
+    assert {r.doc_id for r in hits if r.kind == "proximity"} == set(range(6))
+    assert {(r.doc_id, r.item_word) for r in hits} >= {(b, b) for b in range(6)}
