@@ -4,7 +4,9 @@ A device is what is measured again and again: a row label and a quantity. Its re
 are what the model sees: a value, and the unit that the cell, the column or the caption states, if any does. Hidden is
 the unit that the value is in. Behind the readings stands a level, in the common unit, that seldom jumps: passing from
 one unit to another is cheap where the value jumps by as much as the units differ, and dear where the level would
-jump. A stated unit outweighs any jump; where none is stated, Viterbi's path says which unit explains the value.
+jump. A stated unit weighs as much as the trust in the place that states it: a unit in the cell itself outweighs any
+jump, one of a header, a column or a caption gives way where the level before and after it agrees on another. Where
+nothing states a unit, Viterbi's path says which one explains the value.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.session import materialise
 
@@ -145,20 +148,23 @@ def column_units(columns: DataFrame, tables: DataFrame) -> DataFrame:
 def readings(cells: DataFrame, columns: DataFrame, tables: DataFrame, label_column: int = 0) -> DataFrame:
     """cell_id, table_id, label, quantity, value, unit, source, at: every cell that holds a number of some quantity.
 
-    A comma is a decimal point where its column has commas that can be nothing else, else it groups digits.
+    A comma is a decimal point where its column has commas that can be nothing else, else it groups digits. Numbers
+    are parsed where cells are scanned; what is shuffled, once and by table and row, is the parsed reading and the
+    label of its row, so that no table, however long, is one task's.
     """
-    rows = cells.select(F.col("id").alias("cell_id"), "table_id", "row_index", "column_index", "raw_value", "unit").dropDuplicates(["cell_id"])
-    labels = rows.where((F.col("column_index") == label_column) & (F.col("row_index") > 0)).select("table_id", "row_index", F.trim("raw_value").alias("label")).where("label <> ''")
-    labels = labels.dropDuplicates(["table_id", "row_index"])
-    # one pass of the pattern: its groups, parted by a character that no cell has
-    parted = F.split(F.regexp_replace("raw_value", READING, "$1\x01$2\x01$3\x01$4"), "\x01")
-    body = rows.where((F.col("column_index") != label_column) & (F.col("row_index") > 0)).withColumn("_p", parted).where("size(_p) = 4 and _p[0] <> ''")
-    body = body.select("cell_id", "table_id", "row_index", "column_index", "raw_value", "unit", F.col("_p")[0].alias("number"), F.concat(F.col("_p")[1], F.col("_p")[2]).alias("power"), F.col("_p")[3].alias("said"))
-    body = materialise(body.join(column_units(columns, tables), ["table_id", "column_index"]), "cells")
-    commas = body.where(F.col("number").contains(","))
+    rows = cells.where("row_index > 0").select(F.col("id").alias("cell_id"), "table_id", "row_index", "column_index", "raw_value", "unit")
+    commas = rows.where((F.col("column_index") != label_column) & F.col("raw_value").contains(",")).select("table_id", "column_index", F.regexp_extract("raw_value", SIGNED, 1).alias("number")).where(F.col("number").contains(","))
     decimal = commas.groupBy("table_id", "column_index").agg(F.max(~F.col("number").rlike(GROUPED)).alias("d"), F.max(F.col("number").rlike(SURELY_GROUPED)).alias("g"))
     decimal = decimal.where("d and not g").select("table_id", "column_index", F.lit(True).alias("comma_is_point"))
-    body = body.join(decimal, ["table_id", "column_index"], "left").join(labels, ["table_id", "row_index"])
+    at = tables.select(F.col("id").alias("table_id"), F.col("created_at").alias("at")).dropDuplicates(["table_id"])
+    known = column_units(columns, tables).join(decimal, ["table_id", "column_index"], "left").join(at, "table_id", "left")
+    # written, so that the planner knows its size and broadcasts it only if that is small
+    known = materialise(known, "columns")
+    is_label = F.col("column_index") == label_column
+    body = rows.join(known, ["table_id", "column_index"], "left").where(is_label | F.col("quantity").isNotNull())
+    # one pass of the pattern: its groups, parted by a character that no cell has
+    body = body.withColumn("_p", F.split(F.regexp_replace("raw_value", READING, "$1\x01$2\x01$3\x01$4"), "\x01"))
+    body = body.withColumn("number", F.get("_p", F.lit(0))).withColumn("power", F.concat(F.get("_p", F.lit(1)), F.get("_p", F.lit(2)))).withColumn("said", F.get("_p", F.lit(3)))
     point = F.col("comma_is_point") | ~F.col("number").rlike(GROUPED)
     plain = F.when(~F.col("number").contains(","), F.col("number")).when(point, F.replace("number", F.lit(","), F.lit("."))).otherwise(F.replace("number", F.lit(","), F.lit("")))
     q = F.col("quantity")
@@ -172,25 +178,30 @@ def readings(cells: DataFrame, columns: DataFrame, tables: DataFrame, label_colu
     value = F.when(F.col("paired"), whole).otherwise(F.col("plain") * F.pow(F.lit(10.0), F.coalesce(F.nullif("power", F.lit("")).try_cast("int"), F.lit(0))))
     stated = F.coalesce("in_cell", "header_unit", "column_unit", "caption_unit")
     unknown = (F.col("said") != "") & F.col("in_cell").isNull()
-    out = body.select(
+    body = body.select(
         "cell_id",
         "table_id",
-        "label",
+        "row_index",
+        "column_index",
+        F.when(is_label, F.nullif(F.trim("raw_value"), F.lit(""))).alias("_label"),
         "quantity",
-        value.alias("value"),
+        "at",
+        F.when(~is_label, value).alias("value"),
         F.when(F.col("paired"), F.col("_pair")).when(~unknown, stated).alias("unit"),
         F.when(F.col("paired") | F.col("in_cell").isNotNull(), "cell").when(unknown, "unknown").when(F.col("header_unit").isNotNull(), "header").when(F.col("column_unit").isNotNull(), "column").when(F.col("caption_unit").isNotNull(), "caption").otherwise("decoded").alias("source"),
     )
-    # text behind a number that is no unit of the quantity makes no reading
-    out = out.where("value is not null and source <> 'unknown'")
-    at = tables.select(F.col("id").alias("table_id"), F.col("created_at").alias("at")).dropDuplicates(["table_id"])
-    return out.join(at, "table_id", "left")
+    row = Window.partitionBy("table_id", "row_index")
+    body = body.withColumn("_n", F.row_number().over(Window.partitionBy("table_id", "row_index", "column_index", "cell_id").orderBy("value"))).withColumn("label", F.max("_label").over(row))
+    # text behind a number that is no unit of the quantity makes no reading; asked here, where all is worked out
+    return body.where((F.col("_n") == 1) & F.col("label").isNotNull() & ~is_label & F.col("value").isNotNull() & (F.col("source") != "unknown")).select("cell_id", "table_id", "label", "quantity", "value", "unit", "source", "at")
 
 
-def viterbi(devices: np.ndarray, quantities: np.ndarray, values: np.ndarray, stated: np.ndarray, stay: float = 0.6, scale: float = 0.05, most: float = 8.0, trust: float = 60.0) -> np.ndarray:
+def viterbi(devices: np.ndarray, quantities: np.ndarray, values: np.ndarray, stated: np.ndarray, stay: float = 0.6, scale: float = 0.05, most: float = 8.0, trust: float | np.ndarray = 60.0) -> np.ndarray:
     """The state of each reading; readings stand in order of (device, time), stated is -1 where nothing is stated.
 
-    All devices are decoded at once, position by position. A level's jump costs |log ratio| / scale, most at most.
+    All devices are decoded at once, position by position. A level's jump costs |log ratio| / scale, most at most. A
+    state other than the stated one costs trust, one value or one for each reading: above some 2 * (most + 2.5), what
+    a reading's two jumps and two moves can weigh at most, a label stands whatever the level says.
     """
     n = len(devices)
     if not n:
@@ -205,7 +216,7 @@ def viterbi(devices: np.ndarray, quantities: np.ndarray, values: np.ndarray, sta
     with np.errstate(divide="ignore", invalid="ignore"):
         level = np.where(amount > 0, np.log(amount), np.nan)
     emit = np.where(open_[quantities], -np.log(open_.sum(1))[quantities][:, None], -1e6)
-    emit = np.where((stated >= 0)[:, None], np.where(np.arange(WIDEST)[None, :] == stated[:, None], 0.0, -trust), emit)
+    emit = np.where((stated >= 0)[:, None], np.where(np.arange(WIDEST)[None, :] == stated[:, None], 0.0, -np.broadcast_to(trust, n)[:, None]), emit)
     starts = np.flatnonzero(np.r_[True, devices[1:] != devices[:-1]])
     lengths = np.diff(np.r_[starts, n])
     move = np.where(np.eye(WIDEST, dtype=bool), np.log(stay), np.log((1 - stay) / WIDEST))
@@ -228,26 +239,39 @@ def viterbi(devices: np.ndarray, quantities: np.ndarray, values: np.ndarray, sta
     return out
 
 
-def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: What a unit weighs against the level, by the place that states it. One in the cell itself can't be outweighed.
+TRUST = {"cell": 60.0, "header": 16.0, "column": 13.0, "caption": 13.0}
+#: The order of table_cells' statement: whatever is stated stands.
+STATED_STANDS = dict.fromkeys(TRUST, 60.0)
+
+
+def _decoded(batches: Iterator[pd.DataFrame], trust: dict[str, float]) -> Iterator[pd.DataFrame]:
     number = {q: i for i, q in enumerate(QUANTITIES)}
     state = {(q, s[0]): j for q in QUANTITIES for j, s in enumerate(STATES[q])}
+    table = np.empty((len(QUANTITIES), WIDEST), dtype=object)
+    size, offset = np.ones(table.shape), np.zeros(table.shape)
+    for i, q in enumerate(QUANTITIES):
+        for j, s in enumerate(STATES[q]):
+            table[i, j], size[i, j], offset[i, j] = s
     carry: pd.DataFrame | None = None
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         quantities = rows["quantity"].map(number).to_numpy()
         stated = np.array([state.get((q, u), -1) for q, u in zip(rows["quantity"], rows["unit"], strict=True)], dtype=np.int64)
-        devices = pd.factorize(rows["device"])[0]
-        path = viterbi(devices, quantities, rows["value"].to_numpy(dtype=float), stated)
-        kept = [STATES[q][s] for q, s in zip(rows["quantity"], path, strict=True)]
-        out = rows[["cell_id", "table_id", "label", "quantity", "value", "source"]].copy()
-        out["unit"] = [k[0] for k in kept]
-        out["amount"] = rows["value"].to_numpy() * [k[1] for k in kept] + [k[2] for k in kept]
-        return out
+        weights = rows["source"].map(trust).fillna(0.0).to_numpy(dtype=float)
+        devices = pd.factorize(rows["label"] + "\x01" + rows["quantity"] + "\x01" + rows["part"].astype(str))[0]
+        path = viterbi(devices, quantities, rows["value"].to_numpy(dtype=float), stated, trust=weights)
+        out = rows[["cell_id", "table_id", "label", "quantity", "value"]].copy()
+        overruled = (stated >= 0) & (path != stated)
+        out["source"] = np.where(overruled, "overruled", rows["source"])
+        out["unit"], out["stated_unit"] = table[quantities, path], rows["unit"]
+        out["amount"] = rows["value"].to_numpy() * size[quantities, path] + offset[quantities, path]
+        return out[rows["core"].to_numpy(dtype=bool)]
 
     for batch in batches:
         rows = batch if carry is None else pd.concat([carry, batch], ignore_index=True)
         if len(rows):
-            last = rows["device"] == rows["device"].iloc[-1]
+            last = (rows[["label", "quantity", "part"]] == rows[["label", "quantity", "part"]].iloc[-1]).all(axis=1)
             carry = rows[last]
             if not last.all():
                 yield work(rows[~last])
@@ -255,27 +279,52 @@ def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield work(carry)
 
 
-def common_amounts(cells: DataFrame, columns: DataFrame, tables: DataFrame, targets: DataFrame, label_column: int = 0, stretch: int = 5000) -> DataFrame:
-    """cell_id, table_id, label, quantity, value, unit, source, amount, common_unit of every reading.
+def stretches(rows: DataFrame, stretch: int, overlap: int) -> DataFrame:
+    """rows with part and core: devices of more than stretch readings cut, in the order of time, into parts of stretch.
+
+    A part has, besides its own readings (core), the overlap readings before and after it, so that its path is the one
+    that the whole device has there: what lies further off has no say once paths have met. Places come from a range
+    partition of the long devices' readings and the counts of the ranges before; no device is gathered.
+    """
+    one = [F.lit(0).alias("part"), F.lit(True).alias("core")]
+    long = rows.groupBy("label", "quantity").agg(F.count("*").alias("_n")).where(F.col("_n") > stretch).select("label", "quantity")
+    long = materialise(long, "long-devices")
+    if not long.take(1):
+        return rows.select("*", *one)
+    order = ("label", "quantity", "at", "table_id", "cell_id")
+    cut = rows.join(long, ["label", "quantity"], "left_semi").repartitionByRange(*order).sortWithinPartitions(*order)
+    cut = materialise(cut.withColumn("_id", F.monotonically_increasing_id()), "long-readings").withColumn("_range", F.shiftright("_id", 33))
+    ranges = cut.groupBy("label", "quantity", "_range").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("label", "quantity").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("label", "quantity", "_range", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = cut.join(ranges, ["label", "quantity", "_range"]).withColumn("_at", F.col("_before") + F.col("_id") - F.col("_first"))
+    first = F.greatest(F.floor((F.col("_at") - overlap) / stretch), F.lit(0))
+    placed = placed.withColumn("part", F.explode(F.sequence(first.cast("int"), F.floor((F.col("_at") + overlap) / stretch).cast("int"))))
+    placed = placed.withColumn("core", F.floor(F.col("_at") / stretch) == F.col("part"))
+    return rows.join(long, ["label", "quantity"], "left_anti").select("*", *one).unionByName(placed.select(*rows.columns, "part", "core"))
+
+
+def common_amounts(cells: DataFrame, columns: DataFrame, tables: DataFrame, targets: DataFrame, label_column: int = 0, stretch: int = 5000, overlap: int = 250, trust: dict[str, float] | None = None) -> DataFrame:
+    """cell_id, table_id, label, quantity, value, unit, stated_unit, source, amount, common_unit of every reading.
 
     cells, columns and tables have the columns of table_cells, table_columns and typed_tables; targets says the common
-    unit of each quantity (a quantity without one keeps the base unit). Other columns are ignored. source says where
-    the unit stands: cell, header, column, caption; decoded means that nothing states it and the model supplies it.
+    unit of each quantity (a quantity without one keeps the base unit). Other columns are ignored. unit is the state
+    that Viterbi's path gives the reading. source says where it stands: cell, header, column, caption; decoded where
+    nothing states a unit and the model supplies it; overruled where the level outweighs stated_unit.
 
-    - A repeated cell id counts once. Cells that are null, missing marks or text, of columns that hold no quantity, or
-      of rows without a label are no readings; so are numbers followed by something that is no unit of the quantity.
+    - A repeated row counts once. Cells that are null, missing marks or text, of columns that hold no quantity, or of
+      rows without a label are no readings; so are numbers followed by something that is no unit of the quantity.
     - Of a value with an uncertainty the main value counts.
-    - A device of more than stretch readings is decoded in stretches dealt by table, each in the order of time, so
-      that no task holds an unbounded one. A value that has no logarithm tells nothing about the level.
+    - trust is what a stated unit weighs, by source (TRUST; STATED_STANDS lets no label be outweighed).
+    - A device of more than stretch readings is decoded in stretches in the order of time, each with overlap readings
+      on either side, so that no task holds an unbounded one. A value that has no logarithm tells nothing of the level.
     """
+    trust = TRUST if trust is None else trust
     rows = materialise(readings(cells, columns, tables, label_column), "readings")
-    counts = rows.groupBy("label", "quantity").agg(F.count("*").alias("n")).where(F.col("n") > stretch)
-    parts = counts.select("label", "quantity", F.ceil(F.col("n") / stretch).cast("int").alias("parts"))
-    rows = rows.join(parts, ["label", "quantity"], "left")
-    salt = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.hash("table_id"), "parts"))
-    rows = rows.withColumn("device", F.concat_ws("\x01", "label", "quantity", salt.cast("string")))
-    ordered = rows.select("cell_id", "table_id", "label", "quantity", "value", "unit", "source", "device", "at").repartition("device").sortWithinPartitions("device", "at", "table_id", "cell_id")
-    decoded = ordered.drop("at").mapInPandas(_decoded, "cell_id string, table_id string, label string, quantity string, value double, source string, unit string, amount double")
+    fields = ["cell_id", "table_id", "label", "quantity", "value", "unit", "source", "part", "core"]
+    by = ("label", "quantity", "part")
+    ordered = stretches(rows, stretch, overlap).repartition(*by).sortWithinPartitions(*by, "at", "table_id", "cell_id").select(*fields)
+    decoded = ordered.mapInPandas(lambda b: _decoded(b, trust), "cell_id string, table_id string, label string, quantity string, value double, source string, unit string, stated_unit string, amount double")
     # size and offset of each common unit are worked out once, on the few rows of targets
     q, goal = F.col("quantity"), _unit(F.col("common_unit"), F.col("quantity"))
     goals = targets.select("quantity", "common_unit").dropDuplicates(["quantity"]).withColumn("_goal", goal).where("_goal is not null")
@@ -285,14 +334,14 @@ def common_amounts(cells: DataFrame, columns: DataFrame, tables: DataFrame, targ
     out = decoded.join(F.broadcast(goals), "quantity", "left")
     amount = F.coalesce((F.col("amount") - F.col("_zero")) / F.col("_size"), "amount")
     base = F.create_map(*[F.lit(x) for k in QUANTITIES for x in (k, UNITS[k][0][0])])
-    return out.select("cell_id", "table_id", "label", "quantity", "value", "unit", "source", amount.alias("amount"), F.coalesce("_named", base[q]).alias("common_unit"))
+    return out.select("cell_id", "table_id", "label", "quantity", "value", "unit", "stated_unit", "source", amount.alias("amount"), F.coalesce("_named", base[q]).alias("common_unit"))
 
 
 def same_amount_pairs(amounts: DataFrame, tolerance: float = 0.005) -> DataFrame:
     """cell_a < cell_b: readings of one label and quantity in different tables and units whose amounts differ by at most tolerance of the larger.
 
-    A band join: amounts fall into buckets as wide, in logarithms, as the tolerance, and meet the buckets beside
-    theirs. Amounts of one bucket are alike, so what meets is, but for neighbours, what is found. Only devices that
+    A band join: amounts fall into buckets as wide, in logarithms, as the tolerance, and meet their own and the one
+    above. Amounts of one bucket are alike, so what meets is, but for neighbours, what is found. Only devices that
     have two units and two tables take part.
     """
     width = float(-np.log(1 - tolerance)) * 1.001
@@ -301,12 +350,12 @@ def same_amount_pairs(amounts: DataFrame, tolerance: float = 0.005) -> DataFrame
     rows = materialise(rows, "amounts")  # asked twice
     several = rows.groupBy("label", "quantity").agg(F.min("unit").alias("u"), F.max("unit").alias("v"), F.min("table_id").alias("s"), F.max("table_id").alias("t")).where("u <> v and s <> t")
     rows = rows.join(several.select("label", "quantity"), ["label", "quantity"], "left_semi")
-    near = rows.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
+    near = rows.withColumn("meets", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
     a, b = rows.alias("a"), near.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("label", "quantity", "sign", "bucket")]
-    apart = (F.col("a.cell_id") < F.col("b.cell_id")) & (F.col("a.table_id") != F.col("b.table_id")) & (F.col("a.unit") != F.col("b.unit"))
+    on = F.col("a.bucket") == F.col("b.meets")
+    for c in ("label", "quantity", "sign"):
+        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    once = (F.col("a.bucket") != F.col("b.bucket")) | (F.col("a.cell_id") < F.col("b.cell_id"))
+    apart = (F.col("a.table_id") != F.col("b.table_id")) & (F.col("a.unit") != F.col("b.unit"))
     close = F.abs(F.col("a.amount") - F.col("b.amount")) <= tolerance * F.greatest(F.abs("a.amount"), F.abs("b.amount"))
-    on = same[0]
-    for x in (*same[1:], apart, close):
-        on = on & x
-    return a.join(b, on).select(F.col("a.cell_id").alias("cell_a"), F.col("b.cell_id").alias("cell_b"))
+    return a.join(b, on & once & apart & close).select(F.least("a.cell_id", "b.cell_id").alias("cell_a"), F.greatest("a.cell_id", "b.cell_id").alias("cell_b"))

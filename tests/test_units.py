@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from tessella.operators.units import QUANTITIES, STATES, common_amounts, same_amount_pairs, viterbi
+from tessella.operators.units import QUANTITIES, STATED_STANDS, STATES, common_amounts, same_amount_pairs, viterbi
 
 CELLS = "id string, table_id string, row_index bigint, column_index bigint, raw_value string, unit string"
 
@@ -63,8 +63,53 @@ def test_the_model_supplies_a_unit_that_nothing_states(frame):
     tables = build(frame, [("a", "Mass", "kg", None, {"x": "1.50"}), ("b", "Mass", None, None, {"x": "1502"}), ("c", "Mass", "kg", None, {"x": "1.51"}), ("d", "Mass", None, None, {"x": "1.49"})])
     got = {r.cell_id: (r.unit, r.source) for r in common_amounts(*tables).collect()}
     assert got["b-x"] == ("g", "decoded") and got["d-x"] == ("kg", "decoded")
-    split = {r.cell_id: r.unit for r in common_amounts(*tables, stretch=1).collect()}
-    assert split.keys() == got.keys()
+    assert {r.cell_id: r.unit for r in common_amounts(*tables, stretch=1, overlap=3).collect()} == {k: u for k, (u, _) in got.items()}
+
+
+def test_a_level_outweighs_a_wrong_column_but_not_the_cell_itself(frame):
+    """Nine tables agree on a level; the tenth says grams in its column, or in the cell, for what are kilograms."""
+    steady = [(f"t{i}", "Mass", "kg", None, {"x": f"1.5{i}", "y": f"7.0{i}"}) for i in range(9)]
+    wrong = steady[:5] + [("w", "Mass", "g", None, {"x": "1.52", "y": "7.02 g"})] + steady[5:]
+    got = {r.cell_id: (r.unit, r.stated_unit, r.source) for r in common_amounts(*build(frame, wrong)).collect()}
+    assert got["w-x"] == ("kg", "g", "overruled") and got["w-y"] == ("g", "g", "cell") and got["t3-x"] == ("kg", "kg", "column")
+    stands = {r.cell_id: r.unit for r in common_amounts(*build(frame, wrong), trust=STATED_STANDS).collect()}
+    assert stands["w-x"] == "g"
+
+
+def test_decoded_units_make_pairs(frame):
+    tables = build(frame, [("a", "Mass", "kg", None, {"x": "1.50"}), ("b", "Mass", None, None, {"x": "1502"}), ("c", "Mass", "kg", None, {"x": "1.501"})])
+    got = {(r.cell_a, r.cell_b) for r in same_amount_pairs(common_amounts(*tables, trust=STATED_STANDS)).collect()}
+    assert got == {("a-x", "b-x"), ("b-x", "c-x")}
+
+
+def test_units_that_are_hidden_come_back(frame):
+    """A steady level, read in units that a device changes now and then, three in ten of them not stated."""
+    rng = np.random.default_rng(3)
+    names = [("kg", 1.0), ("g", 1e-3), ("mg", 1e-6), ("lb", 0.45359237), ("oz", 0.028349523125)]
+    columns, truth, now = [], {}, 0
+    level = {f"d{i}": rng.lognormal(0, 3) for i in range(12)}
+    for n in range(60):
+        now = int(rng.integers(len(names))) if rng.random() < 0.3 else now
+        name, size = names[now]
+        hidden = rng.random() < 0.3
+        values = {}
+        for label in level:
+            level[label] *= np.exp(rng.normal(0, 0.01))
+            values[label] = repr(float(level[label] / size))
+            if hidden:
+                truth[f"t{n:02d}-{label}"] = name
+        columns.append((f"t{n:02d}", "Mass", None if hidden else name, None, values))
+    got = {r.cell_id: r.unit for r in common_amounts(*build(frame, columns)).where("source = 'decoded'").collect()}
+    assert got.keys() == truth.keys() and np.mean([got[c] == u for c, u in truth.items()]) >= 0.95
+
+
+def test_stretches_give_the_path_of_the_whole(frame):
+    rng = np.random.default_rng(5)
+    columns = [(f"t{n:03d}", "Mass", [None, "kg", "g"][int(rng.integers(3))], None, {"x": repr(float(rng.choice([2.0, 2000.0]) * np.exp(rng.normal(0, 0.01))))}) for n in range(80)]
+    tables = build(frame, columns)
+    whole = {r.cell_id: r.unit for r in common_amounts(*tables).collect()}
+    cut = [(r.cell_id, r.unit) for r in common_amounts(*tables, stretch=20, overlap=10).collect()]
+    assert len(cut) == len(whole) == 80 and dict(cut) == whole
 
 
 def test_viterbi_against_all_paths():
