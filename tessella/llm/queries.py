@@ -69,6 +69,21 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return cut.select("id", "limit", F.explode("pieces").alias("p")).select("id", "limit", "p.*")
 
 
+# the greedy cut, a piece a step: of the cuts that fill the core enough, the last of the strongest
+SQL["p6_pieces"] = r"""
+with recursive it as (select distinct on (id) id, text, child_max_tokens as lim, greatest(least(coalesce(child_overlap_tokens, 0), child_max_tokens - 1), 0) as lap
+  from chunks left join rag_settings on profile = coalesce(chunking_profile, 'default') order by id),
+tk as (select *, regexp_extract_all(text, '[^ \t\n\r]+[ \t\n\r]*') as t from it where text is not null and lim is not null),
+st as (select id, lim, lap, t, len(t) as n, lim - lap as core, greatest((lim - lap) // 2, 1) as least, list_transform(t, lambda x: case when regexp_matches(x, '\n[^\n]*\n') then 5 when contains(x, chr(10)) then 4
+  when not regexp_matches(x, '[ \t\r]$') then 0 when regexp_matches(x, '[.!?…]["”’)\]]*[ \t\r]+$') then 3 when regexp_matches(x, '[,;:–—][ \t\r]+$') then 2 else 1 end) as s from tk where len(t) > lim),
+pk as (select id, 0 as i, 0::bigint as a, list_max(list_transform(range(least, core + 1), lambda j: s[j]::bigint * 1000000000 + j)) % 1000000000 as b from st
+  union all select pk.id, i + 1, b, case when n - b <= core then n else b + list_max(list_transform(range(least, core + 1), lambda j: s[b + j]::bigint * 1000000000 + j)) % 1000000000 end from pk join st using (id) where b < n),
+pc as (select pk.id, i as piece_index, greatest(a - lap, 0)::int as start, b, a from pk join st using (id))
+select id, lim as "limit", piece_index, start, (b - start)::int as size, (a - start)::int as overlap, regexp_replace(array_to_string(t[start + 1:b], ''), '[ \t\n\r]+$', '') as text from pc join st using (id)
+union all select id, lim, 0, 0, len(t)::int, 0, text from tk where len(t) <= lim
+"""
+
+
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold at least 12 successive words of a held-out passage."""

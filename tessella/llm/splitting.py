@@ -1,11 +1,12 @@
 """Splitting oversized items at natural boundaries, with the JVM's regular expressions and array functions.
 
-One pattern, built for a limit, cuts a text into cores: each of its alternatives consumes up to the limit and ends at
-a boundary, the strongest boundary first (blank line, line end, sentence end, clause end, blank), and the last one
-takes whatever fits. Sizes are in tokens, or in characters, where the last alternative cuts inside a word. All
-quantifiers are bounded and possessive where that is safe, so matching is linear. Overlap is a lookback: a piece
-starts that many units before the end of the piece ahead of it, and its core is shorter by as many, so that no piece
-exceeds the limit.
+A text is parted once into its tokens, and a digit for each says how strong the boundary behind it is: blank line 5,
+line end 4, sentence end 3, clause end 2, blank 1; 0 is none, as inside of a word where sizes are in characters. The
+string of these digits is what the pattern of bounded quantifiers runs over: each of its alternatives consumes up to
+the limit and ends at a boundary, the strongest first, and the last one takes whatever fits. Every atom is one
+character, so Java matches runs of any length in a loop, not by recursion, and each digit is looked at a bounded number
+of times. Overlap is a lookback: a piece starts that many units before its core, and cores are shorter by as many, so
+that no piece exceeds the limit.
 """
 
 from __future__ import annotations
@@ -13,10 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A token is a run of characters other than space, tab, line feed and carriage return.
-UNITS = {"tokens": r"(?:[^ \t\n\r]++[ \t\n\r]*+)", "chars": r"(?s:.)"}
-#: What stands before the place of a cut, the strongest boundary first.
-BOUNDARIES = (r"(?<=\n[ \t\r]{0,4}\n[ \t\r]{0,4})", r"(?<=\n[ \t\r]{0,4})", r"(?<=[.!?…][\"”’)\]]{0,2}[ \t]{1,8})", r"(?<=[,;:–—][ \t]{1,8})", r"(?<=[ \t])")
+from tessella.functions.text import let
+
+BLANKS = " \t\n\r"
+#: A token is a run of characters other than space, tab, line feed and carriage return; blanks behind it go with it.
+TOKENS = {"tokens": r"[^ \t\n\r]++[ \t\n\r]*+", "chars": r"[ \t\n\r]*+[^ \t\n\r]++[ \t\n\r]*+|[ \t\n\r]++"}
+CLOSERS = "\"”’)]"
+SENTENCE, CLAUSE = (".", "!", "?", "…"), (",", ";", ":", "–", "—")
+STRENGTHS = "54321"
+PIECE = "struct<piece_index:int,start:int,size:int,overlap:int,text:string>"
 
 
 def token_count(text: Column) -> Column:
@@ -27,62 +33,53 @@ def size_of(text: Column, unit: str) -> Column:
     return token_count(text) if unit == "tokens" else F.char_length(text)
 
 
-def core_pattern(limit: Column, least: Column, unit: str) -> Column:
-    """A pattern whose matches are runs of at most limit units; least: units that a piece cut at a boundary must have."""
-    one = UNITS[unit]
-    at_most = F.concat(F.lit(one + "{1,"), limit.cast("string"), F.lit("}"))
-    run = F.concat(F.lit(one + "{"), least.cast("string"), F.lit(","), limit.cast("string"), F.lit("}"))
+def strength(token: Column) -> Column:
+    """The digit of the boundary behind a token and its blanks."""
+    word = F.rtrim(token, F.lit(BLANKS))
+    last, inner = F.right(word, F.lit(1)), F.right(F.rtrim(word, F.lit(CLOSERS)), F.lit(1))
+    lines = F.char_length(token) - F.char_length(F.replace(token, F.lit("\n"), F.lit("")))
+    return F.when(lines > 1, "5").when(lines == 1, "4").when(word == token, "0").when(inner.isin(*SENTENCE), "3").when(last.isin(*CLAUSE), "2").otherwise("1")
+
+
+def core_pattern(limit: Column, least: Column) -> Column:
+    """A pattern whose matches are runs of at most limit digits; least: units that a piece cut at a boundary must have."""
+    at_most = F.concat(F.lit(".{1,"), limit.cast("string"), F.lit("}"))
+    run = F.concat(F.lit(".{"), (least - 1).cast("string"), F.lit(","), (limit - 1).cast("string"), F.lit("}"))
     # what is left fits: it is taken whole, before any boundary in it is looked for
-    return F.concat_ws("|", F.concat(at_most, F.lit(r"\z")), *[F.concat(run, F.lit(end)) for end in BOUNDARIES], at_most)
+    return F.concat_ws("|", F.concat(at_most, F.lit(r"\z")), *[F.concat(run, F.lit(s)) for s in STRENGTHS], at_most)
 
 
 def split_pieces(text: Column, limit: Column, overlap: Column, unit: str = "tokens", min_fill: float = 0.5) -> Column:
     """array<struct<piece_index, start, size, overlap, text>> of a text; start, size and overlap in units.
 
     A text within the limit is one piece, exactly itself, an empty one too. Null text or limit gives null. overlap is
-    cut to limit - 1; null means 0. A limit below 1 counts as 1. The cores joined are the text without its leading
-    blanks, so nothing is lost; min_fill is the share of a core that a cut at a boundary must fill.
+    cut to limit - 1; null means 0. A limit below 1 counts as 1. The cores joined are the text, in tokens without its
+    outer blanks, so nothing is lost; min_fill is the share of a core that a cut at a boundary must fill.
     """
     known, limit = limit.isNotNull(), F.greatest(limit, F.lit(1)).cast("int")
     overlap = F.least(F.greatest(F.coalesce(overlap, F.lit(0)), F.lit(0)), limit - 1).cast("int")
     core = limit - overlap
     least = F.greatest(F.floor(core * min_fill), F.lit(1)).cast("int")
-    body = F.regexp_replace(text, r"\A[ \t\n\r]+", "") if unit == "tokens" else text
-    cores = F.regexp_extract_all(body, core_pattern(core, least, unit), F.lit(0))
-    one = UNITS[unit]
-    # as many cores before one as surely hold the overlap
-    reach = F.floor(overlap / least).cast("int") + 1
-
-    def lookback(i: Column) -> Column:
-        first = F.greatest(i - reach, F.lit(0))
-        before = F.array_join(F.slice(cores, first + 1, i - first), "")
-        drop = F.greatest(size_of(before, unit) - overlap, F.lit(0)).cast("string")
-        return F.regexp_replace(before, F.concat(F.lit(r"\A" + one + "{"), drop, F.lit("}")), F.lit(""))
-
-    backs = F.transform(cores, lambda _, i: F.when((i > 0) & (overlap > 0), lookback(i)).otherwise(F.lit("")))
-    sized = F.transform(F.arrays_zip(cores.alias("c"), backs.alias("b")), lambda x: F.struct(x["c"].alias("c"), x["b"].alias("b"), size_of(x["c"], unit).alias("n"), size_of(x["b"], unit).alias("o")))
-    nothing = F.array().cast("array<struct<piece_index:int,start:int,size:int,overlap:int,text:string>>")
-    end = r"[ \t\n\r]+\z" if unit == "tokens" else r"(?!)"
-    # a running sum gives the starts: the last piece so far knows where it ended
-    pieces = F.aggregate(
-        sized,
-        nothing,
-        lambda a, x: F.concat(
-            a,
-            F.array(
-                F.struct(
-                    F.size(a).alias("piece_index"),
-                    F.when(F.size(a) > 0, F.element_at(a, -1)["start"] + F.element_at(a, -1)["size"] - x["o"]).otherwise(F.lit(0)).cast("int").alias("start"),
-                    (x["n"] + x["o"]).cast("int").alias("size"),
-                    x["o"].cast("int").alias("overlap"),
-                    F.regexp_replace(F.concat(x["b"], x["c"]), end, "").alias("text"),
-                ),
-            ),
-        ),
-    )
+
+    def of_tokens(tokens: Column) -> Column:
+        if unit == "tokens":
+            digits = F.array_join(F.transform(tokens, strength), "")
+        else:
+            digits = F.array_join(F.transform(tokens, lambda x: F.concat(F.repeat(F.lit("0"), F.char_length(x) - 1), strength(x))), "")
+        sizes = F.transform(F.regexp_extract_all(digits, core_pattern(core, least), F.lit(0)), lambda x: F.char_length(x))
+        # the fold's state is the ends of the cores so far
+        ends = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+        return let(ends, lambda e: F.transform(F.slice(e, 2, F.size(e) - 1), lambda end, i: piece(tokens, F.get(e, i), end, i)))
+
+    def piece(tokens: Column, begin: Column, end: Column, i: Column) -> Column:
+        start = F.greatest(begin - overlap, F.lit(0))
+        said = F.rtrim(F.array_join(F.slice(tokens, start + 1, end - start), ""), F.lit(BLANKS)) if unit == "tokens" else F.substring(text, start + 1, end - start)
+        return F.struct(i.alias("piece_index"), start.alias("start"), (end - start).alias("size"), (begin - start).alias("overlap"), said.alias("text"))
+
+    pieces = let(F.regexp_extract_all(text, F.lit(TOKENS[unit]), F.lit(0)), of_tokens)
     n = size_of(text, unit)
     whole = F.array(F.struct(F.lit(0).alias("piece_index"), F.lit(0).alias("start"), n.cast("int").alias("size"), F.lit(0).alias("overlap"), text.alias("text")))
-    return F.when(text.isNull() | ~known, F.lit(None)).when(n <= limit, whole).otherwise(pieces)
+    return F.when(text.isNull() | ~known, F.lit(None)).when(n <= limit, whole).otherwise(pieces).cast(f"array<{PIECE}>")
 
 
 def split_oversized(items: DataFrame, settings: DataFrame, key: str, text: str = "text", profile: str = "chunking_profile", default_profile: str = "default", oversized_only: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -47,6 +48,24 @@ def test_characters_fall_back_inside_a_word(spark):
     assert "".join(p.text[p.overlap :] for p in pieces) == "abcdefghij klm"
 
 
+@pytest.mark.parametrize("limit", [2048, 8192, 32_768])
+@pytest.mark.parametrize("unit", ["tokens", "chars"])
+def test_large_limits(spark, limit, unit):
+    """Long runs are matched in a loop: neither depth nor time grows faster than the text."""
+    text = " ".join(f"w{i % 97}{'.' if i % 13 == 0 else ''}" for i in range(80_000)) + " 𝒳é" * 100
+    n = len(tokens(text)) if unit == "tokens" else len(text)
+    [pieces] = cut(spark, [(text, limit, 100)], unit)
+    assert max(p.size for p in pieces) <= limit and sum(p.size - p.overlap for p in pieces) == n
+    assert all(p.text.rstrip().endswith(".") for p in pieces[:-1])
+
+
+def test_blanks_only_and_trailing_boundaries(spark):
+    rows = [("  \n ", 1, 0), ("  a b\n\nc", 2, 0), ("(see it.) then go on", 3, 0), ("a, b c d", 3, 0)]
+    got = [[p.text for p in pieces] for pieces in cut(spark, rows)]
+    assert got == [["  \n "], ["a b", "c"], ["(see it.)", "then go on"], ["a,", "b c d"]]
+    assert [p.text for p in cut(spark, [(" \n\n a", 2, 0)], "chars")[0]] == [" \n", "\n ", "a"]
+
+
 def test_nulls_empty_long_and_unknown_profile(spark, frame):
     assert cut(spark, [(None, 3, 0)]) == [None]
     assert [p.text for p in cut(spark, [("", 3, 0)])[0]] == [""]
