@@ -130,6 +130,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, d, "chunk_vectors", "id", "vector"))
 
 
+SQL["p3_found"] = """
+with v as (select id, list_transform(min(vector), lambda x: x::double) as v from chunk_vectors where id is not null and vector is not null and len(vector) = 64 and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by id),
+u as (select id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as u from v),
+s as (select a.id as x, b.id as y, round(list_dot_product(a.u, b.u), 6) as s from u a join u b on a.id <> b.id),
+k as (select x, y from (select *, row_number() over (partition by x order by s desc, y) as k from s) where k <= 5)
+select distinct least(x, y) as id_a, greatest(x, y) as id_b from k
+"""
+
+
 def _scans(spark: SparkSession, d: str) -> DataFrame:
     blocks = table(spark, d, "document_blocks", "block_id", "doc_id", "block_index", "page_number", "text")
     return scan_repair.repair_scans(table(spark, d, "parsed_pdfs", "doc_id", "text"), blocks, table(spark, d, "documents", "text"))
