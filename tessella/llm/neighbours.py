@@ -162,11 +162,12 @@ def cell_neighbours(rows: pd.DataFrame, k: int, digits: int = 6, block: int = 20
     floor = np.full(len(rows), -8, dtype=np.float32)
     out_q, out_m, out_s = [], [], []
 
-    def meet(q: np.ndarray, m: np.ndarray) -> None:
+    def meet(q: np.ndarray, m: np.ndarray, own: bool) -> None:
         for low in range(0, len(q), block):
             part = q[low : low + block]
             rough = light[part] @ light[m].T
-            rough[part[:, None] == m[None, :]] = -9
+            if own:  # a query is not its own neighbour
+                rough[np.arange(len(part)), np.searchsorted(m, part)] = -9
             fresh = floor[part] < -7  # nothing yet says what is worth keeping
             if len(m) > k and fresh.any():
                 floor[part[fresh]] = np.partition(rough[fresh], -k, axis=1)[:, -k] - 1e-5
@@ -182,7 +183,7 @@ def cell_neighbours(rows: pd.DataFrame, k: int, digits: int = 6, block: int = 20
             q = who[low:high]
             q = q[(home[q] == name) == first]
             if len(q) and len(m):
-                meet(q, m)
+                meet(q, m, first)
     if not out_q:
         return pd.DataFrame({"c": [], "near": [], "to": []})
     q, m, s = np.concatenate(out_q), np.concatenate(out_m), np.concatenate(out_s)
@@ -199,7 +200,7 @@ def cell_neighbours(rows: pd.DataFrame, k: int, digits: int = 6, block: int = 20
     least[q[place == k - 1]] = s[place == k - 1] - 1e-5
     kept = s >= least[q]
     q, m = q[kept], m[kept]
-    exact = np.round(np.einsum("nd,nd->n", unit[q], unit[m]), digits)
+    exact = np.concatenate([np.einsum("nd,nd->n", unit[q[i : i + 50_000]], unit[m[i : i + 50_000]]) for i in range(0, len(q), 50_000)]).round(digits)
     order = np.lexsort((m, -exact, q))  # rows stand in the order of their keys
     kept = order[places(order) < k]
     q, m, exact = q[kept], m[kept], exact[kept]

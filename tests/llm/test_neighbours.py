@@ -43,7 +43,7 @@ def test_leaves_are_those_that_one_queue_opens():
                 heapq.heappush(queue, (max(d * 1.000001, abs(shift)), int(forest.children[node, 1 - side])))
                 node = int(forest.children[node, side])
             out.append((d, -1 - node))
-        assert np.allclose(sorted(d for d, _ in out), np.sort(far[i]), atol=1e-5) and {n for d, n in out if d == 0} == set(leaves[i][far[i] == 0])
+        assert np.allclose(sorted(d for d, _ in out), np.sort(far[i]), atol=1e-5) and {n for d, n in out if d == 0} >= set(leaves[i][far[i] == 0])
         assert len({n for _, n in out} - set(leaves[i])) <= 1  # a tie at the end of the queue
     assert forest.cells >= 3 * 5 and len(set(forest.cell)) == forest.cells
 
