@@ -2,10 +2,11 @@
 
 The plain part needs the text alone: canonical composition, wide and narrow forms, ligatures, hyphens of any kind,
 signs without width, kinds of blanks. Look-alike letters of other scripts are another matter, since each is right in
-its own script. They are substituted only in tokens of mixed script (or wholly of letters foreign to the text), into
-the token's dominant script, and only when the result is a word of the corpus vocabulary: the tokens of one script
-that the texts themselves hold. That vocabulary grows with the corpus, so it stays distributed, and only tokens in
-doubt are joined with it.
+its own script. They are substituted in tokens of mixed script, into the token's dominant script, and only when the
+result is a word of the corpus vocabulary: the tokens of one script that the texts themselves hold. A token wholly of
+look-alikes from a script foreign to its text is no mixed one, yet the eye can't tell it either; it is substituted on
+the same condition, and only if the corpus nowhere has it as a word of its own script. That vocabulary grows with the
+corpus, so it stays distributed, and only tokens in doubt are joined with it.
 """
 
 from __future__ import annotations
@@ -153,7 +154,8 @@ def doubtful(text: str) -> dict[str, list[str]]:
             continue
         found = [f for s in order if (f := into(token, s)) is not None and f != token]
         if found:
-            out[token] = list(dict.fromkeys(found))
+            # a word of its own script, where the corpus has it, stays as it is
+            out[token] = list(dict.fromkeys(found if len(kinds) > 1 or len(token) == 1 else [token, *found]))
     return out
 
 
@@ -224,6 +226,18 @@ def consistent_forms(texts: DataFrame, key: str, text: str = "text") -> DataFram
     return _forms(rows, True).select(F.col("k").alias(key), F.col("text").alias("form"))
 
 
+def form_classes(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key (as text), form_id, n_rows, n_texts: the class of texts that look like a row's, without writing out its pairs.
+
+    n_rows counts the class's keys, n_texts the texts among them that differ in characters. Nulls are left out;
+    repeated rows count once.
+    """
+    rows = texts.select(F.col(key).cast("string").alias("k"), F.col(text).alias("text"))
+    forms = materialise(_forms(rows, False).select("k", "raw", F.hex("form").alias("form_id")).distinct(), "digests")
+    counts = forms.groupBy("form_id", "raw").agg(F.count("*").alias("n")).groupBy("form_id").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_texts"))
+    return forms.join(counts, "form_id").select(F.col("k").alias(key), "form_id", "n_rows", "n_texts").distinct()
+
+
 def same_looking_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str = "text") -> DataFrame:
     """left_key, right_key (as text): rows whose whole texts have one consistent form but differ in characters.
 

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from tessella.llm.lookalikes import consistent_forms, plain_form, same_looking_pairs
+from tessella.llm.lookalikes import consistent_forms, form_classes, plain_form, same_looking_pairs
 
 ROWS = "id string, text string"
 ROWS_B = "block_id string, text string"
@@ -28,6 +28,20 @@ def test_letters_are_right_in_their_own_script(frame):
     assert "wоrd" in got["4"]  # no text has the word: it stays as it is
 
 
+def test_words_of_another_script_stay_where_the_corpus_has_them(frame):
+    rows = [("1", "сор в углу и вода"), ("2", "he wrote сор in the cop file"), ("3", "the іѕ file is here"), ("4", "cop file")]
+    got = {r.id: r.form for r in consistent_forms(frame(rows, ROWS), "id").collect()}
+    assert got["2"] == rows[1][1]  # a Russian word, though "cop" is one too
+    assert got["3"] == "the is file is here"
+
+
+def test_classes(frame):
+    rows = [("a", "same text"), ("b", "same text"), ("c", "sаme text"), ("d", "other"), ("e", None), ("a", "same text")]
+    got = {r.id: (r.n_rows, r.n_texts) for r in form_classes(frame(rows, ROWS, "k", "form"), "id").collect()}
+    assert got == {"a": (3, 2), "b": (3, 2), "c": (3, 2), "d": (1, 1)}
+    assert form_classes(frame([], ROWS), "id").count() == 0
+
+
 def test_empty_tables_and_hot_copies(frame):
     assert same_looking_pairs(frame([], ROWS), frame([], ROWS_B), "id", "block_id").count() == 0
     chunks, blocks = [(f"c{i}", "same text") for i in range(300)], [(f"b{i}", "same text") for i in range(300)] + [("odd", "same text")]
