@@ -5,12 +5,14 @@ documents of the shard laid out on one axis with gaps between them. The index is
 searched shard by shard, so neither postings nor documents are shuffled. A test item is searched by blocks of half the
 phrase length: whatever run of min_words words a document shares with it covers one block whole. A block's posting
 lists are shifted by the places of their terms in the item and intersected, the shard's rarest term first; what
-remains is a place where the block occurs, and is extended to both sides as far as the lists allow.
+remains is a place where the block occurs, and is extended to both sides as far as the lists allow. A shard doesn't try
+every item: blocks are filed under the term of theirs that fewest blocks have, and a shard looks up its own terms.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -27,7 +29,7 @@ INDEX = "docs array<{kind}>, bases array<int>, terms binary, ends binary, places
 
 
 class Items:
-    """Test items as term numbers."""
+    """Test items as term numbers; their blocks of half min_words terms, filed under the rarest term of each."""
 
     def __init__(self, rows: list[tuple[Any, str | None]], min_words: int):
         self.vocabulary: dict[str, int] = {}
@@ -36,6 +38,37 @@ class Items:
             terms = words(text)
             if len(terms) >= min_words:
                 self.items.append((key, np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in terms], dtype=np.int32)))
+        half = (min_words + 1) // 2
+        starts = [np.arange(0, len(t) - half + 1, half) for _, t in self.items]
+        self.of = np.repeat(np.arange(len(self.items)), [len(b) for b in starts])
+        self.at = np.concatenate([*starts, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+        self.terms = np.array([self.items[i][1][b : b + half] for i, b in zip(self.of, self.at, strict=True)], dtype=np.int32).reshape(-1, half)
+        often = np.bincount(self.terms.ravel(), minlength=len(self.vocabulary))
+        filed = self.terms[np.arange(len(self.terms)), often[self.terms].argmin(1)] if len(self.terms) else np.zeros(0, dtype=np.int32)
+        self.order = np.argsort(filed, kind="stable")
+        self.first = np.searchsorted(filed[self.order], np.arange(len(self.vocabulary) + 1))
+        self.flat = np.concatenate([*[t for _, t in self.items], np.zeros(0, dtype=np.int32)]).astype(np.int64)
+        self.begins = np.cumsum([0, *[len(t) for _, t in self.items]])
+
+    def blocks_in(self, count: np.ndarray, present: np.ndarray) -> dict[int, list[int]]:
+        """item -> the places of its blocks of which all terms are present."""
+        low, high = self.first[present], self.first[present + 1]
+        ix = self.order[np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True) if b > a] or [np.zeros(0, dtype=np.int64)])]
+        ix = np.sort(ix[(count[self.terms[ix]] > 0).all(axis=1)])
+        out: dict[int, list[int]] = {}
+        for i, b in zip(self.of[ix].tolist(), self.at[ix].tolist(), strict=True):
+            out.setdefault(i, []).append(b)
+        return out
+
+    def nearly_in(self, count: np.ndarray, min_words: int, need: int) -> np.ndarray:
+        """Items of which some window of min_words words has need words present."""
+        there = np.concatenate(([0], np.cumsum(count[self.flat] > 0)))
+        n = len(self.flat) - min_words + 1
+        window = np.zeros(len(self.flat), dtype=bool)
+        if n > 0:
+            window[:n] = there[min_words:] - there[:n] >= need
+        window &= np.arange(len(self.flat)) <= np.repeat(self.begins[1:], np.diff(self.begins)) - min_words
+        return np.unique(np.searchsorted(self.begins, np.flatnonzero(window), side="right") - 1)
 
 
 def build_shards(batches: Iterator[pd.DataFrame], vocabulary: dict[str, int], shard_words: int) -> Iterator[pd.DataFrame]:
@@ -84,14 +117,12 @@ class Shard:
         i = np.searchsorted(own, at - slop)
         return (i < len(own)) & (own[np.minimum(i, len(own) - 1)] <= at + slop)
 
-    def runs(self, item: np.ndarray, min_words: int) -> Iterator[tuple[int, int, int]]:
-        """Place on the axis, place in the item and length of every run of min_words words or more."""
+    def runs(self, item: np.ndarray, min_words: int, blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+        """Place on the axis, place in the item and length of every run of min_words words or more that has one of the blocks."""
         half = (min_words + 1) // 2
         counts, done = self.count[item], set()
-        for b in range(0, len(item) - half + 1, half):
+        for b in blocks:
             order = b + np.argsort(counts[b : b + half], kind="stable")
-            if not counts[order[0]]:
-                continue
             rarest = int(order[0])
             lines = self.places[self.start[item[rarest]] : self.end[item[rarest]]] - rarest  # places shifted to where the item would begin
             for j in order[1:]:
@@ -110,19 +141,19 @@ class Shard:
 
     def near(self, item: np.ndarray, min_words: int, slop: int, share: float) -> Iterator[tuple[int, int, int]]:
         """The same for all windows of min_words item words of which a share stands within slop places of its due place: words changed, dropped or put in."""
-        counts = self.count[item]
-        for b in range(len(item) - min_words + 1):
-            span = np.arange(b, b + min_words)
-            need = int(np.ceil(share * min_words))
-            # of any need words in the window one is among these: the rarest ones, as many as may be absent and one more
-            for rare in span[np.argsort(counts[span], kind="stable")][: min_words - need + 1]:
-                lines = self.places[self.start[item[rare]] : self.end[item[rare]]] - int(rare)
-                if len(lines):
-                    hits = np.zeros(len(lines), dtype=np.int64)
-                    for j in span:
-                        hits += self.has(int(item[j]), lines + int(j), slop)
-                    for line, n in zip(lines[hits >= need].tolist(), hits[hits >= need].tolist(), strict=True):
-                        yield line + b, b, n
+        counts, need = self.count[item], int(np.ceil(share * min_words))
+        # of any need words in a window one is among its rarest ones, as many as may be absent and one more
+        spans = np.lib.stride_tricks.sliding_window_view(counts, min_words)
+        rare = np.unique(np.arange(len(spans))[:, None] + np.argsort(spans, axis=1, kind="stable")[:, : min_words - need + 1])
+        lines = np.unique(np.concatenate([self.places[self.start[item[j]] : self.end[item[j]]] - int(j) for j in rare]))
+        # where a line goes on through the item, each word is looked up once for all windows
+        for low in range(0, len(lines), 10_000):
+            part = lines[low : low + 10_000]
+            hits = np.stack([np.zeros(len(part), dtype=np.int64), *[self.has(int(t), part + j, slop) for j, t in enumerate(item)]])
+            total = np.cumsum(hits, axis=0)
+            inside = total[min_words:] - total[:-min_words]
+            for b, i in zip(*np.nonzero(inside >= need), strict=True):
+                yield int(part[i]) + int(b), int(b), int(inside[b, i])
 
 
 def search_shards(batches: Iterator[pd.DataFrame], items: Items, min_words: int, slop: int, share: float) -> Iterator[pd.DataFrame]:
@@ -130,11 +161,13 @@ def search_shards(batches: Iterator[pd.DataFrame], items: Items, min_words: int,
         for row in batch.itertuples():
             shard = Shard(row.terms, row.ends, row.places, len(items.vocabulary))
             bases, out = np.asarray(row.bases), []
-            for key, terms in items.items:
-                for kind, hits in (("phrase", shard.runs(terms, min_words)), ("proximity", shard.near(terms, min_words, slop, share) if slop else ())):
-                    for place, low, n in hits:
-                        d = int(np.searchsorted(bases, max(place, 0), side="right")) - 1
-                        out.append((row.docs[d], key, kind, int(place - bases[d]), low, n))
+            hits = [(i, "phrase", h) for i, blocks in items.blocks_in(shard.count, np.frombuffer(row.terms, dtype=np.int32)).items() for h in shard.runs(items.items[i][1], min_words, blocks)]
+            if slop:
+                near = items.nearly_in(shard.count, min_words, int(np.ceil(share * min_words)))
+                hits += [(int(i), "proximity", h) for i in near for h in shard.near(items.items[i][1], min_words, slop, share)]
+            for i, kind, (place, low, n) in hits:
+                d = int(np.searchsorted(bases, max(place, 0), side="right")) - 1
+                out.append((row.docs[d], items.items[i][0], kind, int(place - bases[d]), low, n))
             if out:
                 yield pd.DataFrame(out, columns=["k", "i", "kind", "doc_word", "item_word", "n_words"])
 
@@ -154,19 +187,25 @@ def leaked_passages(documents: DataFrame, items: DataFrame, key: str = "doc_id",
     spark = documents.sparkSession
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("text")).where("text is not null")
     kind, of_item = rows.schema["k"].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    block, size, blocks = [], 0, []
-    for r in items.select(item, passage).where(F.col(passage).isNotNull()).toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1]) // 4
-        if size >= block_words:
-            blocks.append(block)
-            block, size = [], 0
     found = spark.createDataFrame([], f"k {kind}, i {of_item}, kind string, doc_word int, item_word int, n_words int")
-    for block in [*blocks, block]:
+
+    def search(block: list) -> DataFrame | None:
         own = Items(block, min_words)
-        if own.items:
-            sent = spark.sparkContext.broadcast(own)
-            index = rows.mapInPandas(lambda b, sent=sent: build_shards(b, sent.value.vocabulary, shard_words), INDEX.format(kind=kind))
-            index = materialise(index, "postings")
-            found = found.union(index.mapInPandas(lambda b, sent=sent: search_shards(b, sent.value, min_words, slop, share), found.schema))
+        if not own.items:
+            return None
+        sent = spark.sparkContext.broadcast(own)
+        index = rows.mapInPandas(lambda b: build_shards(b, sent.value.vocabulary, shard_words), INDEX.format(kind=kind))
+        index = materialise(index, "postings")
+        return index.mapInPandas(lambda b: search_shards(b, sent.value, min_words, slop, share), found.schema)
+
+    # one block at a time is held; the last one may be empty
+    block, size = [], 0
+    for r in chain(items.select(item, passage).where(F.col(passage).isNotNull()).toLocalIterator(), [None]):
+        if r is not None:
+            block.append((r[0], r[1]))
+            size += len(r[1]) // 4
+        if (r is None or size >= block_words) and (more := search(block)) is not None:
+            found = found.union(more)
+        if size >= block_words:
+            block, size = [], 0
     return found.withColumnsRenamed({"k": key, "i": item})
