@@ -10,7 +10,6 @@ open containers, until little is left.
 from __future__ import annotations
 
 import base64
-import importlib.util
 import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,15 +28,16 @@ from tessella.session import materialise
 DIMENSIONS, BITS = 4, 12
 
 
+#: Fixed value: the pattern that splits a text before byte pairs are merged.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 @lru_cache(maxsize=4)
-def tokenizer(folder: str, name: str) -> tiktoken.Encoding:
-    """A rank file of the folder of public tokenizers; the folder's module holds the pattern that splits text."""
-    spec = importlib.util.spec_from_file_location("public_tokenizer_folder", f"{folder}/__init__.py")
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    with open(module.path(name), "rb") as lines:
+def tokenizer(ranks_file: str, pattern: str = PATTERN) -> tiktoken.Encoding:
+    """A public tokenizer from its rank file: a line per token, in base 64, with its rank."""
+    with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(name, pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(ranks_file.rsplit("/", 1)[-1], pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -115,7 +115,7 @@ class Packer:
 
 def _measured(batches: Iterator[pd.DataFrame], folder: str, name: str, capacity: int) -> Iterator[pd.DataFrame]:
     """A row per piece: k, piece, start, size, place."""
-    encoder, hashes = tokenizer(folder, name), WordHashes()
+    encoder, hashes = tokenizer(f"{folder}/{name}"), WordHashes()
     for batch in batches:
         places = curve_places(list(batch["text"]), hashes)
         rows = []
