@@ -28,6 +28,8 @@ from tessella.session import materialise
 
 #: Bits of a bucket's key. Chance meetings of keys only add candidates, which verification drops.
 KEY = np.uint64((1 << 48) - 1)
+#: Band keys that a task sorts into buckets, some 10 MB.
+KEYS_A_TASK = 400_000
 #: Need not be more than this for a broadcast: 8 bytes each, some 10 MB with the hash table.
 BROADCAST_ROWS = 200_000
 EDGE = "a bigint, b bigint, bucket bigint"
@@ -68,7 +70,7 @@ def signatures(sets: list[np.ndarray], bins: int, seed: int) -> np.ndarray:
     """A row of bins values per set, all of them filled unless the set is empty."""
     lengths = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets), dtype=np.int64), lengths)
-    h = mix(np.concatenate(sets).astype(np.uint64) + np.uint64(seed) * np.uint64(0x51_7C_C1_B7_27_22_0A_95)) if len(row) else np.zeros(0, np.uint64)
+    h = mix(np.concatenate(sets).astype(np.uint64) + np.uint64(seed * 0x517CC1B727220A95 % 2**64)) if len(row) else np.zeros(0, np.uint64)
     place = row * bins + (((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
     value = h & np.uint64(0xFFFFFFFF)
     order = np.argsort(place, kind="stable")
@@ -207,7 +209,9 @@ def _candidates(sets: DataFrame, bands: int, width: int, cap: int, levels: int)
     for level in range(levels):
         n, w = (bands, width) if level == 0 else (bands // 2, max(2, width // 2))
         banded = rows.mapInPandas(lambda b, n=n, w=w, level=level: _banded(b, n, w, level, cap), "bucket bigint, salt bigint, hot boolean, c bigint")
-        edges = banded.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "c").mapInPandas(lambda b: _edges(b, cap), EDGE)
+        # tasks grow in number with the keys, not in size
+        parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() * n // KEYS_A_TASK))
+        edges = banded.repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "c").mapInPandas(lambda b: _edges(b, cap), EDGE)
         edges = materialise(edges, "edges")
         pairs = edges.where("bucket < 0").select("a", "b")
         found = pairs if found is None else found.union(pairs)
