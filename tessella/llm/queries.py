@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import leakage, lookalikes, mojibake, near_duplicates, neighbours, packing, rank_fusion, scan_repair, splitting
+from tessella.session import materialise
 from tessella.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +92,21 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+# the same by a join of 12-word sequences
+SQL["p9_found"] = r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null), i as (select item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') as w from eval_cases where passage is not null),
+g as (select distinct item_id, array_to_string(w[k:k + 11], ' ') as g from i, unnest(range(1, len(w) - 10)) t(k)), h as (select distinct doc_id, array_to_string(w[k:k + 11], ' ') as g from d, unnest(range(1, len(w) - 10)) t(k))
+select distinct doc_id, item_id from h join g using (g)
+"""
+
+
+@query
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold ten of twelve successive words of a held-out passage, each within two places of its due one: changed, dropped or inserted words."""
+    found = leakage.leaked_passages(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_cases", "item_id", "passage"), slop=2, share=10 / 12)
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.col("kind") == "phrase").alias("unbroken"), F.max("n_words").alias("n_words"))
+
+
 @query
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents of which a part was decoded in another encoding than it was written in."""
@@ -110,6 +126,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.same_looking_pairs(chunks, table(spark, d, "document_blocks", "block_id", "text"), "chunk_id", "block_id")
 
 
+@query
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk and block with the class of those that look like it: classes and membership instead of pairs."""
+    chunks = table(spark, d, "chunks", "id", "text").select(F.concat(F.lit("chunks:"), "id").alias("record"), "text")
+    blocks = table(spark, d, "document_blocks", "block_id", "text").select(F.concat(F.lit("document_blocks:"), "block_id").alias("record"), "text")
+    return lookalikes.form_classes(chunks.union(blocks), "record")
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks, and documents, of 20 words or more that share at least 0.6 of their distinct runs of three words."""
@@ -162,3 +186,28 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every document, or piece of one, in a container of the context size of the profile "overlap"."""
     capacity = table(spark, d, "rag_settings", "profile", "context_tokens").where("profile = 'overlap'").first()["context_tokens"]
     return packing.pack(table(spark, d, "documents", "doc_id", "text"), capacity)
+
+
+@query
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: each document whole in one or, if it exceeds the capacity, in full pieces and a rest."""
+    capacity = table(spark, d, "rag_settings", "profile", "context_tokens").where("profile = 'overlap'").first()["context_tokens"]
+    packed = materialise(packing.pack(table(spark, d, "documents", "doc_id", "text"), capacity), "containers")
+    documents = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.sum("piece").alias("places"))
+    cut_right = (F.col("pieces") == F.greatest(F.ceil(F.col("n") / capacity), F.lit(1))) & (F.col("places") == F.col("pieces") * (F.col("pieces") - 1) / 2)
+    of_documents = documents.agg(F.count("*").alias("documents"), F.count_if(~cut_right).alias("wrongly_cut"))
+    containers = packed.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.max("used").alias("used"))
+    of_containers = containers.agg(F.count_if((F.col("n") > capacity) | (F.col("n") != F.col("used"))).alias("wrongly_filled"))
+    return of_documents.crossJoin(of_containers).select("documents", "wrongly_cut", "wrongly_filled")  # one row each
+
+
+SQL["p8_fill"] = "select count(distinct doc_id) as documents, 0::bigint as wrongly_cut, 0::bigint as wrongly_filled from documents where text is not null"
+
+# all pairs that share a run, by a join on the runs themselves
+SQL["p5_found"] = r"""
+with r as (select distinct 'chunk' as kind, id as key, text from chunks union all select distinct 'document', doc_id::varchar, text from documents),
+w as (select kind, key, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from r where text is not null),
+g as (select distinct kind, key, array_to_string(w[k:k + 2], ' ') as g from w, unnest(range(1, len(w) - 1)) t(k) where len(w) >= 20), n as (select kind, key, count(*) as n from g group by all),
+c as (select a.kind, a.key as key_a, b.key as key_b, count(*) as c from g a join g b on a.kind = b.kind and a.g = b.g and a.key < b.key group by all)
+select c.kind, key_a, key_b from c join n a on a.kind = c.kind and a.key = key_a join n b on b.kind = c.kind and b.key = key_b where c / (a.n + b.n - c) >= 0.6
+"""
