@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from tessella.operators import chunking
+#: ends of sentences, lines
+BREAKS = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 @F.pandas_udf(StringType())
@@ -20,27 +23,25 @@ def nfkc_casefold(text: pd.Series) -> pd.Series:
 
 @udtf(returnType=StructType([StructField("chunk_no", IntegerType()), StructField("text", StringType())]))
 class ChunkDocument:
-    """chunk_document(text, target, most): units of a text packed to chunks of at most most words."""
+    """chunk_document(text, target, most) for SQL: sentences and lines packed to chunks of at most most words.
+
+    DataFrames take tessella.functions.text.child_chunks, which stays in the JVM.
+    """
 
     def eval(self, text: str, target: int, most: int):
-        n, now = 0, []
-        for unit in chunking.units(text or ""):
-            words = unit.split()
-            for at in range(0, len(words), most):
-                run = words[at : at + most]
-                if now and len(now) + len(run) > most:
-                    yield n, " ".join(now)
-                    n, now = n + 1, []
-                now = now + run
-                if len(now) >= target:
-                    yield n, " ".join(now)
-                    n, now = n + 1, []
-        if now:
-            yield n, " ".join(now)
+        runs = [w[i : i + most] for u in BREAKS.split(text or "") if (w := u.split()) for i in range(0, len(w), most)]
+        sizes = [len(r) for r in runs]
+        chunk, held, of = 0, 0, []
+        for n in sizes:
+            if held and (held >= target or held + n > most):
+                chunk, held = chunk + 1, 0
+            held += n
+            of.append(chunk)
+        for k, group in groupby(zip(of, runs, strict=True), key=lambda x: x[0]):
+            yield k, " ".join(w for _, r in group for w in r)
 
 
 def register(spark: SparkSession) -> None:
-    """nfkc_casefold(text), summarise(text) and the table function chunk_document(text, target, most)."""
+    """nfkc_casefold(text) and the table function chunk_document(text, target, most)."""
     spark.udf.register("nfkc_casefold", nfkc_casefold)
-    spark.udf.register("summarise", chunking.summary)
     spark.udtf.register("chunk_document", ChunkDocument)

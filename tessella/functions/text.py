@@ -188,13 +188,18 @@ def normalised_header(header: Column, index: Column) -> Column:
     return F.when(F.coalesce(name, F.lit("")) == "", F.concat(F.lit("column_"), (index + 1).cast("string"))).otherwise(name)
 
 
-def truncated(text: Column, most: int) -> Column:
+def truncated(text: Column, most: Column | int) -> Column:
     """Blanks squeezed, cut at the last blank within most characters, without punctuation left at the end."""
-    clean = squeeze(text)
-    head = F.substring(clean, 1, most + 1)
-    at = F.char_length(head) - F.instr(F.reverse(head), " ")
-    cut = F.when((F.instr(head, " ") == 0) | (at <= 0), F.substring(clean, 1, most)).otherwise(F.substring(clean, F.lit(1), at))
-    return F.when(F.char_length(clean) <= most, clean).otherwise(F.regexp_replace(cut, r"[ ,;:-]+$", ""))
+    most = most if isinstance(most, Column) else F.lit(most)
+
+    def cut(clean: Column) -> Column:
+        head = F.substring(clean, F.lit(1), most + 1)
+        # where the last blank is, or 0
+        at = F.when(F.instr(head, " ") == 0, 0).otherwise(F.char_length(head) - F.instr(F.reverse(head), " "))
+        kept = F.substring(clean, F.lit(1), F.when(at > 0, at).otherwise(most))
+        return F.when(F.char_length(clean) <= most, clean).otherwise(F.regexp_replace(kept, r"[ ,;:-]+$", ""))
+
+    return let(squeeze(text), cut)
 
 
 def contextual_text(text: Column, title: Column, section: Column, page: Column, page_end: Column, block_type: Column) -> Column:

@@ -1139,7 +1139,7 @@ def parent_summaries(spark: SparkSession, d: str) -> DataFrame:
     """An extractive summary of every document's parents."""
     rows = table(spark, d, "documents", "doc_id", "text")
     parents = rows.select("doc_id", F.posexplode(T.parent_chunks(F.col("text"))).alias("parent_no", "text"))
-    return parents.select("doc_id", "parent_no", chunking.summary("text").alias("summary"))
+    return parents.select("doc_id", "parent_no", chunking.summary(F.col("text")).alias("summary"))
 
 
 @query

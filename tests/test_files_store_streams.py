@@ -118,6 +118,7 @@ def test_structured_chunks_and_summaries(frame):
     assert [r.block_type for r in got] == ["paragraph", "table", "table", "paragraph", "paragraph", "paragraph"] and all(len(r.text.split()) <= 150 for r in got)
     assert all(r.text.startswith("h1 h2") for r in got if r.block_type == "table") and [r.table_part for r in got if r.table_part] == ["1/2", "2/2"]
     text = "We define flow as a rate. We found that the rate improved by 12 % in Alpha Basin. However the trial was short. " * 6
-    made = chunking.summarise(text, ["Part One"])
-    assert len(made) <= 700 and made.startswith("Section: Part One") and "Result: We found" in made and "12 %" in made
-    assert chunking.summarise("") == "" and chunking.summarise("One unit only") == "One unit only"
+    texts = frame([(text, ["Part One"]), ("", None), ("One unit only", None), (None, None), ("One unit only", ["", " A  b "])], "t string, h array<string>")
+    made = [r.s for r in texts.select(chunking.summary(F.col("t"), F.col("h")).alias("s")).collect()]
+    assert len(made[0]) <= 700 and made[0].startswith("Section: Part One Entities: We; Alpha Basin; However Values: 12 % Result: We found") and "Limitation: However" in made[0]
+    assert made[1:] == ["", "One unit only", None, "Section: A b Entities: One Context: One unit only"]
