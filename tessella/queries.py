@@ -710,7 +710,7 @@ def layout_expansion(spark: SparkSession, d: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     rows = _results(spark, d).withColumn("anchor", F.coalesce(F.col("dense_rank") == 1, F.lit(False)))
-    return rows.join(_chunks(spark, d, "text", "parent_id"), "id")
+    return rows.join(_chunks(spark, d, "text", "parent_id"), "id", "left")
 
 
 def _needs(spark: SparkSession, d: str) -> DataFrame:
@@ -721,23 +721,51 @@ def _needs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def coverage_selection(spark: SparkSession, d: str) -> DataFrame:
-    return selection.select_coverage(_candidates(spark, d).select("query_id", "id", "doc_id", "parent_id", "text", "score", "lexical_rank", "anchor"), _needs(spark, d), 8)
+    picked = selection.select_coverage(_candidates(spark, d).select("query_id", "id", "doc_id", "parent_id", "text", "score", "lexical_rank", "anchor"), _needs(spark, d), 8)
+    return picked.select("query_id", "id", "pick", "objective")
 
 
 @query
 def context_assembly(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d, "parent_id", "chunk_index", "text", "token_count")
     parents = chunks.where("parent_id is not null").groupBy("parent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("text"), F.sum("token_count").alias("token_count"))
-    picks = _stage(_sources(spark, d), "rerank", "place").where("place <= 8").select("query_id", F.col("chunk_id").alias("id"), "place")
+    picks = _stage(_sources(spark, d), "rerank", "place").select("query_id", F.col("chunk_id").alias("id"), "place")
     return selection.assemble(picks, chunks, parents)
 
 
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of every query's reranked sources; its question is stood in for by the headings of its best candidates."""
+    rows = _stage(_sources(spark, d), "rerank", "place").join(_chunks(spark, d, "text").withColumnRenamed("id", "chunk_id"), "chunk_id").where("text is not null")
+    prompts = _needs(spark, d).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("prompt"))
+    blocks = rows.select("query_id", F.col("chunk_id").alias("source_id"), F.col("place").alias("source_rank"), F.col("score").alias("source_score"), F.posexplode(T.context_blocks(F.col("text"))).alias("block_no", "b"))
+    blocks = blocks.join(prompts, "query_id", "left").withColumn("prompt", F.coalesce("prompt", F.lit("")))
+    score = selection.block_score(F.col("prompt"), F.col("b.kind"), F.col("b.text"), F.col("source_score"), F.col("source_rank"))
+    relevant = F.size(F.array_intersect(T.term_set(F.col("prompt")), T.term_set(F.col("b.text")))) > 0
+    return blocks.select("query_id", "source_id", "source_rank", "block_no", F.col("b.text").alias("text"), F.round(score, 9).alias("score"), relevant.alias("relevant"))
+
+
 @query
 def context_compression(spark: SparkSession, d: str) -> DataFrame:
-    rows = _stage(_sources(spark, d), "rerank", "place").where("place <= 8").join(_chunks(spark, d, "text").withColumnRenamed("id", "chunk_id"), "chunk_id").where("text is not null")
-    blocks = rows.select("query_id", F.col("chunk_id").alias("source_id"), "place", F.posexplode(T.context_blocks(F.col("text"))).alias("block_no", "b"))
-    score = 0.04 / F.col("place") + selection.preservation(F.col("b.kind"), F.col("b.text"))
-    return selection.compress(blocks.select("query_id", "source_id", "block_no", F.col("b.text").alias("text"), score.alias("score")), _needs(spark, d))
+    return selection.compress(_blocks(spark, d), _needs(spark, d))
+
+
+@query
+def plain_compression(spark: SparkSession, d: str) -> DataFrame:
+    return selection.compress_plainly(_blocks(spark, d))
+
+
+@query
+def compression_stats(spark: SparkSession, d: str) -> DataFrame:
+    """How much of every query's evidence is relevant, and how many blocks plain compression keeps."""
+    blocks = _blocks(spark, d)
+    return selection.compression_stats(blocks, selection.compress_plainly(blocks))
+
+
+@query
+def layout_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Two hops around every query's assembled context, within a quarter of its tokens."""
+    chunks = _chunks(spark, d, "doc_id", "chunk_index", "block_type", "section_heading", "parent_id", "page_number", "text", "token_count")
+    return selection.expand_within(context_assembly(spark, d), chunks)
 
 
 # --- evidence --------------------------------------------------------------------------------------------------------

@@ -89,10 +89,40 @@ def test_assembly_promotes_and_spans(frame):
     assert got == [("p_1", "parent", ["p_0", "p_1", "p_2", "p_3"]), ("r_3", "sibling_span", ["r_2", "r_3", "r_4", "r_5"]), ("x", "child", ["x"])]
 
 
+def test_a_span_is_trimmed_to_five_and_budgets_bind(frame):
+    chunks = frame([(f"r_{i}", "R", i, f"u{i}", 10) for i in range(9)] + [("n", None, 0, None, None)], "id string, parent_id string, chunk_index bigint, text string, token_count bigint")
+    parents = frame([("R", None, 90)], "parent_id string, text string, token_count bigint")
+    picks = frame([("q", "r_2", 1), ("q", "r_5", 2), ("s", "r_2", 1), ("s", "r_3", 2), ("t", "r_0", 1), ("t", "r_6", 2), ("u", "n", 1)], "query_id string, id string, place int")
+    made = lambda most: {(r.query_id, r.anchor_id): (r.kind, list(r.chunk_ids), r.tokens) for r in selection.assemble(picks, chunks, parents, most).collect()}
+    got = made(60)
+    assert got["q", "r_2"] == ("sibling_span", [f"r_{i}" for i in range(1, 6)], 50)  # six would be too many: the one behind is left out
+    assert got["s", "r_2"] == ("sibling_span", ["r_1", "r_2", "r_3", "r_4"], 40)
+    assert got["t", "r_0"][0] == got["t", "r_6"][0] == "child" and got["u", "n"] == ("child", ["n"], 1)
+    assert made(20)["s", "r_2"] == ("sibling_span", ["r_2", "r_3"], 20) and made(15)["s", "r_2"][0] == "child"
+
+
+def test_a_named_document_reserves_its_place(frame):
+    rows = [("q", "a", "d1", None, "alpha beta", 1.0, 1, False, {}), ("q", "b", "d2", None, "gamma", 0.3, None, False, {"r1": 0.5}), ("q", "c", "d2", None, "gamma delta", 0.4, None, None, {"r1": 1.0})]
+    candidates = frame(rows, "query_id string, id string, doc_id string, parent_id string, text string, score double, lexical_rank int, anchor boolean, fits map<string,double>")
+    picks = selection.select_coverage(candidates, frame([("q", "r1", "gamma")], "query_id string, requirement_id string, text string"), 2).orderBy("pick").collect()
+    assert [(r.id, r.reserved_for) for r in picks] == [("c", "r1"), ("a", None)]
+
+
+def test_layout_within_a_share_of_tokens(frame):
+    chunks = frame([(c, 1, i, "paragraph", "s", "p", 1, "w " * 4, n) for i, (c, n) in enumerate(zip("abcdef", (40, 8, 30, 5, 5, 5), strict=True))], "id string, doc_id bigint, chunk_index bigint, block_type string, section_heading string, parent_id string, page_number bigint, text string, token_count bigint")
+    context = frame([("q", 1, "a", ["a"], 80)], "query_id string, place int, anchor_id string, chunk_ids array<string>, tokens int")
+    got = [(r.neighbour_id, r.hop, r.tokens) for r in selection.expand_within(context, chunks).collect()]
+    assert got[0] == ("b", 1, 8) and sum(n for _, _, n in got) <= 20 and "c" not in {c for c, _, _ in got}
+    assert selection.expand_within(context, chunks, 0.0).count() == 0
+
+
 def test_compression_and_layout(frame):
-    blocks = frame([("q", "S1", 0, "alpha beta gamma", 0.9), ("q", "S1", 1, "alpha beta gamma", 0.8), ("q", "S2", 0, "delta words here", 0.1)], "query_id string, source_id string, block_no int, text string, score double")
-    got = [(r.source_id, r.text) for r in selection.compress(blocks, frame([("q", "delta")], "query_id string, text string"), 3).orderBy("place").collect()]
-    assert sorted(got) == [("S1", "alpha beta gamma"), ("S2", "delta words here")]
+    blocks = frame([("q", "S1", 1, 0, "alpha beta gamma", 0.9), ("q", "S1", 1, 1, "alpha beta gamma", 0.8), ("q", "S2", 2, 0, "delta words here", 0.1), ("r", "S1", 1, 0, None, 0.0)], "query_id string, source_id string, source_rank int, block_no int, text string, score double", "kept")
+    got = [(r.query_id, r.source_id, r.text) for r in selection.compress(blocks, frame([("q", "delta")], "query_id string, text string"), 3).orderBy("query_id", "place").collect()]
+    assert got == [("q", "S1", "alpha beta gamma"), ("q", "S2", "delta words here"), ("r", "S1", None)]
+    plain = [(r.query_id, r.source_id, r.place) for r in selection.compress_plainly(blocks).orderBy("query_id", "place").collect()]
+    assert plain == [("q", "S1", 1), ("q", "S2", 2), ("r", "S1", 1)]
+    assert selection.compress(blocks.limit(0), frame([("q", "delta")], "query_id string, text string")).count() == 0
     chunks = frame([("a", 1, 0, "paragraph", "s", "p", 1), ("b", 1, 1, "caption", "s", "p", 1), ("c", 1, 9, "paragraph", "s", "p", 1), ("d", 2, 1, "paragraph", "s", "p", 1)], "id string, doc_id bigint, chunk_index bigint, block_type string, section_heading string, parent_id string, page_number bigint")
     assert [(r.id, r.neighbour_id, r.edge) for r in selection.layout_edges(chunks.where("id = 'a'"), chunks).collect()] == [("a", "b", "caption_of")]
     assert selection.expand_layout(chunks.where("id = 'a'"), chunks).count() == 1
