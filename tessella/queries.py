@@ -146,6 +146,16 @@ def subquery_plan(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", F.explode(T.subqueries(F.col("question"))).alias("s")).select("item_id", "s.id", "s.text")
 
 
+SUBQUERIES = rf"""
+with c as (select item_id, trim(regexp_replace(question, '\s+', ' ', 'g')) as p from eval_cases where question is not null),
+a as (select item_id, p, list_filter(list_transform(regexp_split_to_array(p, '(?i)\b(?:and|also|versus|vs\.?|compare)\b|[?;]'), lambda x: regexp_replace(x, '^[ ,;]+|[ ,;]+$', '', 'g')), lambda x: x <> '') as parts from c),
+u as (select *, list_filter(parts, lambda x: not regexp_matches(lower(x), '^(?:cite|include|use|answer|respond|format)\b') and len(list_filter(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 3 and w not in {STOP})) >= 2)[1:5] as good from a),
+sq as (select item_id, case when len(parts) <= 1 then 'q1' else 'q0' end as id, p as text from u
+  union all select item_id, 'q' || i, good[i] from u, unnest(range(1, len(good) + 1)) t(i) where len(parts) > 1 and len(good) > 1)
+"""
+sql("subquery_plan", SUBQUERIES + "select * from sq")
+
+
 @query
 def parent_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents", "doc_id", "text")
@@ -181,9 +191,11 @@ sql("parent_chunks", _parents_sql("select doc_id, 520 as pt, 650 as pm from docu
 def child_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Children of every document's parents, under the profile's sizes and overlap."""
     settings = table(spark, d, "rag_settings")
-    rows = table(spark, d, "documents", "doc_id", "text", "chunking_profile").withColumn("profile", F.coalesce("chunking_profile", F.lit("default"))).join(F.broadcast(settings.limit(10_000)), "profile")
-    parents = rows.select("*", F.posexplode(T.parent_chunks(F.col("text"), F.col("parent_target_tokens"), F.col("parent_max_tokens"))).alias("parent_no", "parent"))
-    return parents.select("doc_id", "parent_no", F.posexplode(T.child_chunks(F.col("parent"), F.col("child_target_tokens"), F.col("child_max_tokens"), F.col("child_overlap_tokens"))).alias("child_no", "text"))
+    # a document of a profile that no one has described takes the sizes that chunking has by itself
+    rows = table(spark, d, "documents", "doc_id", "text", "chunking_profile").withColumn("profile", F.coalesce("chunking_profile", F.lit("default"))).join(settings, "profile", "left")
+    size = lambda name, usual: F.coalesce(name, F.lit(usual))
+    parents = rows.select("*", F.posexplode(T.parent_chunks(F.col("text"), size("parent_target_tokens", 520), size("parent_max_tokens", 650))).alias("parent_no", "parent"))
+    return parents.select("doc_id", "parent_no", F.posexplode(T.child_chunks(F.col("parent"), size("child_target_tokens", 110), size("child_max_tokens", 150), size("child_overlap_tokens", 0))).alias("child_no", "text"))
 
 
 @query
@@ -659,6 +671,12 @@ def trace_by_stage(spark: SparkSession, d: str) -> DataFrame:
 
 sql("trace_by_stage", f"select query_id, chunk_id, " + ", ".join(f"round(max(case when stage = '{s}' then score end), 6) as {s}" for s in ("distance", "bm25", "fusion", "rerank")) + f" from {SOURCES} group by all")
 
+def _words_sql(text: str, stop: str | None = None, least: int = 3) -> str:
+    """The distinct terms of a text, as tessella.functions.text.term_set has them."""
+    kept = f"length(x) >= {least}" + (f" and x not in {stop}" if stop else "")
+    return rf"list_distinct(list_filter(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+'), lambda x: {kept}))"
+
+
 # --- selection -------------------------------------------------------------------------------------------------------
 
 
@@ -686,18 +704,16 @@ def layout_edges(spark: SparkSession, d: str) -> DataFrame:
     return selection.layout_edges(rows.select("id"), rows)
 
 
-sql(
-    "layout_edges",
-    f"""
+LAYOUT = f"""
 with c as (select * from {CHUNKS}),
 p as (select a.id as id, n.id as neighbour_id, a.*, n.block_type as nb, n.section_heading as ns, n.parent_id as np, n.page_number as npg, n.chunk_index as ni, n.chunk_index - a.chunk_index as step,
   row_number() over (partition by a.id order by abs(n.chunk_index - a.chunk_index), n.chunk_index) as k from c a join c n on n.doc_id = a.doc_id and n.chunk_index between a.chunk_index - 3 and a.chunk_index + 3 and n.id <> a.id),
 e as (select id, neighbour_id, step, ni, coalesce(ns = section_heading and ns <> '', false) as same, coalesce(np = parent_id, false) as kin, coalesce(abs(npg - page_number) = 1, false) as nextpage, coalesce(nb = 'table' and block_type = 'table', false) as tb, coalesce((nb = 'caption' or block_type = 'caption') and npg = page_number, false) as cap from p where k <= 12),
 t as (select *, case when nextpage and (same or kin) then 'continues_on_next_page' when tb and same and step < 0 then 'table_header_for' when tb and same then 'table_continuation' when cap then 'caption_of' when abs(step) = 1 and (same or kin) then case when step > 0 then 'next_block' else 'previous_block' end when same then 'same_section' end as edge,
-  case when nextpage and (same or kin) then 1 when tb and same and step < 0 then 1 when tb and same then 2 when cap then 2 when abs(step) = 1 and (same or kin) then 3 when same then 4 end as priority from e)
-select id, neighbour_id, edge, priority, n::int as place from (select *, row_number() over (partition by id order by priority, abs(step), ni) as n from t where edge is not null) where n <= 4
-""",
-)
+  case when nextpage and (same or kin) then 1 when tb and same and step < 0 then 1 when tb and same then 2 when cap then 2 when abs(step) = 1 and (same or kin) then 3 when same then 4 end as priority from e),
+le as (select id, neighbour_id, edge, priority, n::int as place from (select *, row_number() over (partition by id order by priority, abs(step), ni) as n from t where edge is not null) where n <= 4)
+"""
+sql("layout_edges", LAYOUT + "select * from le")
 
 
 @query
@@ -708,6 +724,17 @@ def layout_expansion(spark: SparkSession, d: str) -> DataFrame:
     return selection.expand_layout(anchors, rows)
 
 
+sql(
+    "layout_expansion",
+    LAYOUT
+    + f""", an as (select distinct chunk_id as id from {SOURCES} where stage = 'rerank'), o as (select le.* from le join an using (id)),
+b as (select id, neighbour_id, edge, 1 as hop, 0 as p, place from o union all select o.id, le.neighbour_id, le.edge, 2, o.place, le.place from o join le on le.id = o.neighbour_id where le.neighbour_id <> o.id),
+f as (select * from (select *, row_number() over (partition by id, neighbour_id order by hop, p, place) as f from b) where f = 1)
+select id, neighbour_id, edge, hop from (select *, row_number() over (partition by id order by hop, p, place, neighbour_id) as k from f) where k <= 6
+""",
+)
+
+
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     rows = _results(spark, d).withColumn("anchor", F.coalesce(F.col("dense_rank") == 1, F.lit(False)))
     return rows.join(_chunks(spark, d, "text", "parent_id"), "id", "left")
@@ -725,6 +752,41 @@ def coverage_selection(spark: SparkSession, d: str) -> DataFrame:
     return picked.select("query_id", "id", "pick", "objective")
 
 
+NEEDS = f"nd as (select k.query_id, 'r' || k.place as rid, section_heading as text, {_words_sql('section_heading', STOP)} as need from k join {CHUNKS} c on c.id = k.chunk_id where k.place <= 2 and section_heading is not null)"
+
+
+def _picks_sql(steps: int) -> str:
+    """The greedy selection, a step a pick: each looks at all that were picked before."""
+    ctes = []
+    for n in range(1, steps + 1):
+        before = " union all ".join(f"select query_id, id from s{m}" for m in range(1, n)) or "select query_id, id from cd where false"
+        ctes.append(f"""p{n} as materialized ({before}), s{n} as materialized (select query_id, id, {n}::int as pick, objective from (select *, row_number() over (partition by query_id order by objective desc, score desc, n) as rn from (
+  select c.query_id, c.id, c.score, c.n, round(c.still
+    + 0.38::double * coalesce((select max(gain) from gn where gn.query_id = c.query_id and gn.id = c.id and gn.rid not in (select g.rid from gn g join p{n} p on p.query_id = g.query_id and p.id = g.id where g.gain >= 0.34 and g.query_id = c.query_id)), 0)
+    + case when exists (select 1 from p{n} p join cd o on o.query_id = p.query_id and o.id = p.id where p.query_id = c.query_id and o.doc_id = c.doc_id) then 0 else 0.07::double end
+    + case when exists (select 1 from p{n} p join cd o on o.query_id = p.query_id and o.id = p.id where p.query_id = c.query_id and o.parent_id = c.parent_id) then 0.05::double else 0 end
+    - 0.16::double * coalesce((select max(l.alike) from lk l join p{n} p on p.query_id = l.query_id and p.id = l.b where l.query_id = c.query_id and l.a = c.id), 0), 6) as objective
+  from cd c where not exists (select 1 from p{n} p where p.query_id = c.query_id and p.id = c.id))) where rn = 1)""")
+    return ", ".join(ctes) + " " + " union all ".join(f"select query_id, id, pick, objective from s{n}" for n in range(1, steps + 1))
+
+
+sql(
+    "coverage_selection",
+    f"""
+with {RERANK}, {BM}, {DENSE}, {NEEDS},
+r0 as (select k.query_id, k.chunk_id as id, k.doc_id, c.parent_id, c.text, k.score, b.lexical_rank as lex, coalesce(d.dense_rank = 1, false) as anchor from k left join b using (query_id, chunk_id) left join d using (query_id, chunk_id) left join {CHUNKS} c on c.id = k.chunk_id),
+r1 as (select *, row_number() over (partition by query_id order by score desc, id) as n from r0),
+r2 as (select *, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from r1 where n <= 100),
+r3 as (select *, score >= greatest(0.05::double, 0.2::double * hi) or lex is not null or anchor as fit from r2),
+cd as materialized (select *, {_words_sql("coalesce(text, '')", STOP)} as have, 0.42::double * case when hi > lo then (score - lo) / (hi - lo) else 1 end + 0.12::double * anchor::int - 0.04::double * least(greatest((length(coalesce(text, '')) + 3) // 4, 1) / 650, 1) as still
+  from (select *, bool_or(fit) over (partition by query_id) as any_ from r3) where case when any_ then fit else n <= 8 end),
+gn as materialized (select cd.query_id, cd.id, rid, len(list_intersect(need, have)) / greatest(len(need), 1) as gain from cd join nd using (query_id)),
+lk as materialized (select a.query_id, a.id as a, b.id as b, len(list_intersect(a.have, b.have)) / greatest(len(a.have) + len(b.have) - len(list_intersect(a.have, b.have)), 1) as alike from cd a join cd b on a.query_id = b.query_id and a.id <> b.id),
+{_picks_sql(8)}
+""",
+)
+
+
 @query
 def context_assembly(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d, "parent_id", "chunk_index", "text", "token_count")
@@ -733,6 +795,31 @@ def context_assembly(spark: SparkSession, d: str) -> DataFrame:
     return selection.assemble(picks, chunks, parents)
 
 
+sql(
+    "context_assembly",
+    f"""
+with recursive {RERANK}, ch as (select id, parent_id, chunk_index, text, token_count, greatest(coalesce(token_count, 0), 1)::int as n from {CHUNKS}),
+kid as (select *, row_number() over (partition by parent_id order by chunk_index, id) - 1 as pos, count(*) over (partition by parent_id) as kids from ch where parent_id is not null),
+pa as (select parent_id, string_agg(text, chr(10) order by chunk_index) as text, sum(token_count) as token_count from ch where parent_id is not null group by parent_id),
+pk as (select k.query_id, k.chunk_id as id, k.place, ch.parent_id, ch.text, ch.n, ch.token_count, kid.pos, kid.kids, 650 * count(*) over (partition by k.query_id) as purse from k join ch on ch.id = k.chunk_id left join kid on kid.id = ch.id),
+gr as (select query_id, parent_id, any_value(purse) as purse, count(*) as m, min(place) as place, arg_min(id, place) as anchor, min(pos) as low, max(pos) as high, sum(n) as held, any_value(kids) as kids from pk where parent_id is not null group by all having count(*) >= 2),
+w1 as (select gr.*, pa.text as whole, greatest(coalesce(pa.token_count, 0), 1) as wn, high - low + 1 as len, low > 0 and high - low + 2 <= 5 as l from gr join pa using (parent_id)),
+w2 as (select *, high < kids - 1 and len + l::int + 1 <= 5 as r from w1),
+w3 as (select *, low - l::int as f, high + r::int as t from w2),
+w4 as (select w3.*, sum(kid.n) filter (kid.pos between f and t) as wide, sum(kid.n) filter (kid.pos between low and high) as narrow from w3 join kid using (parent_id) group by all),
+w5 as (select *, row_number() over (partition by query_id order by place) as i, case when whole is not null and held >= 0.4::double * wn and wn <= 650 then wn end as aw, case when len <= 5 then wide end as ww, case when len <= 5 then narrow end as wr from w4),
+sp as (select query_id, 0::bigint as i, purse::hugeint as rest, null::varchar as form, null::varchar as parent_id, 0::hugeint as cost from w5 where i = 1
+  union all select w5.query_id, w5.i, rest - (case when aw <= rest then aw when ww <= least(650, rest) then ww when wr <= least(650, rest) then wr else 0 end), case when aw <= rest then 'parent' when ww <= least(650, rest) then 'wide' when wr <= least(650, rest) then 'narrow' end, w5.parent_id,
+    case when aw <= rest then aw when ww <= least(650, rest) then ww when wr <= least(650, rest) then wr else 0 end from sp join w5 on w5.query_id = sp.query_id and w5.i = sp.i + 1),
+un as (select w5.*, sp.form, sp.cost from sp join w5 using (query_id, i) where form is not null),
+ut as (select un.query_id, un.parent_id, anchor, case when form = 'parent' then 'parent' else 'sibling_span' end as kind, cost, any_value(whole) as whole, list(kid.id order by kid.pos) as ids, string_agg(coalesce(kid.text, ''), chr(10) || chr(10) order by kid.pos) as span, any_value(form) as form
+  from un join kid on kid.parent_id = un.parent_id and (form = 'parent' or (form = 'wide' and kid.pos between f and t) or (form = 'narrow' and kid.pos between low and high)) group by un.query_id, un.parent_id, anchor, form, cost)
+select pk.query_id, row_number() over (partition by pk.query_id order by place, id)::int as place, id as anchor_id, coalesce(kind, 'child') as kind, parent_id, coalesce(ids, [id]) as chunk_ids, case when kind is null then text when form = 'parent' then whole else span end as text,
+  coalesce(cost, greatest(coalesce(nullif(token_count, 0), (length(coalesce(text, '')) + 3) // 4), 1))::int as tokens from pk left join ut using (query_id, parent_id) where anchor is null or anchor = id
+""",
+)
+
+
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     """The blocks of every query's reranked sources; its question is stood in for by the headings of its best candidates."""
     rows = _stage(_sources(spark, d), "rerank", "place").join(_chunks(spark, d, "text").withColumnRenamed("id", "chunk_id"), "chunk_id").where("text is not null")
@@ -749,6 +836,40 @@ def context_compression(spark: SparkSession, d: str) -> DataFrame:
     return selection.compress(_blocks(spark, d), _needs(spark, d))
 
 
+BONUS = r"""case when regexp_matches({0}, '(^|[^0-9A-Za-z_])-?\d') then 0.08::double else 0 end + case when regexp_matches({0}, '(?i)(^|[^\p{{L}}\p{{N}}_])(?:no|not|never|without|failed to|did not|does not)([^\p{{L}}\p{{N}}_]|$)') then 0.08::double else 0 end
+  + case when regexp_matches({0}, '(?i)(^|[^\p{{L}}\p{{N}}_])(?:is defined as|refers to|means|we define)([^\p{{L}}\p{{N}}_]|$)') then 0.06::double else 0 end"""
+SCORED = rf"""
+{RERANK}, {NEEDS}, pm as (select query_id, {_words_sql("string_agg(text, ' ' order by text)", STOP)} as asked from nd group by query_id),
+sr as (select k.query_id, k.chunk_id as source_id, k.place, k.score as ss, c.text from k join {CHUNKS} c on c.id = k.chunk_id where c.text is not null),
+b1 as (select query_id, source_id, place, ss, bi, l[bi] as block from (select *, {BLOCKS} as l from sr), unnest(range(1, len(l) + 1)) t(bi)),
+b2 as (select *, list_filter(string_split(block, chr(10)), lambda x: trim(x, ' ') <> '') as ls from b1),
+b3 as (select *, case when starts_with(block, '```') or len(list_filter(ls, lambda x: contains(x, chr(9)) or contains(x, '|'))) > 0 or len(list_filter(ls, lambda x: not regexp_matches(x, '^\s*(?:[-*•]|\d+[.)])\s+'))) = 0 then [block] end as whole, {SENTENCES.format("block")} as parts from b2),
+b4 as (select query_id, source_id, place, ss, whole is not null as structured, coalesce(whole, parts)[ui] as text, row_number() over (partition by query_id, source_id order by bi, ui) - 1 as block_no from b3, unnest(range(1, len(coalesce(whole, parts)) + 1)) t(ui)),
+b5 as (select b4.*, coalesce(asked, []) as asked, {_words_sql("b4.text", STOP)} as have from b4 left join pm using (query_id)),
+b6 as materialized (select *, round(case when len(asked) = 0 or len(have) = 0 then 0 else len(list_intersect(asked, have)) / (len(asked) + len(have) - len(list_intersect(asked, have))) end + 0.08::double * ss + 0.04::double / place + case when structured then 0.12::double else 0 end + {BONUS.format("text")}, 9) as score,
+  row_number() over (partition by query_id order by place, source_id, block_no) as n from b5)
+"""
+
+
+def _kept_sql(steps: int) -> str:
+    """The greedy compression, a step a block."""
+    ctes = []
+    for m in range(1, steps + 1):
+        before = " union all ".join(f"select query_id, n from c{j}" for j in range(1, m)) or "select query_id, n from bb where false"
+        ctes.append(f"""k{m} as materialized (select x.query_id, bb.n, bb.source_id, bb.have from ({before}) x join bb using (query_id, n)),
+t{m} as materialized (select query_id, list_distinct(flatten(list(have))) as seen from k{m} group by query_id), u{m} as materialized (select distinct g.query_id, g.rid from gg g join k{m} k on k.query_id = g.query_id and k.n = g.n where g.gain >= 0.34),
+v{m} as (select b.*, coalesce(len(list_intersect(b.have, t.seen)), 0) / greatest(len(b.have), 1) as known, not exists (select 1 from k{m} k where k.query_id = b.query_id and k.source_id = b.source_id) as fresh,
+  coalesce((select max(gain) from gg g where g.query_id = b.query_id and g.n = b.n and not exists (select 1 from u{m} u where u.query_id = g.query_id and u.rid = g.rid)), 0) as gain from bb b left join t{m} t on t.query_id = b.query_id where not exists (select 1 from k{m} k where k.query_id = b.query_id and k.n = b.n)),
+c{m} as materialized (select query_id, n, {m}::int as place, source_id, text, round(value, 6) as value from (select *, row_number() over (partition by query_id order by value desc, score desc, n) as rn from (select *, score + 0.45::double * gain + 0.2::double * fresh::int - 0.28::double * known as value from v{m} where {m} = 1 or known <= 0.75 or fresh or gain >= 0.34)) where rn = 1)""")
+    return ", ".join(ctes) + " " + " union all ".join(f"select query_id, place, source_id, text, value from c{m}" for m in range(1, steps + 1))
+
+
+sql(
+    "context_compression",
+    f"with {SCORED.strip()}, bb as materialized (select * from b6 where n <= 320), gg as materialized (select bb.query_id, bb.n, rid, len(list_intersect(need, have)) / greatest(len(need), 1) as gain from bb join nd using (query_id)), {_kept_sql(10)}",
+)
+
+
 @query
 def plain_compression(spark: SparkSession, d: str) -> DataFrame:
     return selection.compress_plainly(_blocks(spark, d))
@@ -810,6 +931,23 @@ def claim_summary(spark: SparkSession, d: str) -> DataFrame:
     return evidence.claim_summary(evidence.verify_claims(answers, sources))
 
 
+CLAIM_STOP = "(" + ", ".join(f"'{w}'" for w in evidence.CLAIM_STOPWORDS) + ")"
+NEGATIVE = r"regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(?:no|not|never|neither|without|failed to|did not|does not|was not|were not)([^\p{L}\p{N}_]|$)')"
+_UNIT_CASES = " ".join(f"when '{k}' then '{v}'" for k, v in evidence.UNIT_NAMES.items())
+_CLAIM_WORDS = rf"list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_.-]+'), lambda x: length(x) >= 3 and x not in {CLAIM_STOP}), lambda x: case when length(x) > 6 and regexp_full_match(x, '\p{{L}}+') then x[1:6] else x end))"
+#: cn: the conflicts among the sources of ev (query_id, source_id, doc_id, text), by looking at all pairs of a query
+CONFLICTS = rf"""
+es as (select distinct query_id, source_id, doc_id, {_CLAIM_WORDS} as t, {NEGATIVE} as neg, list_filter(list_transform(regexp_extract_all(text, '(?:^|[^0-9A-Za-z_.-])(-?\d+(?:\.\d+)?(?:\s*(?:%|[a-zA-Zµμ°]+))?)', 1),
+  lambda m: {{'v': regexp_extract(m, '^(-?\d+(?:\.\d+)?)', 1)::double, 'u': replace(regexp_extract(m, '^-?\d+(?:\.\d+)?\s*(.*)$', 1), 'μ', 'µ')}}), lambda x: x.u <> '') as v from ev where text is not null),
+en as (select * exclude v, list_transform(v, lambda x: {{'v': x.v, 'u': case when regexp_full_match(x.u, '\p{{L}}') then x.u else case lower(x.u) {_UNIT_CASES} else lower(x.u) end end}}) as v from es),
+cp as (select a.query_id, a.source_id as left_id, b.source_id as right_id, a.neg <> b.neg as opposite, a.v as x, b.v as y from en a join en b on a.query_id = b.query_id and a.source_id < b.source_id and a.doc_id <> b.doc_id and len(a.t) > 0 and len(b.t) > 0
+  where len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.45),
+cn as (select query_id, left_id, right_id, case when opposite then 'negation' else 'values' end as reason from cp where opposite
+  or len(list_filter(x, lambda p: len(list_filter(y, lambda q: q.u = p.u)) > 0 and len(list_filter(y, lambda q: q.u = p.u and abs(p.v - q.v) <= greatest(1e-9, abs(p.v) * 0.001))) = 0)) > 0
+  or len(list_filter(y, lambda p: len(list_filter(x, lambda q: q.u = p.u)) > 0 and len(list_filter(x, lambda q: q.u = p.u and abs(p.v - q.v) <= greatest(1e-9, abs(p.v) * 0.001))) = 0)) > 0)
+"""
+
+
 @query
 def evidence_ledger(spark: SparkSession, d: str) -> DataFrame:
     """What each requirement of a question finds among the question's lexical hits."""
@@ -818,10 +956,33 @@ def evidence_ledger(spark: SparkSession, d: str) -> DataFrame:
     return evidence.ledger(evidence.requirements(questions), hits)
 
 
+sql(
+    "evidence_ledger",
+    SUBQUERIES.rstrip()
+    + rf""", {LEXICAL.strip().removeprefix("with ")}, nd as (select item_id as query_id, id as requirement_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 3 and x not in {STOP})) as need from sq where id <> 'q0'),
+hv as (select query_id, lx.id as source_id, list_distinct(list_filter(regexp_extract_all(lower(c.text), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 3 and x not in {STOP})) as have from lx join {CHUNKS} c on c.id = lx.id where lexical_rank <= 8),
+pr as (select query_id, requirement_id, source_id, case when len(need) > 0 then len(list_intersect(need, have)) / len(need) else 0 end as s from nd join hv using (query_id)),
+gr as (select query_id, requirement_id, least(count(*), 4) as n, round(max(s), 6) as b from pr where s > 0 group by all),
+ev as (select query_id, lx.id as source_id, c.doc_id, c.text from lx join {CHUNKS} c on c.id = lx.id where lexical_rank <= 8), {CONFLICTS},
+cf as (select distinct l.query_id, l.requirement_id from cn join pr l on l.query_id = cn.query_id and l.source_id = cn.left_id and l.s > 0 join pr r on r.query_id = cn.query_id and r.source_id = cn.right_id and r.requirement_id = l.requirement_id and r.s > 0)
+select query_id, requirement_id, coalesce(n, 0) as n_evidence, coalesce(b, 0) as best, case when exists (select 1 from cf where cf.query_id = nd.query_id and cf.requirement_id = nd.requirement_id) then 'conflicting' when coalesce(b, 0) >= 0.34 then 'sufficient' when coalesce(b, 0) > 0 then 'partial' else 'missing' end as status from nd left join gr using (query_id, requirement_id)
+""",
+)
+
+
 @query
 def evidence_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    rows = _stage(_sources(spark, d), "rerank", "place").join(_chunks(spark, d, "text").withColumnRenamed("id", "chunk_id"), "chunk_id")
-    return evidence.conflicts(rows.select("query_id", F.col("chunk_id").alias("source_id"), "doc_id", "text"))
+    """Conflicts among every query's reranked sources, and among the twenty lexical hits of every held-out question."""
+    texts = _chunks(spark, d, "doc_id", "text").where("text is not null")
+    reranked = _stage(_sources(spark, d), "rerank", "place").select("query_id", F.col("chunk_id").alias("id"))
+    hits = retrieval.bm25(_questions(spark, d), texts.select("id", "text"), most=20).select("query_id", "id")
+    return evidence.conflicts(reranked.union(hits).join(texts, "id").select("query_id", F.col("id").alias("source_id"), "doc_id", "text"))
+
+
+sql(
+    "evidence_conflicts",
+    LEXICAL + f", {RERANK}, ev as (select query_id, id as source_id, c.doc_id, c.text from (select query_id, chunk_id as id from k union all select query_id, id from lx where lexical_rank <= 20) join {CHUNKS} c using (id)), {CONFLICTS.strip()} select * from cn",
+)
 
 
 @query
@@ -1259,6 +1420,18 @@ def unit_answers(spark: SparkSession, d: str) -> DataFrame:
     return catalogue.unit_answers(found)
 
 
+sql(
+    "unit_answers",
+    rf"""
+with {FUSION}, v0 as (select query_id, place, list_distinct(regexp_extract_all(regexp_replace(c.text, '(\d)\. (\d)', '\1.\2', 'g'), '(?i)(-?\d+(?:\.\d+)?(?:\s*(?:±|\+/-)\s*\d+(?:\.\d+)?)?)\s*kg(?:[^\p{{L}}\p{{N}}]|$)', 1)) as l from fu join {CHUNKS} c on c.id = fu.chunk_id where c.text is not null),
+v1 as (select query_id, min(place) as place, value from (select query_id, place, unnest(l) as value from v0) group by query_id, value),
+v2 as (select *, row_number() over (partition by query_id order by place, value) as k from v1),
+v3 as (select query_id, count(*) as n, string_agg('**' || value || '** [[src:S' || place || ']]', chr(10) || '- ' order by k) as items from v2 where k <= {catalogue.MOST_VALUES} group by query_id)
+select query_id, case when n = 1 then 'The document states ' || items || '.' else 'The document states several values in that unit:' || chr(10) || '- ' || items || chr(10) || 'Which is meant the question doesn''t say.' end as answer from v3
+""",
+)
+
+
 @query
 def quality_estimates(spark: SparkSession, d: str) -> DataFrame:
     """Each held-out passage judged as an answer to its question, with itself as the context."""
@@ -1267,6 +1440,18 @@ def quality_estimates(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", made.alias("q")).select("item_id", "q.*")
 
 
+_LAPS = "case when len({0}) = 0 or len({1}) = 0 then 0 else len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) end"
+sql(
+    "quality_estimates",
+    f"""
+with e as (select item_id, {_words_sql("question")} as q, {_words_sql("passage")} as p, {SENTENCES.format("passage")} as ss from eval_cases where question is not null and passage is not null),
+s as (select e.*, {_words_sql("ss[i]")} as w, i from e, unnest(range(1, len(ss) + 1)) t(i)),
+n as (select item_id, count(*) as n, count(*) filter ({_LAPS.format("w", "q")} > 0) as r, count(*) filter ({_LAPS.format("w", "p")} >= 0.35) as g from s group by item_id)
+select item_id, coalesce(round(r / n, 6), 0) as context_relevance, coalesce(round(g / n, 6), 0) as groundedness, round({_LAPS.format("p", "q")}, 6) as answer_relevance from e left join n using (item_id)
+""",
+)
+
+
 @query
 def chunk_classes(spark: SparkSession, d: str) -> DataFrame:
     """Which chunks would be expanded by layout, and which can be evidence."""
