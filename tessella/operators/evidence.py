@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.text import cited_ids, jaccard, strip_hidden, subqueries, term_root, term_set
+from tessella.operators.named import targets
 from tessella.session import materialise
 
 # Stopwords of claims, spellings of units, thresholds.
 CLAIM_STOPWORDS = (
-    "about after again also because before being between could does from have into more most other should than that "
-    "their there these they this those through using very were what when where which while with would your did not "
-    "never without failed"
-).split()
+    "about", "after", "again", "also", "because", "before", "being", "between", "could", "does", "from", "have", "into", "more",
+    "most", "other", "should", "than", "that", "their", "there", "these", "they", "this", "those", "through", "using", "very",
+    "were", "what", "when", "where", "which", "while", "with", "would", "your", "did", "not", "never", "without", "failed",
+)
 UNIT_NAMES = {"percent": "%", "percentage": "%", "millisecond": "ms", "milliseconds": "ms", "msec": "ms", "second": "s", "seconds": "s", "sec": "s", "minute": "min", "minutes": "min", "joule": "j", "joules": "j", "watt": "w", "watts": "w", "gram": "g", "grams": "g", "kilogram": "kg", "kilograms": "kg"}
 ENTAILED, PARTIAL, LIKE, NEAR, NEAREST = 0.55, 0.25, 0.45, 0.01, 1e-6
 MOST_CLAIMS, MOST_NUMBERS = 32, 32
@@ -195,15 +196,9 @@ def citation_support(rerank: Column, score: Column) -> Column:
     return F.when((r >= 0.45) | (score >= 0.55), "supported").when(r >= 0.1, "weak").otherwise("unsupported")
 
 
-def named_documents(prompt: Column) -> Column:
-    """Titles that a prompt quotes, in any of four kinds of quotes."""
-    found = F.concat(*[F.regexp_extract_all(prompt, F.lit(p), F.lit(1)) for p in ("“([^”]{3,120})”", '"([^"]{3,120})"', "‘([^’]{3,120})’", "«([^»]{3,120})»")])
-    return F.array_distinct(found)
-
-
 def requirements(queries: DataFrame) -> DataFrame:
-    """query_id, requirement_id, text, named: a requirement for each quoted title (eight at most), else each subquery but the whole."""
-    titles = named_documents(F.col("text"))
+    """query_id, requirement_id, text, named: a requirement for each named title (eight at most), else each subquery but the whole."""
+    titles = targets(F.col("text"))
     named = F.transform(F.slice(titles, 1, 8), lambda t, i: F.struct(F.concat(F.lit("r"), (i + 1).cast("string")).alias("requirement_id"), t.alias("text"), F.lit(True).alias("named")))
     parts = F.transform(F.filter(subqueries(F.col("text")), lambda s: s["id"] != "q0"), lambda s: F.struct(s["id"].alias("requirement_id"), s["text"].alias("text"), F.lit(False).alias("named")))
     return queries.select("query_id", F.explode(F.when(F.size(titles) > 0, named).otherwise(parts)).alias("r")).select("query_id", "r.*")
@@ -266,9 +261,17 @@ def conflicts(evidence: DataFrame) -> DataFrame:
     return pairs.withColumn("reason", reason).where("reason is not null").select("query_id", "left_id", "right_id", "reason").distinct()
 
 
-def qualifying(text: Column) -> Column:
-    """Whether a passage can be evidence: 18 words or more, and neither a list of references nor front matter."""
-    return (F.regexp_count(text, F.lit(r"\S+")) >= 18) & ~text.rlike(r"(?i)^\s*(?:references|bibliography|acknowledg(?:e)?ments?|table of contents)\b") & ~text.rlike(r"(?i)\b(?:doi:|arxiv:|https?://\S+)\s*$")
+def direction_check(claim: Column, results: Column) -> Column:
+    """entailed, contradicted or ambiguous_operation: whether a claim's first direction word is what comparing the cited cells gave; not_applicable without results."""
+    said = F.regexp_extract(F.lower(claim), r"\b(greater)\b", 1)
+    for word in ("less", "equal"):
+        said = F.when(said != "", said).otherwise(F.regexp_extract(F.lower(claim), rf"\b({word})\b", 1))
+    return F.when(F.coalesce(F.size(results), F.lit(0)) <= 0, "not_applicable").when(said == "", "ambiguous_operation").when(F.array_contains(F.transform(results, F.lower), said), "entailed").otherwise("contradicted")
+
+
+def ledger_counts(entries: DataFrame) -> DataFrame:
+    """Counts of each status per query."""
+    return entries.groupBy("query_id").agg(F.count("*").alias("requirements"), *[F.count_if(F.col("status") == s).alias(s) for s in ("sufficient", "partial", "missing", "conflicting")])
 
 
 def sources_from_context(context: Column) -> Column:

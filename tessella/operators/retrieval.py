@@ -121,16 +121,39 @@ def _best(d, keys, most: int):
     return np.array(out)
 
 
+def summary_hits(queries: DataFrame, vectors: DataFrame, depth: int, key: str = "vec_id", vector: str = "vector") -> DataFrame:
+    """query_id, parent_id, summary_rank: the nearest summaries of each query, a third of depth and four at least; of a parent's several the nearest.
+
+    vectors has key, vector, parent_id and source_kind, of which only summaries with a parent count.
+    """
+    rows = vectors.where("source_kind = 'summary' and parent_id is not null")
+    near = dense(queries, rows.select(key, vector), key, vector, max(4, depth // 3)).join(rows.select(key, "parent_id").dropDuplicates([key]), key)
+    return near.groupBy("query_id", "parent_id").agg(F.max("dense_rank").alias("summary_rank"))
+
+
+def memory_hits(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "vector", most: int = 2) -> DataFrame:
+    """query_id, key, vector_score, dense_rank: the two nearest memories of each query."""
+    return dense(queries, vectors.where("source_kind = 'memory'").select(key, vector), key, vector, most).select("query_id", key, "vector_score", "dense_rank")
+
+
 def summary_boost(results: DataFrame, summaries: DataFrame) -> DataFrame:
     """results with the summary_rank of their parent: summaries has query_id, parent_id, summary_rank."""
     return results.join(summaries.select("query_id", "parent_id", "summary_rank"), ["query_id", "parent_id"], "left")
 
 
-def fuse(dense_hits: DataFrame, lexical_hits: DataFrame, key: str = "id", most: int | None = None, k: int = RRF_K) -> DataFrame:
-    """query_id, key, dense_rank, lexical_rank, fusion_score, fusion_rank by reciprocal ranks; a side may miss a row."""
+def fuse(dense_hits: DataFrame, lexical_hits: DataFrame, key: str = "id", most: int | None = None, k: int = RRF_K, parents: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
+    """query_id, key, dense_rank, lexical_rank, fusion_score, fusion_rank by reciprocal ranks; a side may miss a row.
+
+    With parents (key, parent_id) and summaries (query_id, parent_id, summary_rank) the rank of a row's parent among
+    the summaries counts as a third one, summary_rank.
+    """
     both = dense_hits.select("query_id", key, "dense_rank").join(lexical_hits.select("query_id", key, "lexical_rank"), ["query_id", key], "full")
-    score = F.round(F.coalesce(1.0 / (k + F.col("dense_rank")), F.lit(0.0)) + F.coalesce(1.0 / (k + F.col("lexical_rank")), F.lit(0.0)), 9)
-    return ranked(both.withColumn("fusion_score", score), "fusion_score", ["dense_rank", "lexical_rank", key], "fusion_rank", most)
+    part = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
+    score = part("dense_rank") + part("lexical_rank")
+    if summaries is not None and parents is not None:
+        both = summary_boost(both.join(parents.select(key, "parent_id").dropDuplicates([key]), key, "left"), summaries).drop("parent_id")
+        score = score + part("summary_rank")
+    return ranked(both.withColumn("fusion_score", F.round(score, 9)), "fusion_score", ["dense_rank", "lexical_rank", key], "fusion_rank", most)
 
 
 def merge_candidates(candidates: DataFrame, key: str = "id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tessella import pipeline
 from tessella.functions import numbers as N
 from tessella.functions import text as T
-from tessella.operators import catalogue, chunking, evaluation, evidence, history, layout, retrieval, selection, typed, units
+from tessella.operators import catalogue, chunking, evaluation, evidence, history, layout, named, retrieval, selection, typed, units
 from tessella.plans.table_plan import Predicate, TablePlan, execute
 from tessella.streaming import events
 from tessella.tables import table
@@ -1251,7 +1251,7 @@ sql("set_operations", "with a as (select distinct doc_id from chunks), b as (sel
 @query
 def retrieval_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Every held-out question to its context: lexical and dense search, fusion, prior, rerank, window."""
-    return pipeline.retrieve(_questions(spark, d), _chunks(spark, d, "doc_id", "text"))
+    return pipeline.retrieve(_questions(spark, d), _chunks(spark, d, "doc_id", "text")).drop("subqueries")
 
 
 @query
@@ -1452,18 +1452,25 @@ select item_id, coalesce(round(r / n, 6), 0) as context_relevance, coalesce(roun
 )
 
 
+_CLEAN = r"trim(regexp_replace({0}, '\s+', ' ', 'g'), ' ')"
+QUALIFIES = (
+    rf"(len(regexp_extract_all({_CLEAN}, '[\p{{{{L}}}}\p{{{{N}}}}_%.-]+')) >= {named.LEAST_WORDS} and not regexp_matches({_CLEAN}, '{named.REFERENCE_ONLY}') and regexp_matches({_CLEAN}, '[A-Za-z]{{{{3}}}}')"
+    + rf" and not (len(regexp_extract_all({_CLEAN}, '{named.CITING.replace('{2}', '{{2}}')}')) >= 3 and not regexp_matches({_CLEAN}, '{named.SUBJECT}')) and regexp_matches({_CLEAN}, '{named.MARKER}'))"
+)
+
+
 @query
 def chunk_classes(spark: SparkSession, d: str) -> DataFrame:
     """Which chunks would be expanded by layout, and which can be evidence."""
     rows = _chunks(spark, d, "text", "block_type").where("text is not null")
-    return rows.select("id", selection.wants_layout(F.lit(""), F.col("text"), F.coalesce("block_type", F.lit("paragraph"))).alias("expands"), evidence.qualifying(F.col("text")).alias("qualifies"))
+    return rows.select("id", selection.wants_layout(F.lit(""), F.col("text"), F.coalesce("block_type", F.lit("paragraph"))).alias("expands"), named.qualifies(F.col("text")).alias("qualifies"))
 
 
 sql(
     "chunk_classes",
     rf"""
 select id, coalesce(block_type, 'paragraph') in ('table', 'caption', 'footnote') or regexp_matches(ltrim(text, ' '), '(?i)^(?:this|that|these|those|it|they|such|the (?:above|following|latter|former))(?:[^\p{{L}}\p{{N}}_]|$)') as expands,
-  len(regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')) >= 18 and not regexp_matches(text, '(?i)^\s*(?:references|bibliography|acknowledg(?:e)?ments?|table of contents)\b') and not regexp_matches(text, '(?i)\b(?:doi:|arxiv:|https?://\S+)\s*$') as qualifies
+  {QUALIFIES.format("text")} as qualifies
 from {CHUNKS} where text is not null
 """,
 )

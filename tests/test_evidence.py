@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessella import queries
-from tessella.operators import evaluation, evidence, history
+from tessella.operators import evaluation, evidence, history, named
 
 
 def statuses(frame, answer, sources):
@@ -102,7 +102,8 @@ def test_conflicts_against_all_pairs(spark, frame):
 def test_registered_conflicts_look_at_every_reranked_source(spark, monkeypatch):
     places = [("q", f"c{i:02}", i, i) for i in range(1, 31)]
     stage = spark.createDataFrame(places, "query_id string, chunk_id string, doc_id bigint, place int")
-    texts = spark.createDataFrame([(f"c{i:02}", "the valve never opened during the storm" if i == 30 else "the valve opened during the storm" if i == 1 else f"rivers carry stone{i}") for i in range(1, 31)], "id string, text string")
+    texts = spark.createDataFrame([(f"c{i:02}", i, "the valve never opened during the storm" if i == 30 else "the valve opened during the storm" if i == 1 else f"rivers carry stone{i}") for i in range(1, 31)], "id string, doc_id int, text string")
+    monkeypatch.setattr(queries, "_questions", lambda *_: spark.createDataFrame([("z", "zebra herds")], "query_id string, text string"))
     monkeypatch.setattr(queries, "_sources", lambda *_: None)
     monkeypatch.setattr(queries, "_stage", lambda *_: stage)
     monkeypatch.setattr(queries, "_chunks", lambda *_: texts)
@@ -117,3 +118,27 @@ def test_conflicts_of_values_and_their_requirements(frame):
     assert got == {("q", "S1", "S2", "values"), ("q", "S2", "S3", "values"), ("q", "S2", "S4", "values"), ("q", "S3", "S4", "values"), ("r", "S1", "S2", "values")}
     needs = frame([("q", "r1", "pump valve"), ("q", "r2", "zebra herds")], "query_id string, requirement_id string, text string")
     assert {(r.requirement_id, r.status) for r in evidence.ledger(needs, evidence_rows).collect()} == {("r1", "conflicting"), ("r2", "missing")}
+
+
+def test_named_documents_and_their_needs(spark):
+    prompts = ["Results of “Deep Log: a study” and 'old report'.", 'Use the Long River as the target paper', "What was said?", "Compare \"Deep Log\" with “deep log”", None]
+    rows = spark.createDataFrame([(p,) for p in prompts], "p string").select(named.targets(F.col("p")).alias("t"), named.needs(F.col("p")).alias("n")).collect()
+    assert [r.t for r in rows] == [["Deep Log: a study", "old report"], ["Long River"], [], ["Deep Log"], []]
+    assert rows[0].n == ["result"] and len(rows[2].n) == 4
+    cases = [("Deep Log: a study", ["library/deep_log.pdf"], False), ("Deep Log: a study", ["Deep log.PDF"], True), ("Astronomy 02 survey", ["astronomy-survey-x.pdf"], True), ("Pulsar", ["notes on pulsar.txt"], True), ("Sun", ["the sun also"], True), ("Io", ["notes io"], True), ("xy", ["x y"], False), ("Deep", [None], False)]
+    got = spark.createDataFrame(cases, "t string, n array<string>, w boolean").select("w", named.is_document(F.col("t"), F.col("n")).alias("g")).collect()
+    assert [r.g for r in got] == [w for _, _, w in cases]
+
+
+def test_fits(frame):
+    good = "We propose a method that improves the recall of search over long and noisy archives by a wide margin in all trials."
+    rows = [("q", "a", good, ["deep log.pdf", None]), ("q", "b", "References doi: 10.1", ["deep log.pdf"]), ("q", "c", good, ["other.pdf"]), ("q", "d", None, ["deep log.pdf"])]
+    needs = frame([("q", "r1", "Deep log", ["method", "limitation"]), ("q", "r2", "Deep log", ["limitation"])], "query_id string, requirement_id string, title string, needs array<string>")
+    got = {r.id: r.fits for r in named.fits(frame(rows, "query_id string, id string, text string, names array<string>", "share"), needs).collect()}
+    assert got == {"a": {"r1": 0.5}, "b": None, "c": None, "d": None}
+
+
+def test_direction_of_comparisons(spark):
+    cases = [("A is greater than B", ["Greater"], "entailed"), ("A is less", ["greater"], "contradicted"), ("A differs", ["less"], "ambiguous_operation"), ("A is less", None, "not_applicable")]
+    rows = spark.createDataFrame(cases, "c string, r array<string>, w string").select("w", evidence.direction_check(F.col("c"), F.col("r")).alias("g")).collect()
+    assert all(r.w == r.g for r in rows)
