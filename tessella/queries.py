@@ -918,19 +918,6 @@ select answer_id, len(tags)::int as citation_count, len(ids)::int as unique_coun
 )
 
 
-@query
-def claim_verification(spark: SparkSession, d: str) -> DataFrame:
-    answers, sources = _answers(spark, d)
-    claims = evidence.verify_claims(answers, sources)
-    return claims.select("answer_id", "claim_id", "text", F.array_join("source_ids", ",").alias("source_ids"), "coverage", "numeric_status", "status")
-
-
-@query
-def claim_summary(spark: SparkSession, d: str) -> DataFrame:
-    answers, sources = _answers(spark, d)
-    return evidence.claim_summary(evidence.verify_claims(answers, sources))
-
-
 CLAIM_STOP = "(" + ", ".join(f"'{w}'" for w in evidence.CLAIM_STOPWORDS) + ")"
 NEGATIVE = r"regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(?:no|not|never|neither|without|failed to|did not|does not|was not|were not)([^\p{L}\p{N}_]|$)')"
 _UNIT_CASES = " ".join(f"when '{k}' then '{v}'" for k, v in evidence.UNIT_NAMES.items())
@@ -948,6 +935,53 @@ cn as (select query_id, left_id, right_id, case when opposite then 'negation' el
 """
 
 
+_NUMBERS = rf"""list_transform(regexp_extract_all({{0}}, '(?:^|[^0-9A-Za-z_.-])(-?\d+(?:\.\d+)?(?:\s*(?:%|[a-zA-Zµμ°]+))?)', 1)[1:32], lambda m: {{{{'v': regexp_extract(m, '^(-?\d+(?:\.\d+)?)', 1)::double, 'u': replace(regexp_extract(m, '^-?\d+(?:\.\d+)?\s*(.*)$', 1), 'μ', 'µ')}}}})"""
+_NAMED_NUMBERS = rf"list_transform({{0}}, lambda x: {{{{'v': x.v, 'u': case when regexp_full_match(x.u, '\p{{{{L}}}}') then x.u else case lower(x.u) {_UNIT_CASES} else lower(x.u) end end}}}})"
+_TAG = r"\[\[\s*src\s*:\s*[A-Za-z0-9_-]+\s*\]\]"
+CLAIMS = rf"""
+an as (select doc_id as answer_id, trim(regexp_replace(text, '(?is)<think\b[^>]*>.*?(?:</think\s*>|$)', '', 'g'), ' ') as t from documents where contains(text, '[[src:')),
+jn as (select answer_id, regexp_replace(regexp_replace(t, '(?i)([.!?])\s+((?:{_TAG}\s*)+)', '\1 \2' || chr(10), 'g'), '(?i)([.!?])\s(\[\[\s*src\s*:)', '\1' || chr(1) || '\2', 'g') as t from an),
+pt as (select answer_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '([.!?])\s+', '\1' || chr(2), 'g'), '\n+', chr(2), 'g'), chr(2)), lambda x: replace(x, chr(1), ' ')), lambda x: trim(x, ' ') <> '')[1:32] as l from jn),
+c0 as (select answer_id, i, regexp_replace(regexp_replace(l[i], '(?i){_TAG}', '', 'g'), '^[ *#\t-]+|[ *#\t-]+$', '', 'g') as text, list_transform(regexp_extract_all(l[i], '(?i)\[\[src:\s*([A-Za-z0-9_-]+)\s*\]\]', 1), lambda x: upper(x)) as tags from pt, unnest(range(1, len(l) + 1)) t(i)),
+c1 as materialized (select answer_id, i, text, list_filter(tags, lambda x, k: list_position(tags, x) = k) as ids, {_CLAIM_WORDS} as terms, {NEGATIVE} as neg from c0),
+cl as materialized (select * from c1 where len(terms) >= 2),
+sc as materialized (select distinct on (answer_id, source_id) *, {_CLAIM_WORDS} as terms, {NEGATIVE} as neg from (select doc_id as answer_id, upper('S' || chunk_index) as source_id, coalesce(text, '') as text from {CHUNKS}) order by answer_id, source_id),
+me as (select cl.answer_id, cl.i, tag_no, s.text as e, case when s.text is not null then len(list_intersect(cl.terms, s.terms)) / len(cl.terms) end as shared,
+  case when s.text is not null and len(s.terms) > 0 then len(list_intersect(cl.terms, s.terms)) / (len(cl.terms) + len(s.terms) - len(list_intersect(cl.terms, s.terms))) >= 0.45 and cl.neg <> s.neg end as opposite from cl, unnest(range(1, len(ids) + 1)) t(tag_no) left join sc s on s.answer_id = cl.answer_id and s.source_id = cl.ids[tag_no]),
+gr as (select answer_id, i, max(coalesce(shared, 0)) as cover, bool_or(e is null) as unknown, bool_or(coalesce(opposite, false)) as negated, coalesce(string_agg(e, chr(10) order by tag_no), '') as e from me group by all),
+nm as (select cl.*, coalesce(cover, 0) as cover, coalesce(unknown, false) as unknown, coalesce(negated, false) as negated, coalesce(e, '') as e, lower(cl.text) as low, {_NAMED_NUMBERS.format(_NUMBERS.format("cl.text"))} as said, {_NAMED_NUMBERS.format(_NUMBERS.format("coalesce(e, '')"))} as has from cl left join gr using (answer_id, i)),
+n1 as (select *, list_filter(has, lambda x: x.u <> '') as named from nm),
+n2 as (select *, list_filter(named, lambda x: x.u <> '%' and len(list_filter(named, lambda y: y.u = x.u)) >= 2) as pa, list_filter(named, lambda x: len(list_filter(named, lambda y: y.u = x.u)) >= 2) as pb from n1),
+n3 as (select *, list_filter(pa, lambda x: x.u = pa[1].u) as ta, list_filter(pb, lambda x: x.u = pb[1].u) as tb from n2),
+n4 as materialized (select *, case when abs(ta[1].v) > 1e-6 then abs(ta[1].v - ta[2].v) / abs(ta[1].v) when abs(ta[2].v) > 1e-6 then abs(ta[1].v - ta[2].v) / abs(ta[2].v) end * 100 as change, tb[2].v - tb[1].v as delta from n3),
+ck as (select answer_id, i, x, low, change, list_transform(list_filter(has, lambda y: y.u = x.u), lambda y: y.v) as vs from (select *, unnest(said) as x from n4)),
+cd as (select *, case when x.u = '%' and change is not null then change when len(vs) >= 2 and regexp_matches(low, '\b(?:difference|differed|gap)\b') then abs(vs[1] - vs[2]) when len(vs) >= 1 and regexp_matches(low, '\b(?:average|mean)\b') then list_sum(vs) / len(vs) when len(vs) >= 1 and regexp_matches(low, '\b(?:sum|total)\b') then list_sum(vs) end as derived from ck),
+cw as (select answer_id, i, max(case when len(list_filter(vs, lambda v: abs(x.v - v) <= greatest(1e-6, abs(x.v) * 0.01))) > 0 then 1 when derived is not null then case when abs(x.v - derived) <= greatest(1e-6, abs(x.v) * 0.01) then 1 else 3 end when len(vs) > 0 then 3 else 2 end) as worst from cd group by all),
+cs as (select n4.*, case when len(said) = 0 then 'not_applicable' when worst = 3 or coalesce(contains(lower(e), 'from') and contains(lower(e), ' to ') and (((regexp_matches(low, '\b(?:decreas\w*|reduc\w*|lower\w*|faster)\b') or (contains(low, 'improv') and regexp_matches(low, '\b(?:latency|time|error|loss)\b'))) and delta > 0)
+  or (regexp_matches(low, '\b(?:increas\w*|higher\w*|grew|slower)\b') and delta < 0)), false) then 'contradicted' when worst = 2 then 'unsupported' else 'entailed' end as numeric_status from n4 left join cw using (answer_id, i)),
+cv as (select answer_id, 'C' || i as claim_id, text, array_to_string(ids, ',') as source_ids, round(cover, 6) as coverage, numeric_status, case when len(ids) = 0 then 'citation_missing' when unknown then 'unsupported' when numeric_status = 'contradicted' or negated then 'contradicted' when numeric_status = 'unsupported' then 'unsupported' when round(cover, 6) >= 0.55 then 'entailed' when round(cover, 6) >= 0.25 then 'partially_entailed' else 'unsupported' end as status from cs)
+"""
+
+
+@query
+def claim_verification(spark: SparkSession, d: str) -> DataFrame:
+    answers, sources = _answers(spark, d)
+    claims = evidence.verify_claims(answers, sources)
+    return claims.select("answer_id", "claim_id", "text", F.array_join("source_ids", ",").alias("source_ids"), "coverage", "numeric_status", "status")
+
+
+sql("claim_verification", f"with {CLAIMS.strip()} select * from cv")
+
+
+@query
+def claim_summary(spark: SparkSession, d: str) -> DataFrame:
+    answers, sources = _answers(spark, d)
+    return evidence.claim_summary(evidence.verify_claims(answers, sources))
+
+
+sql("claim_summary", f"with {CLAIMS.strip()} select answer_id, count(*) as claim_count, " + ", ".join(f"count(*) filter (status = '{x}') as {x}" for x in ("entailed", "partially_entailed", "unsupported", "contradicted", "citation_missing")) + " from cv group by answer_id")
+
+
 @query
 def evidence_ledger(spark: SparkSession, d: str) -> DataFrame:
     """What each requirement of a question finds among the question's lexical hits."""
