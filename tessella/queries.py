@@ -875,6 +875,15 @@ def plain_compression(spark: SparkSession, d: str) -> DataFrame:
     return selection.compress_plainly(_blocks(spark, d))
 
 
+PLAINLY = f"""
+{SCORED.strip()}, po as (select *, row_number() over (partition by query_id order by score desc, n) as o from b6),
+pl as (select query_id, 1::bigint as o, 1 as k, have as seen, true as took from po where o = 1
+  union all select po.query_id, po.o, k + (k < 10 and len(list_intersect(po.have, seen)) / greatest(len(po.have), 1) <= 0.75)::int, case when k < 10 and len(list_intersect(po.have, seen)) / greatest(len(po.have), 1) <= 0.75 then list_distinct(list_concat(seen, po.have)) else seen end, k < 10 and len(list_intersect(po.have, seen)) / greatest(len(po.have), 1) <= 0.75
+  from pl join po on po.query_id = pl.query_id and po.o = pl.o + 1)
+"""
+sql("plain_compression", f"with recursive {PLAINLY.strip()} select pl.query_id, k::int as place, source_id, text from pl join po using (query_id, o) where took")
+
+
 @query
 def compression_stats(spark: SparkSession, d: str) -> DataFrame:
     """How much of every query's evidence is relevant, and how many blocks plain compression keeps."""
@@ -882,6 +891,12 @@ def compression_stats(spark: SparkSession, d: str) -> DataFrame:
     return selection.compression_stats(blocks, selection.compress_plainly(blocks))
 
 
+sql(
+    "compression_stats",
+    f"with recursive {PLAINLY.strip()}, kp as (select query_id, count(*) as kept from pl where took group by query_id) select query_id, count(*) as input_blocks, any_value(kept) as kept_blocks, count(*) filter (len(list_intersect(asked, have)) > 0) as relevant_blocks, round(count(*) filter (len(list_intersect(asked, have)) > 0) / count(*), 6) as relevance from b6 join kp using (query_id) group by query_id",
+)
+
+
 @query
 def layout_budget(spark: SparkSession, d: str) -> DataFrame:
     """Two hops around every query's assembled context, within a quarter of its tokens."""
@@ -889,6 +904,21 @@ def layout_budget(spark: SparkSession, d: str) -> DataFrame:
     return selection.expand_within(context_assembly(spark, d), chunks)
 
 
+sql(
+    "layout_budget",
+    LAYOUT.strip().replace("with c as", "with recursive c as", 1)
+    + f""", ca as ({SQL["context_assembly"]}), pu as (select query_id, floor(sum(greatest(tokens, 1)) * 0.25)::bigint as purse from ca group by query_id),
+st as (select id, '' as via, neighbour_id as nb, edge, 1 as hop, 0 as p, place as k from le union all select o.id, o.neighbour_id, t.neighbour_id, t.edge, 2, o.place, t.place from le o join le t on t.id = o.neighbour_id),
+wk as (select ca.query_id, ca.place, anchor_id as id, via, nb, edge, hop, greatest(coalesce(nullif(x.token_count, 0), (length(x.text) + 3) // 4), 1) as n, row_number() over (partition by ca.query_id order by ca.place, hop, p, st.k, anchor_id, via, nb) as i
+  from ca join st on st.id = ca.anchor_id join {CHUNKS} x on x.id = nb where not list_contains(list_concat(chunk_ids, [anchor_id]), nb)),
+fd as (select query_id, 0::bigint as i, purse as rest, []::varchar[] as met, []::varchar[] as got, false as took from wk join pu using (query_id) where i = 1
+  union all select query_id, i, rest - case when fits then n else 0 end, case when fresh then list_append(met, place || '|' || nb) else met end, case when fits then list_append(got, id || '|' || nb) else got end, fits
+  from (select *, fresh and n <= rest and len(list_filter(got, lambda g: starts_with(g, id || '|'))) < 6 as fits
+    from (select wk.*, fd.rest, fd.met, fd.got, (hop = 1 or list_contains(fd.got, wk.id || '|' || via)) and not list_contains(fd.met, wk.place || '|' || nb) as fresh from fd join wk on wk.query_id = fd.query_id and wk.i = fd.i + 1)))
+select wk.query_id, wk.id as anchor_id, nb as neighbour_id, edge, hop, n::int as tokens from fd join wk using (query_id, i) where took
+""",
+)
+
 # --- evidence --------------------------------------------------------------------------------------------------------
 
 
@@ -1357,6 +1387,37 @@ def structured_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.structured_chunks(rows.drop("block_id")).select("doc_id", "parent_no", "child_no", "text", "block_type", F.array_join("heading_path", " > ").alias("section"), "page", "first_block")
 
 
+_WORDS = r"greatest(len(regexp_extract_all({0}, '[^ \t\n\x0b\f\r]+')), 1)"
+sql(
+    "structured_chunks",
+    rf"""
+with recursive b0 as (select distinct on (doc_id, block_index) doc_id, block_index, regexp_replace(text, '^\s+|\s+$', '', 'g') as text, coalesce(block_type, '') as kind, coalesce(array_to_string(heading_path, chr(1)), '') as path, coalesce(array_to_string(heading_path, ' > '), '') as section, page_number as page, {_WORDS.format("text")} as size
+  from (select distinct on (block_id) * from document_blocks order by block_id) where doc_id is not null and regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' and coalesce(block_type, '') not in ('header', 'footer') order by doc_id, block_index),
+b1 as materialized (select *, path || chr(2) || coalesce(page::varchar, '') || chr(2) || kind as key, kind = 'table' or size > 150 as alone, kind in ('title', 'heading') as head, row_number() over (partition by doc_id order by block_index) as i from b0),
+fo as (select doc_id, 0::bigint as i, 0 as p, 0::bigint as n, ''::varchar as path, false as has, -1 as c, 0::bigint as m, ''::varchar as key, false as open_, 0 as op, -1 as oc from b1 where i = 1
+  union all select doc_id, i, p2 + full_::int, case when full_ then 0 else n2 end, case when full_ then '' else path2 end, not full_, c2, case when head then m else m2 end, case when head then key else bkey end, open2 and not full_, p2, case when head then -1 else c2 end
+  from (select *, case when head then open_ and not closes else not alone and m2 < 110 and kind not in ('caption', 'footnote') end as open2, case when head or goes then c else c + 1 end as c2
+    from (select *, n2 >= 520 and not head as full_, p + closes::int as p2, case when bpath <> '' then bpath when closes then '' else path end as path2, case when goes then m else 0 end + size as m2
+      from (select *, case when closes then size else n + size end as n2, open_ and not closes and not alone and key = bkey and m + size <= 150 as goes
+        from (select fo.doc_id, b1.i, fo.p, fo.n, fo.path, fo.c, fo.m, fo.key, fo.open_, b1.size, b1.head, b1.alone, b1.kind, b1.key as bkey, b1.path as bpath, fo.has and (fo.n + b1.size > 650 or (b1.path <> '' and fo.path <> '' and b1.path <> fo.path and fo.n >= 173)) as closes
+          from fo join b1 on b1.doc_id = fo.doc_id and b1.i = fo.i + 1))))),
+ch as materialized (select doc_id, op as p, oc as c, string_agg(text, chr(10) order by i) as text, arg_min(kind, i) as kind, arg_min(section, i) as section, min(page) as page, min(block_index) as first_block, bool_or(alone) as alone from fo join b1 using (doc_id, i) where oc >= 0 group by all),
+tl as (select *, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as l, {_WORDS.format("text")} as w from ch),
+tr as (select doc_id, c, l[1] as h, {_WORDS.format("l[1]")} as hn, l[k] as line, {_WORDS.format("l[k]")} as n, k - 1 as i from tl, unnest(range(2, len(l) + 1)) t(k) where kind = 'table' and w > 150 and len(l) >= 2),
+tf as (select doc_id, c, 1::bigint as i, 0 as part, hn + n as n from tr where i = 1 union all select tr.doc_id, tr.c, tr.i, part + (tf.n + tr.n > 150)::int, case when tf.n + tr.n > 150 then tr.hn else tf.n end + tr.n from tf join tr on tr.doc_id = tf.doc_id and tr.c = tf.c and tr.i = tf.i + 1),
+tp as (select doc_id, c, part as k, any_value(h) || chr(10) || string_agg(line, chr(10) order by i) as piece from tf join tr using (doc_id, c, i) group by all),
+bl as (select doc_id, c, bi, l[bi] as block from (select doc_id, c, {BLOCKS} as l from ch where alone and kind <> 'table'), unnest(range(1, len(l) + 1)) t(bi)),
+ln as (select *, list_filter(list_transform(string_split(block, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as ls from bl),
+us as (select doc_id, c, bi, case when len(ls) > 1 and len(list_filter(ls, lambda x: regexp_matches(x, '\d') and (regexp_matches(x, '[,\t/]') or regexp_matches(x, '\s\d')))) >= greatest(2, len(ls) // 2) then ls else {SENTENCES.format("block")} end as us from ln),
+pc as (select doc_id, c, array_to_string(w[s + 1:s + 150], ' ') as u, least(150, len(w) - s) as n, row_number() over (partition by doc_id, c order by bi, ui, s) as i from (select doc_id, c, bi, ui, regexp_split_to_array(us[ui], '\s+') as w from us, unnest(range(1, len(us) + 1)) t(ui)), unnest(range(0, len(w), 150)) t(s)),
+pk as (select doc_id, c, 1::bigint as i, 0 as k, n from pc where i = 1 union all select pc.doc_id, pc.c, pc.i, k + (pk.n >= 110 or pk.n + pc.n > 150)::int, case when pk.n >= 110 or pk.n + pc.n > 150 then pc.n else pk.n + pc.n end from pk join pc on pc.doc_id = pk.doc_id and pc.c = pk.c and pc.i = pk.i + 1),
+pp as (select doc_id, c, k, string_agg(u, ' ' order by i) as piece from pk join pc using (doc_id, c, i) group by all),
+al as (select doc_id, c, k, piece from tp union all select doc_id, c, k, piece from pp union all select doc_id, c, 0, text from tl where not alone or (kind = 'table' and (w <= 150 or len(l) < 2)))
+select doc_id, p as parent_no, (row_number() over (partition by doc_id order by c, k) - 1)::int as child_no, piece as text, kind as block_type, section, page, first_block from al join ch using (doc_id, c)
+""",
+)
+
+
 @query
 def parent_summaries(spark: SparkSession, d: str) -> DataFrame:
     """An extractive summary of every document's parents."""
