@@ -23,6 +23,8 @@ OPERATIONS = ("lookup", "filter", "sort", "group", "min", "max", "sum", "mean",
 PREDICATES = ("eq", "ne", "gt", "gte", "lt", "lte", "contains")
 AGGREGATES = ("count", "sum", "mean", "min", "max")
 MOST_TABLES, MOST_COLUMN, MOST_RESULTS = 16, 255, 24
+#: Cells that an answer cites at most; how many there are stands beside them.
+MOST_REFS = 10_000
 TABLE_ID = re.compile(r"tbl-[a-f0-9]{24}")
 
 
@@ -142,15 +144,16 @@ def _numbers(plan: TablePlan, rows: DataFrame) -> DataFrame:
 
 
 def _aggregated(how: str, keys: list[str], numbers: DataFrame) -> DataFrame:
-    """keys, value, unit, cell_refs, status. A null unit is a unit of its own; several make the answer void."""
+    """keys, value, unit, cell_refs, n_cells, status. A null unit is a unit of its own; several make the answer void. Of the cells the first 10,000 are cited."""
     # the refs in the order of rows; of equal least or greatest values the first row's
-    pairs = F.transform(F.array_sort(F.collect_list(F.struct("row_index", "cell_ref"))), lambda x: x["cell_ref"])
+    numbers = numbers.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("row_index")))
+    pairs = F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") <= MOST_REFS, F.struct("row_index", "cell_ref")))), lambda x: x["cell_ref"])
     value = {"sum": F.sum("_v"), "mean": F.try_divide(F.sum("_v").cast("decimal(38,12)"), F.count("_v").cast("decimal(20,0)")), "min": F.min("_v"), "max": F.max("_v")}[how]
     first = {"min": F.min_by("cell_ref", F.struct("_v", "row_index")), "max": F.max_by("cell_ref", F.struct("_v", -F.col("row_index")))}.get(how)
     units = F.count_distinct(F.coalesce("unit", F.lit("∅")))
-    of = numbers.groupBy(*keys).agg(value.alias("_value"), units.alias("_units"), F.max("unit").alias("_unit"), (F.array(first) if first is not None else pairs).alias("_refs"), pairs.alias("_all"))
+    of = numbers.groupBy(*keys).agg(value.alias("_value"), units.alias("_units"), F.max("unit").alias("_unit"), (F.array(first) if first is not None else pairs).alias("_refs"), pairs.alias("_all"), F.count("*").alias("n_cells"))
     mixed = F.col("_units") > 1
-    return of.select(*keys, F.when(~mixed, canonical_decimal(F.col("_value"))).alias("value"), F.when(~mixed, F.col("_unit")).alias("unit"), F.when(~mixed, F.col("_refs")).alias("cell_refs"), F.when(~mixed, F.col("_all")).alias("verification_refs"), F.when(mixed, "mixed_incompatible_units").otherwise("ok").alias("status"))
+    return of.select(*keys, F.when(~mixed, canonical_decimal(F.col("_value"))).alias("value"), F.when(~mixed, F.col("_unit")).alias("unit"), F.when(~mixed, F.col("_refs")).alias("cell_refs"), F.when(~mixed, F.col("_all")).alias("verification_refs"), "n_cells", F.when(mixed, "mixed_incompatible_units").otherwise("ok").alias("status"))
 
 
 def _row_results(rows: DataFrame, *more: str) -> DataFrame:
@@ -188,15 +191,17 @@ def execute(plan: TablePlan, cells: DataFrame) -> DataFrame:
         return _row_results(rows.join(kept, ["table_id", "row_index"]), "place")
     if op == "count":
         lead = rows.groupBy("table_id", "row_index").agg(F.min_by("cell_ref", "column_index").alias("_ref"))
-        n = lead.groupBy("table_id").agg(F.count("*").alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct("row_index", "_ref"))), lambda x: x["_ref"]).alias("verification_refs"))
+        lead = lead.withColumn("_k", F.row_number().over(place.orderBy("row_index")))
+        n = lead.groupBy("table_id").agg(F.count("*").alias("_n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") <= MOST_REFS, F.struct("row_index", "_ref")))), lambda x: x["_ref"]).alias("verification_refs"))
         return tables.join(n, "table_id", "left").select("table_id", F.coalesce("_n", F.lit(0)).cast("string").alias("value"), F.coalesce("verification_refs", F.array().cast("array<string>")).alias("verification_refs"))
     if op == "group":
         keys = rows.where(F.col("column_index") == plan.group_column).select("table_id", "row_index", F.col("raw_value").alias("group"), F.col("cell_ref").alias("_ref"))
         how = plan.aggregate or "count"
         if how == "count":
-            of = keys.groupBy("table_id", "group").agg(F.count("*").cast("string").alias("value"), F.lit(None).cast("string").alias("unit"), F.transform(F.array_sort(F.collect_list(F.struct("row_index", "_ref"))), lambda x: x["_ref"]).alias("cell_refs"), F.lit("ok").alias("status"))
+            keys = keys.withColumn("_k", F.row_number().over(Window.partitionBy("table_id", "group").orderBy("row_index")))
+            of = keys.groupBy("table_id", "group").agg(F.count("*").cast("string").alias("value"), F.lit(None).cast("string").alias("unit"), F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") <= MOST_REFS, F.struct("row_index", "_ref")))), lambda x: x["_ref"]).alias("cell_refs"), F.lit("ok").alias("status"))
         else:
-            of = _aggregated(how, ["table_id", "group"], _numbers(plan, rows).join(keys, ["table_id", "row_index"])).drop("verification_refs")
+            of = _aggregated(how, ["table_id", "group"], _numbers(plan, rows).join(keys, ["table_id", "row_index"])).drop("verification_refs", "n_cells")
         of = of.withColumn("place", F.row_number().over(place.orderBy(F.lower("group"), "group"))).where(F.col("place") <= plan.limit)
         return of.select("table_id", "place", "group", "value", "unit", "cell_refs", "status")
     numbers = _numbers(plan, rows)

@@ -45,4 +45,18 @@ def materialise(df: DataFrame, what: str = "stage") -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and the loss of an executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stage = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialise wrote, once all that was made of them is written itself.
+
+    What a result that isn't written yet still reads must stay: nothing could make it again."""
+    for df in tables:
+        path = getattr(df, "_stage", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

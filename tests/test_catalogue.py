@@ -20,3 +20,16 @@ def test_unit_answers_and_payloads(frame):
     rows = {r.doc_id: r for r in catalogue.document_payloads(docs, chunks).collect()}
     assert rows[1].name == "name.pdf" and [p.id for p in rows[1].preview] == ["c0", "c1"] and len(rows[1].preview[1].text) == 500
     assert rows[2].n_chunks == 0 and rows[2].preview is None
+
+
+def test_written_stages_can_be_discarded(spark):
+    from tessella.session import discard, materialise
+
+    first = materialise(spark.range(5), "first")
+    second = materialise(first.where("id > 1"), "second")
+    discard(first, spark.range(3))
+    assert second.count() == 3
+    path = first._stage.removeprefix("file://")
+    import os
+
+    assert not os.path.exists(path) and os.path.exists(second._stage.removeprefix("file://"))
