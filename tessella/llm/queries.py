@@ -38,6 +38,16 @@ select query_id, chunk_id from (select q as query_id, c as chunk_id, row_number(
 """
 
 
+@query
+def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The whole order of every query's sources."""
+    rows = rank_fusion.ranking(table(spark, d, "compression_sources", "query_id", "stage", "chunk_id", "score"))
+    return rows.select("query_id", "chunk_id", "place", F.round("median_rank", 6).alias("median_rank"), F.round("mean_rank", 6).alias("mean_rank"))
+
+
+SQL["p1_ranking"] = SQL["p1_found"].replace("select query_id, chunk_id from (select q as query_id, c as chunk_id, row_number() over (partition by q order by med, mean, c) as k from m) where k = 1", "select q as query_id, c as chunk_id, row_number() over (partition by q order by med, mean, c) as place, round(med, 6) as median_rank, round(mean, 6) as mean_rank from m")
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and blocks that the splitter had to cut."""

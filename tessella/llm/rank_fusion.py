@@ -102,6 +102,23 @@ def rank_fusion(
     return paired.select(F.col("_g").alias(group), F.col("_i").alias(item), weighted_median(F.col("_p")).alias("median_rank"), mean.alias("mean_rank"), F.col("_n").alias("n_stages"))
 
 
+def ranking(scores: DataFrame, group: str = "query_id", item: str = "chunk_id", **options) -> DataFrame:
+    """group, item, place, median_rank, mean_rank, n_stages: the whole order of rank_fusion, places from 1 and without gaps.
+
+    Items are range-partitioned in that order, so a group of any size is numbered in pieces: a place is one within its
+    range and the sizes of the group's ranges before.
+    """
+    fused = rank_fusion(scores, group, item, **options)
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["median_rank", "mean_rank", item]
+    ranged = materialise(fused.repartitionByRange(parts, group, *order).withColumn("_range", F.spark_partition_id()), "ranking")
+    sizes = ranged.groupBy(group, "_range").agg(F.count("*").alias("_in"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(group, "_range", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    return ranged.withColumn("_at", within).join(offsets, [group, "_range"]).select(group, item, (F.col("_before") + F.col("_at")).alias("place"), "median_rank", "mean_rank", "n_stages")
+
+
 def best_of_groups(scores: DataFrame, group: str = "query_id", item: str = "chunk_id", **options) -> DataFrame:
     """group, item: the first of each group in the order of rank_fusion. The minimum is pre-aggregated, so a hot group costs no more."""
     fused = rank_fusion(scores, group, item, **options)

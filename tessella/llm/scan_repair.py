@@ -594,8 +594,8 @@ def repair_scans(pdfs: DataFrame | None, blocks: DataFrame | None, corpus: DataF
     lines = units.mapInPandas(_heads, "source_table string, unit string, key string")
     most = max(2, int(units.where("source_table = 'parsed_pdfs'").count() * head_share), int(units.where("source_table = 'document_blocks'").count() * head_share / 4))
     shared = lines.groupBy("source_table", "key").agg(F.count("*").alias("n")).where(F.col("n") > most).groupBy("key").agg(F.max("n").alias("n"))
-    # as many as this can exceed their share: a unit has few lines, of which each is counted once
-    headings = spark.sparkContext.broadcast({r.key for r in shared.orderBy(F.desc("n"), "key").limit(50_000).collect()})
+    # a line counts once a unit, so no more than 1 / head_share times a unit's mean number of such lines exceed the share
+    headings = spark.sparkContext.broadcast({r.key for r in shared.select("key").collect()})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -61,3 +61,14 @@ def test_weights(frame):
 def test_a_group_that_holds_most_rows_is_spread(frame):
     rows = [("hot", "bm25", f"c{i:05}", float(i % 900)) for i in range(3000)] + [("q", "bm25", "c", 1.0)]
     assert {r.query_id: r.chunk_id for r in best_of_groups(frame(rows, SCHEMA)).collect()} == {"hot": "c00899", "q": "c"}
+
+
+def test_places_have_no_gaps_in_any_group(spark, frame):
+    from tessella.llm.rank_fusion import ranking
+
+    rows = [("hot", s, f"c{i:03}", float((i * 7919) % 400)) for i in range(400) for s in ("a", "b")] + [("q", "a", "x", 1.0), ("q", "b", "y", 1.0)]
+    got = ranking(frame(rows, "query_id string, stage string, chunk_id string, score double", "place", "_range")).collect()
+    for group in ("hot", "q"):
+        own = sorted((r.place, r.median_rank, r.mean_rank, r.chunk_id) for r in got if r.query_id == group)
+        assert [p for p, *_ in own] == list(range(1, len(own) + 1)) and [x[1:] for x in own] == sorted(x[1:] for x in own)
+    assert ranking(frame([], "query_id string, stage string, chunk_id string, score double")).count() == 0
