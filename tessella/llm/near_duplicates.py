@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.words import mix, words
-from tessella.session import materialise
+from tessella.session import discard, materialise
 
 #: Bits of a bucket's key. Chance meetings of keys only add candidates, which verification drops.
 KEY = np.uint64((1 << 48) - 1)
@@ -203,8 +203,9 @@ def sets_of(sets: DataFrame, classes: DataFrame) -> DataFrame:
     return sets.select("c", "s").join(classes, "c", "left_semi").dropDuplicates(["c"])
 
 
-def _candidates(sets: DataFrame, bands: int, width: int, cap: int, levels: int) -> DataFrame:
-    """Distinct pairs a < b of classes that may be similar, and the star edges of large buckets."""
+def _candidates(sets: DataFrame, bands: int, width: int, cap: int, levels: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Distinct pairs a < b of classes that may be similar, with the star edges of large buckets; and the written stages that they are read from."""
+    stages: list[DataFrame] = []
     rows, found = sets.select("c", "s", F.xxhash64("kind").alias("up")), None
     for level in range(levels):
         n, w = (bands, width) if level == 0 else (bands // 2, max(2, width // 2))
@@ -213,19 +214,21 @@ def _candidates(sets: DataFrame, bands: int, width: int, cap: int, levels: int)
         parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() * n // KEYS_A_TASK))
         edges = banded.repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "c").mapInPandas(lambda b: _edges(b, cap), EDGE)
         edges = materialise(edges, "edges")
+        stages.append(edges)
         pairs = edges.where("bucket < 0").select("a", "b")
         found = pairs if found is None else found.union(pairs)
         over = edges.where("bucket >= 0").select(F.col("a").alias("c"), F.col("bucket").alias("up")).distinct()
         if over.isEmpty():
-            return found.distinct()
+            return found.distinct(), stages
         rows = materialise(over.join(sets_of(sets, over.select("c").distinct()), "c").select("c", "s", "up"), "large")
+        stages.append(rows)
     # so many bins agree that these are results: all pairs of a bucket, block by block
     sizes = rows.groupBy("up").agg((F.count("*") / 64 + 1).cast("int").alias("m"))
     blocked = rows.select("c", "up").join(sizes, "up").withColumn("i", F.pmod(F.hash("c"), "m"))
     left = blocked.withColumn("j", F.explode(F.sequence("i", F.col("m") - 1))).select("up", "i", "j", F.col("c").alias("x"))
     right = blocked.withColumn("h", F.explode(F.sequence(F.lit(0), "i"))).select("up", F.col("h").alias("i"), F.col("i").alias("j"), F.col("c").alias("y"))
     rest = left.join(right, ["up", "i", "j"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return found.union(rest).distinct()
+    return found.union(rest).distinct(), stages
 
 
 def _verified(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
@@ -246,11 +249,15 @@ def similar_classes(records: DataFrame, key: str, text: str, kind: Column, width
     """Members (kind, k, c) and verified links (a, b, similarity) between classes."""
     rows = records.select(kind.cast("string").alias("kind"), F.col(key).cast("string").alias("k"), F.col(text).alias("text")).where("text is not null and k is not null")
     sets = materialise(rows.mapInPandas(lambda b: _sets(b, width, least_words), "kind string, k string, c bigint, s binary"), "sets")
-    pairs = materialise(_candidates(sets, bands, band_width, cap, levels), "pairs")
+    candidates, stages = _candidates(sets, bands, band_width, cap, levels)
+    pairs = materialise(candidates, "pairs")
+    discard(*stages)
     wanted = materialise(sets_of(sets, pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()), "wanted")
     both = pairs.join(wanted.select(F.col("c").alias("a"), "s"), "a").join(wanted.select(F.col("c").alias("b"), F.col("s").alias("t")), "b")
     links = materialise(both.mapInPandas(lambda b: _verified(b, threshold), "a bigint, b bigint, similarity double"), "links")
-    return materialise(sets.select("kind", "k", "c").distinct(), "members"), links
+    members = materialise(sets.select("kind", "k", "c").distinct(), "members")
+    discard(sets, pairs, wanted)
+    return members, links
 
 
 def near_duplicate_pairs(records: DataFrame, key: str, text: str = "text", kind: Column | None = None, width: int = 5, threshold: float = 0.8, least_words: int = 1, bands: int = 44, band_width: int = 4, cap: int = 16, expand_copies: int = 256) -> DataFrame:
@@ -293,7 +300,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         joined = down.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialise(small, "small-star")
+        edges, old = materialise(small, "small-star"), edges
+        discard(old, large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct()).distinct()

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import materialise
+from tessella.session import discard, materialise
 
 
 @dataclass
@@ -280,7 +280,8 @@ def _smallest(keyed: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     left = materialise(keyed.select("id", "h").join(classes.select("h", "c"), "h").select("c", "id"), "copied")
     taken = left.groupBy("c").agg(F.array(F.min("id")).alias("ids"))
     for _ in range(n - 1):
-        taken = materialise(taken, "taken")
+        taken, old = materialise(taken, "taken"), taken
+        discard(old)
         more = left.join(taken, "c").where(F.col("id") > F.element_at("ids", -1)).groupBy("c").agg(F.min("id").alias("next"))
         taken = taken.join(more, "c", "left").select("c", F.when(F.col("next").isNull(), F.col("ids")).otherwise(F.concat("ids", F.array("next"))).alias("ids"))
     return taken
