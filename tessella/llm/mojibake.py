@@ -93,6 +93,7 @@ class Repair:
 
     def __init__(self, model: dict[int, float], margin: float = 1.5, suspect: float = 11.5, mean: float = 7.5, expansions: int = 48):
         self.model, self.margin, self.suspect, self.mean, self.expansions = model, margin, suspect, mean, expansions
+        self.exhausted = False  # whether a search of the document at hand ended with states left
 
     def cost(self, text: str) -> tuple[float, int, float]:
         """Sum, number and maximum of the surprisals."""
@@ -140,6 +141,7 @@ class Repair:
             if cost < best[0]:
                 best = (cost, state, path)
             if len(path) >= 4:
+                self.exhausted = True
                 continue
             now, n, _ = self.cost(state)
             for step, out, sure in self.steps(state, single):
@@ -150,6 +152,7 @@ class Repair:
                 if sure or now - then >= self.margin * max(n, 8):  # one single-byte encoding for another always decodes: only a clear gain counts
                     tick += 1
                     heapq.heappush(heap, (then + 0.5 * (len(path) + 1), tick, out, (*path, step)))
+        self.exhausted |= bool(heap)
         return best[1], best[2]
 
     def segment(self, text: str) -> tuple[str, tuple[str, ...], bool]:
@@ -170,6 +173,7 @@ class Repair:
         return fixed, path, LOST in fixed or bool(CONTROL.search(fixed))
 
     def document(self, text: str | None) -> tuple[str | None, list[str], bool]:
+        self.exhausted = False
         if not text or (text.isascii() and "&" not in text):
             return text, [], False
         out, steps, lost = [], {}, False
@@ -183,7 +187,10 @@ class Repair:
 
 
 def repair_encoding(documents: DataFrame, key: str = "doc_id", text: str = "text", garbled_only: bool = False, **options: Any) -> DataFrame:
-    """key, restored, steps, lost, garbled of every document; with garbled_only of those that are garbled.
+    """key, restored, steps, lost, exhausted, garbled of every document; with garbled_only of those that are garbled.
+
+    A search opens 48 states at most and goes four steps deep; exhausted says that one of the document's searches had
+    states left then, so that a cheaper text may exist.
 
     steps names what was undone ("cp1252>utf-8"), lost says that characters can't be brought back (U+FFFD, or control
     characters that remain); a document is garbled if it has steps or lost is true. What isn't garbled comes back
@@ -197,12 +204,12 @@ def repair_encoding(documents: DataFrame, key: str = "doc_id", text: str = "text
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repair = Repair(model.value, **options)
         for batch in batches:
-            done = [repair.document(t) for t in batch["text"]]
-            out = pd.DataFrame({"k": batch["k"], "restored": [d[0] for d in done], "steps": [d[1] for d in done], "lost": [d[2] for d in done]})
+            done = [(*repair.document(t), repair.exhausted) for t in batch["text"]]
+            out = pd.DataFrame({"k": batch["k"], "restored": [d[0] for d in done], "steps": [d[1] for d in done], "lost": [d[2] for d in done], "exhausted": [d[3] for d in done]})
             out["garbled"] = (out["steps"].str.len() > 0) | out["lost"]
             out = out[out["garbled"]] if garbled_only else out
             if len(out):  # an empty frame has no type for its nested column
                 yield out
 
-    found = rows.mapInPandas(run, f"k {kind}, restored string, steps array<string>, lost boolean, garbled boolean")
+    found = rows.mapInPandas(run, f"k {kind}, restored string, steps array<string>, lost boolean, exhausted boolean, garbled boolean")
     return found.withColumnRenamed("k", key)

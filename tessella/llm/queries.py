@@ -126,7 +126,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     """Those documents, with their text restored and what was undone."""
-    return mojibake.repair_encoding(table(spark, d, "documents", "doc_id", "text"), garbled_only=True).select("doc_id", "restored", "steps", "lost")
+    return mojibake.repair_encoding(table(spark, d, "documents", "doc_id", "text"), garbled_only=True).select("doc_id", "restored", "steps", "lost", "exhausted")
 
 
 @query
