@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella import pipeline
 from tessella.functions.numbers import canonical_decimal
-from tessella.operators import evidence, named, retrieval
+from tessella.operators import conversations, evidence, named, retrieval
 from tessella.plans import routing
 from tessella.queries import CELLS, CHUNKS, CONFLICTS, LEXICAL, QUALIFIES, RERANK, SQL, STOP, SUBQUERIES, VALUE, _cells, _chunks, _questions, _sources, _stage, _words_sql, evidence_ledger, query, sql
 from tessella.tables import table
@@ -250,3 +250,80 @@ select ok.query_id, 'S1' as source_id, coalesce(display_name, list_last(string_s
 from ok join pl using (query_id, table_id) join typed_tables t on t.id = ok.table_id left join documents d on d.doc_id = t.doc_id left join {CELLS} h on h.table_id = ok.table_id and h.row_index = 0 and h.column_index = pl.col
 """,
 )
+
+# --- conversations ---------------------------------------------------------------------------------------------------
+
+
+@query
+def document_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the kinds of their chunks as tags."""
+    tags = table(spark, d, "chunks", "doc_id", "block_type").withColumnRenamed("block_type", "tag")
+    return conversations.with_tags(table(spark, d, "documents", "doc_id"), tags).select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
+sql("document_tags", "select d.doc_id, coalesce(string_agg(distinct block_type, ',' order by block_type), '') as tags from documents d left join chunks c using (doc_id) group by d.doc_id")
+
+
+@query
+def message_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Queries as messages, each with its reranked sources in order."""
+    rows = _sources(spark, d)
+    messages = rows.select(F.col("query_id").alias("message_id")).distinct()
+    sources = _stage(rows, "rerank", "rank").select(F.col("query_id").alias("message_id"), "rank", "chunk_id")
+    return conversations.with_sources(messages, sources, "chunk_id").select("message_id", F.array_join(F.transform("sources", lambda s: s["chunk_id"]), ",").alias("sources"))
+
+
+sql("message_sources", f"with {RERANK} select m.query_id as message_id, string_agg(chunk_id, ',' order by place) as sources from (select distinct query_id from compression_sources) m left join k using (query_id) group by m.query_id")
+
+
+@query
+def turn_memories(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as answers to their names: what would be remembered of each, without those of one source."""
+    rows = table(spark, d, "documents", "doc_id", "source", "display_name", "text")
+    turns = rows.select(F.coalesce("source", F.lit("-")).alias("conversation_id"), F.col("doc_id").alias("message_id"), F.col("display_name").alias("prompt"), F.col("text").alias("answer"))
+    gone = turns.groupBy("conversation_id").agg(F.count("*").alias("n")).where("n > 50")
+    return conversations.forgotten(conversations.memories(turns), gone).select("id", "conversation_id", "chunk_length", F.md5("text").alias("digest"))
+
+
+sql(
+    "turn_memories",
+    r"""
+with t as (select coalesce(source, '-') as conversation_id, doc_id, trim(coalesce(display_name, ''), ' ') as p, coalesce(nullif(trim(regexp_replace(text, '(?is)<think\b[^>]*>.*?(?:</think\s*>|$)', '', 'g'), ' '), ''), trim(text, ' '), '') as a from documents),
+m as (select *, '[Past Conversation Context]' || chr(10) || 'User: ' || p[1:1600] || chr(10) || 'Assistant: ' || a[1:3200] as x from t)
+select 'mem_' || doc_id as id, conversation_id, length(x)::int as chunk_length, md5(x) as digest from m where conversation_id not in (select coalesce(source, '-') from documents group by 1 having count(*) > 50)
+""",
+)
+
+
+@query
+def answer_records(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as answers to queries, of which every third is unknown."""
+    rows = table(spark, d, "documents", "doc_id", "source", "modified_at")
+    answers = rows.select(F.coalesce("source", F.lit("-")).alias("answer_id"), F.col("doc_id").alias("query_id"), F.coalesce("modified_at", F.lit("1970-01-01").cast("timestamp")).alias("created_at"))
+    return conversations.answer_records(answers, rows.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("query_id"))).select("answer_id", "query_id")
+
+
+sql("answer_records", "select answer_id, case when doc_id % 3 <> 0 then doc_id end as query_id from (select coalesce(source, '-') as answer_id, doc_id, row_number() over (partition by coalesce(source, '-') order by coalesce(modified_at, timestamptz '1970-01-01 00:00:00+00') desc, doc_id desc) as k from documents) where k = 1")
+
+
+@query
+def feedback_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out items as feedback: those that say a question and expect a document become pending cases."""
+    rows = table(spark, d, "eval_cases", "item_id", "question", "passage", "lang")
+    return conversations.cases_from_feedback(rows.select(F.col("item_id").alias("feedback_id"), F.when(F.col("lang") == "en", F.col("question")).alias("question"), F.substring("passage", 1, 40).alias("correction"), F.col("lang").alias("expected_doc_id")))
+
+
+sql("feedback_cases", "select * from (select item_id as feedback_id, trim(coalesce(nullif(case when lang = 'en' then question end, ''), nullif(passage[1:40], ''), ''), ' ') as question, trim(lang, ' ') as expected_doc_id, 'pending' as status from eval_cases) where question <> '' and coalesce(expected_doc_id, '') <> ''")
+
+
+@query
+def stale_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose files are gone or have changed, chunks' files standing in for what is there now."""
+    rows = table(spark, d, "documents", "doc_id", "path", "n_chars", "modified_at", "content_hash").where("path is not null")
+    rows = rows.join(rows.groupBy("path").agg(F.min("doc_id").alias("doc_id")), ["path", "doc_id"], "left_semi")
+    known = rows.withColumnRenamed("n_chars", "size")
+    now = rows.where("doc_id % 4 <> 0").select("path", (F.col("n_chars") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).alias("length"), "modified_at", F.when(F.col("doc_id") % 2 == 0, F.lit("new")).otherwise(F.coalesce("content_hash", F.lit("-"))).alias("content_hash"))
+    return conversations.stale_files(known, now).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+sql("stale_files", "select doc_id, case when doc_id % 4 = 0 then 'file_missing' else 'content_changed' end as reasons from (select *, row_number() over (partition by path order by doc_id) as k from documents) where k = 1 and path is not null and (doc_id % 4 = 0 or (doc_id % 3 = 0 and (case when doc_id % 2 = 0 then 'new' else coalesce(content_hash, '-') end) is distinct from content_hash))")
