@@ -326,4 +326,4 @@ def stale_files(spark: SparkSession, d: str) -> DataFrame:
     return conversations.stale_files(known, now).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-sql("stale_files", "select doc_id, case when doc_id % 4 = 0 then 'file_missing' else 'content_changed' end as reasons from (select *, row_number() over (partition by path order by doc_id) as k from documents) where k = 1 and path is not null and (doc_id % 4 = 0 or (doc_id % 3 = 0 and (case when doc_id % 2 = 0 then 'new' else coalesce(content_hash, '-') end) is distinct from content_hash))")
+sql("stale_files", "select doc_id, case when doc_id % 4 = 0 then 'file_missing' else 'content_changed' end as reasons from (select *, row_number() over (partition by path order by doc_id) as k from documents) where k = 1 and path is not null and (doc_id % 4 = 0 or (doc_id % 3 = 0 and n_chars is not null and (case when doc_id % 2 = 0 then 'new' else coalesce(content_hash, '-') end) is distinct from content_hash))")
