@@ -309,8 +309,11 @@ def visible_texts(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as streams of pieces with a hidden part cut across them: what stays visible."""
     rows = events.event_stream(spark, d, "chunks").where("text is not null and not contains(lower(text), '<think')")
     pieces = F.array(F.substring("text", 1, 7), F.lit("<thi"), F.lit("nk>not to be "), F.lit("seen</thin"), F.lit("k>"), F.expr("substring(text, 8)"))
-    cut = rows.select(F.col("id").alias("stream_id"), F.posexplode(pieces).alias("seq", "piece")).distinct()
-    return events.run_available(events.visible_pieces(cut), "visible").select("stream_id", F.md5("text").alias("digest"))
+    # texts of one id are streams of their own; what comes again is dropped by its place in the stream, without a state of all texts
+    stream = F.concat(F.md5("text"), F.coalesce(F.concat(F.lit(":"), "id"), F.lit("")))
+    cut = rows.select(stream.alias("stream_id"), F.posexplode(pieces).alias("seq", "piece")).withColumn("last", F.col("seq") == 5)
+    seen = events.run_available(events.visible_pieces(cut), "visible")
+    return seen.select(F.when(F.length("stream_id") > 32, F.expr("substring(stream_id, 34)")).alias("stream_id"), F.md5("text").alias("digest"))
 
 
 sql("visible_texts", "select distinct id as stream_id, md5(text) as digest from chunks where text is not null and not contains(lower(text), '<think')")

@@ -45,19 +45,23 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     import uuid
 
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base, written = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        written.append(number)
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
+    if not written:  # nothing was there, so no batch was run
+        return spark.createDataFrame([], stream.schema)
     return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out").drop("batch")
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
+    """A table as a stream, be it one file or a folder of parts: the pattern names the table itself, whatever its parts are called."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}[.]parquet")
 
 
 # The moves of a job's state machine.
@@ -120,14 +124,24 @@ class VisibleText:
 
 
 def _filter(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    reader = VisibleText(*(state.get if state.exists else ("", False)))
-    rows = pd.concat(list(batches)).sort_values(["seq"])
-    text = "".join(reader.feed(p or "") for p in rows["piece"])
-    state.update((reader.held, reader.hidden))
-    yield pd.DataFrame({"stream_id": [key[0]], "text": [text]})
+    held, hidden, read = state.get if state.exists else ("", False, None)
+    reader, out = VisibleText(held, hidden), []
+    rows = pd.concat(list(batches))
+    ends = rows["last"] if "last" in rows else [False] * len(rows)
+    for seq, piece, last in sorted(zip(rows["seq"], rows["piece"], ends), key=lambda r: r[0]):
+        if read is not None and seq <= read:
+            continue
+        out.append(reader.feed(piece or "") + (reader.finish() if last else ""))
+        read = int(seq)
+    state.update((reader.held, reader.hidden, read))
+    if out:
+        yield pd.DataFrame({"stream_id": [key[0]], "text": ["".join(out)]})
 
 
 def visible_pieces(pieces: DataFrame) -> DataFrame:
-    """stream_id, text: what each batch of pieces (stream_id, seq, piece) adds to the visible text of a stream."""
+    """stream_id, text: what each batch of pieces (stream_id, seq, piece) adds to the visible text of a stream.
+
+    Pieces come in the order of seq, in a batch in any; one that comes again, in its batch or later, counts once. Pieces
+    may have last, true for a stream's last one: what looks like the beginning of a tag is held back until then."""
     kind = pieces.schema["stream_id"].dataType.simpleString()
-    return pieces.groupBy("stream_id").applyInPandasWithState(_filter, f"stream_id {kind}, text string", "held string, hidden boolean", "append", GroupStateTimeout.NoTimeout)
+    return pieces.groupBy("stream_id").applyInPandasWithState(_filter, f"stream_id {kind}, text string", "held string, hidden boolean, read bigint", "append", GroupStateTimeout.NoTimeout)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 
@@ -122,3 +123,20 @@ def test_structured_chunks_and_summaries(frame):
     made = [r.s for r in texts.select(chunking.summary(F.col("t"), F.col("h")).alias("s")).collect()]
     assert len(made[0]) <= 700 and made[0].startswith("Section: Part One Entities: We; Alpha Basin; However Values: 12 % Result: We found") and "Limitation: However" in made[0]
     assert made[1:] == ["", "One unit only", None, "Section: A b Entities: One Context: One unit only"]
+
+
+def test_visible_texts_of_a_folder_of_parts(spark, tmp_path):
+    from tessella.queries_documents import visible_texts
+
+    rows = [("a", "one text of some length"), ("a", "one text of some length"), ("a", "another text of a"), ("b", "ends in p < 4"), ("c", ""), (None, "without an id"), ("d", "has <think>x</think>"), ("e", None)]
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want = sorted(((i or "", digest(t)) for i, t in {r for r in rows if r[1] is not None and "<think" not in r[1]}))
+    df = spark.createDataFrame(rows, "id string, text string")
+    df.repartition(3).write.parquet(f"{tmp_path}/parts/chunks.parquet")
+    df.toPandas().to_parquet(f"{tmp_path}/chunks.parquet")
+    for d in (f"{tmp_path}/parts", str(tmp_path)):
+        assert sorted((r.stream_id or "", r.digest) for r in visible_texts(spark, d).collect()) == want
+    spark.createDataFrame([], "id string, text string").write.parquet(f"{tmp_path}/none/chunks.parquet")
+    assert visible_texts(spark, f"{tmp_path}/none").collect() == []
+    (tmp_path / "empty").mkdir()
+    assert events.run_available(spark.readStream.schema("id bigint").parquet(f"{tmp_path}/empty"), "nothing").collect() == []
