@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions.text import char_tokens, subqueries
 from tessella.operators import named, retrieval
 from tessella.providers import Embedder, HashEmbedder, OverlapReranker, Reranker
+from tessella.session import materialise
 
 
 @dataclass(frozen=True)
@@ -95,7 +96,8 @@ def gap_round(questions: DataFrame, context: DataFrame, ledger: DataFrame, chunk
     listed = gaps.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("requirement_id", "text", "title", "needs"))).alias("g"))
     none = F.array().cast("array<string>")
     wanting = listed.select("query_id", gap_query(F.filter(F.transform("g", lambda x: x["title"]), lambda t: t.isNotNull()), F.flatten(F.transform("g", lambda x: F.coalesce(x["needs"], none))), F.transform("g", lambda x: F.coalesce(x["text"], F.lit("")))).alias("text"))
-    more = retrieval.bm25(wanting, text, most=GAP_DEPTH)
+    # a search reads its questions several times, and its hits are read by every join: both are a few rows a question
+    more = materialise(retrieval.bm25(materialise(wanting, "gap-questions"), text, most=GAP_DEPTH), "gap-hits")
     held = context.select("query_id", "id").union(context.select("query_id", F.explode("chunk_ids").alias("id"))) if "chunk_ids" in context.columns else context.select("query_id", "id")
     fresh = retrieval.unused(more, held.distinct()).join(text, "id")
     if "title" in ledger.columns and {"display_name", "path"} <= set(chunks.columns):

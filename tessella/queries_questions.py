@@ -12,6 +12,7 @@ from tessella.functions.numbers import canonical_decimal
 from tessella.operators import conversations, evidence, named, retrieval
 from tessella.plans import routing
 from tessella.queries import CELLS, CHUNKS, CONFLICTS, LEXICAL, QUALIFIES, RERANK, SQL, STOP, SUBQUERIES, VALUE, _cells, _chunks, _questions, _sources, _stage, _words_sql, evidence_ledger, query, sql
+from tessella.session import materialise
 from tessella.tables import table
 
 # --- documents that are named ----------------------------------------------------------------------------------------
@@ -124,10 +125,11 @@ sql("memory_hits", f"with {VECTORS.strip()} select query_id, id as vec_id, k as
 def _gaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The held-out questions with their two best lexical hits as a context, and what those leave open."""
     questions, texts = _questions(spark, d), _chunks(spark, d, "doc_id", "text").where("text is not null")
-    context = retrieval.bm25(questions, texts.select("id", "text"), most=2).select("query_id", "id")
+    # a few rows a question, of which all that follows is made several times over: written once, or the search would run each time
+    held = materialise(retrieval.bm25(questions, texts.select("id", "text"), most=2).select("query_id", "id").join(texts, "id"), "gap-context")
     needs = evidence.requirements(questions)
-    found = evidence.ledger(needs, context.join(texts, "id").select("query_id", F.col("id").alias("source_id"), "doc_id", "text"))
-    return questions, context, found.join(needs.select("query_id", "requirement_id", "text"), ["query_id", "requirement_id"]), texts
+    found = evidence.ledger(needs, held.select("query_id", F.col("id").alias("source_id"), "doc_id", "text"))
+    return questions, held.select("query_id", "id"), found.join(needs.select("query_id", "requirement_id", "text"), ["query_id", "requirement_id"]), texts
 
 
 @query

@@ -136,3 +136,12 @@ def test_pipeline_and_gap(frame):
     assert pipeline.retrieve(asked, chunks, pipeline.Settings(dense=False, rerank=False)).first().id == "a"
     ledger = frame([("q", "r1", "missing", "stone rivers")], "query_id string, requirement_id string, status string, text string")
     assert [r.id for r in pipeline.gap_round(asked, got.where("id = 'a'"), ledger, chunks).collect()] == ["b"]
+
+
+def test_gap_rounds_runs_each_search_once(spark, tmp_path):
+    from tessella.queries_questions import gap_rounds
+
+    spark.createDataFrame([("a", 1, "the gas valve was open"), ("b", 2, "measured values of stone")], "id string, doc_id bigint, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([("q", "Which valve was open, and why did rivers carry stone?")], "item_id string, question string").write.parquet(f"{tmp_path}/eval_cases.parquet")
+    # what is left to run reads the hits of the searches, not their postings again
+    assert not [f for f in gap_rounds(spark, str(tmp_path)).inputFiles() if "/postings-" in f]
